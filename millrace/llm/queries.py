@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import exact_dedup, quality_rules
+from millrace.llm import exact_dedup, quality_rules, simhash
 from millrace.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicates by SimHash."""
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates by progressive refinement."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), digest=True)
@@ -35,7 +40,8 @@ FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id)
 
 
 def queries() -> dict[str, Query]:
-    return {"op3_exact_dedup": op3_exact_dedup, "op5_quality_rules": op5_quality_rules}
+    own = (op1_simhash, op3_exact_dedup, op5_quality_rules)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
