@@ -17,11 +17,6 @@ from millrace.llm.common import squeezed
 PREFIX = 64
 
 
-def _survivors(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The key values that two rows or more share."""
-    return rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n").withColumn("_shared", F.lit(True))
-
-
 def exact_groups(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX, digest: bool = False, carry: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -40,16 +35,13 @@ def exact_groups(
     rows = df.select(
         F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)]
     )
-    kept_columns = [f"_c{i}" for i in range(len(carry))]
-    sized = rows.withColumn("_len", F.length(text))
-    by_length = _survivors(sized, ["_len"])
-    begun = sized.join(by_length, "_len", "left").withColumn(
-        "_start", F.when(F.col("_shared"), F.xxhash64(F.substring(text, 1, prefix)))
-    )
-    by_start = _survivors(begun.where("_shared"), ["_len", "_start"]).withColumnRenamed("_shared", "_whole")
-    hashed = begun.join(by_start, ["_len", "_start"], "left").select(
+    begun = rows.withColumn("_len", F.length(text)).withColumn("_start", F.xxhash64(F.substring(text, 1, prefix)))
+    starts = begun.groupBy("_len", "_start").agg(F.count("*").alias("_n"))
+    lengths = starts.groupBy("_len").agg(F.sum("_n").alias("_rows")).where("_rows > 1").select("_len")
+    whole = starts.join(lengths, "_len", "left_semi").where("_n > 1").select("_len", "_start", F.lit(True).alias("_whole"))
+    hashed = begun.join(whole, ["_len", "_start"], "left").select(
         "_id", "_len", F.length(F.coalesce("_text", F.lit(""))).alias("_points"), F.coalesce("_whole", F.lit(False)).alias("_whole"),
-        F.when(F.lit(digest) | F.col("_whole"), F.sha2(text, 256)).alias("_sha"), *kept_columns,
+        F.when(F.lit(digest) | F.col("_whole"), F.sha2(text, 256)).alias("_sha"), *[f"_c{i}" for i in range(len(carry))],
     )
     return _verdicts(hashed, id_col, carry)
 
