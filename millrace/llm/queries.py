@@ -6,9 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import exact_dedup, quality_rules, simhash
+from millrace.llm import bpe, exact_dedup, quality_rules, simhash
 from millrace.llm.common import table
 
+
+def tokenizer(name: str) -> str:
+    """The path of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -27,6 +35,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE there and back."""
+    return bpe.round_trip_digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 OP3_SQL = r"""
 WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS points,
@@ -40,7 +53,7 @@ FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id)
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_simhash, op3_exact_dedup, op5_quality_rules)
+    own = (op1_simhash, op3_exact_dedup, op5_quality_rules, op10_bpe)
     return {f.__name__: f for f in own}
 
 
