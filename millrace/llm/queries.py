@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, exact_dedup, quality_rules, simhash
+from millrace.llm import bpe, exact_dedup, packing, quality_rules, simhash
 from millrace.llm.common import table
 
 
@@ -30,6 +30,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best-fit packing into sequences of 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document and host rules."""
     return quality_rules.quality_verdicts(table(spark, sf_dir, "documents"))
@@ -53,7 +58,7 @@ FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id)
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_simhash, op3_exact_dedup, op5_quality_rules, op10_bpe)
+    own = (op1_simhash, op3_exact_dedup, op4_packing, op5_quality_rules, op10_bpe)
     return {f.__name__: f for f in own}
 
 
