@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, exact_dedup, packing, quality_rules, simhash
+from millrace.llm import bpe, exact_dedup, packing, quality_rules, simhash, token_counts
 from millrace.llm.common import table
 
 
@@ -40,6 +40,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of a unigram vocabulary."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE there and back."""
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
@@ -58,7 +63,7 @@ FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id)
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_simhash, op3_exact_dedup, op4_packing, op5_quality_rules, op10_bpe)
+    own = (op1_simhash, op3_exact_dedup, op4_packing, op5_quality_rules, op6_token_counts, op10_bpe)
     return {f.__name__: f for f in own}
 
 
