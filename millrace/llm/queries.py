@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, exact_dedup, packing, quality_rules, simhash, token_counts
+from millrace.llm import bpe, chat_format, exact_dedup, packing, quality_rules, simhash, token_counts
 from millrace.llm.common import table
 
 
@@ -25,6 +25,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations, and one that quotes the template itself, formatted and read back."""
+    quoting = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", quoting), (-7, 1, "assistant", quoting)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat_format.read_back(chat_format.format_turns(rows))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates by progressive refinement."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), digest=True)
@@ -63,9 +71,9 @@ FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id)
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_simhash, op3_exact_dedup, op4_packing, op5_quality_rules, op6_token_counts, op10_bpe)
+    own = (op1_simhash, op2_chat_format, op3_exact_dedup, op4_packing, op5_quality_rules, op6_token_counts, op10_bpe)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op5_quality_rules": quality_rules.ORACLE_SQL}
+    return {"op2_chat_format": chat_format.ORACLE_SQL, "op3_exact_dedup": OP3_SQL, "op5_quality_rules": quality_rules.ORACLE_SQL}
