@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, chat_format, exact_dedup, packing, quality_rules, simhash, token_counts
+from millrace.llm import bpe, chat_format, exact_dedup, packing, pii, quality_rules, simhash, token_counts
 from millrace.llm.common import table
 
 
@@ -17,6 +17,9 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Key of the surrogates in these queries; a deployment sets its own.
+PII_KEY = "registered query"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -53,6 +56,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data replaced by surrogates."""
+    return pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE there and back."""
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
@@ -71,7 +79,7 @@ FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id)
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_simhash, op2_chat_format, op3_exact_dedup, op4_packing, op5_quality_rules, op6_token_counts, op10_bpe)
+    own = (op1_simhash, op2_chat_format, op3_exact_dedup, op4_packing, op5_quality_rules, op6_token_counts, op8_pii, op10_bpe)
     return {f.__name__: f for f in own}
 
 
