@@ -9,10 +9,12 @@ compiled into a transducer that is shipped to every machine. Other words are mer
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import os
 import re
 import tempfile
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,7 +31,11 @@ from millrace.llm.lexicon import Lexicon, compile_lexicon
 #: Frequent words in the lexicon, and entries of a summary: every word that makes up more than one in SUMMARY is found.
 LEXICON_WORDS, SUMMARY = 1 << 16, 1 << 17
 #: Bytes of texts that are handled at once, and unseen words that a worker remembers.
-SLICE, REMEMBERED = 1 << 23, 300_000
+SLICE, REMEMBERED = 1 << 22, 400_000
+#: Bytes beyond which a pre-token is merged with a heap.
+LONG = 200
+BITS = 17
+MASK, NONE = (1 << BITS) - 1, 1 << 62
 # The characters of the Unicode property White_Space (fixed values).
 _WS = "\t-\r \x85\xa0  -     　"
 _WORD = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
@@ -54,28 +60,59 @@ class Vocabulary:
         as_bytes = lambda token: bytes(back[c] for c in token)
         self.ids = {as_bytes(t): i for t, i in spec["model"]["vocab"].items()}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
-        self.ranks = {(as_bytes(a), as_bytes(b)): k for k, (a, b) in enumerate(pairs)}
+        # the ids of a pair -> its rank and the id of the two together, in one number that sorts by rank
+        ids = spec["model"]["vocab"]
+        self.pairs = {ids[a] << BITS | ids[b]: k << BITS | ids[a + b] for k, (a, b) in enumerate(pairs)}
+        self.bytes = [self.ids[bytes([b])] for b in range(256)]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.texts = {i: b for b, i in self.ids.items()} | {i: t.encode() for t, i in self.added.items()}
         self.split = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
 
     def merge(self, token: bytes) -> list[int]:
         """The ids of one pre-token: the pair of lowest rank, leftmost first, is merged until none is left."""
-        if token in self.ids and len(token) == 1:
-            return [self.ids[token]]
-        parts = [token[k : k + 1] for k in range(len(token))]
-        ranks, none = self.ranks, len(self.ranks)
-        while len(parts) > 1:
-            found = [ranks.get(p, none) for p in zip(parts, parts[1:], strict=False)]
+        if len(token) > LONG:
+            return self._merge_long(token)
+        single, get = self.bytes, self.pairs.get
+        parts = [single[b] for b in token]
+        found = [get(a << BITS | b, NONE) for a, b in zip(parts, parts[1:], strict=False)]
+        while found:
             best = min(found)
-            if best == none:
+            if best == NONE:
                 break
             at = found.index(best)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ids[p] for p in parts]
+            parts[at : at + 2] = [best & MASK]
+            del found[at]
+            if at:
+                found[at - 1] = get(parts[at - 1] << BITS | parts[at], NONE)
+            if at < len(found):
+                found[at] = get(parts[at] << BITS | parts[at + 1], NONE)
+        return parts
+
+    def _merge_long(self, token: bytes) -> list[int]:
+        """The same with a heap of pairs, for tokens in which looking for the least each time would take long."""
+        get = self.pairs.get
+        parts: list[int | None] = [self.bytes[b] for b in token]
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        heap = [(v, k) for k in range(len(parts) - 1) if (v := get(parts[k] << BITS | parts[k + 1], NONE)) != NONE]
+        heapq.heapify(heap)
+        while heap:
+            value, k = heapq.heappop(heap)
+            n = after[k] if parts[k] is not None else len(parts)
+            if n >= len(parts) or get(parts[k] << BITS | parts[n], NONE) != value:
+                continue  # one of the two has been merged since
+            parts[k], parts[n] = value & MASK, None
+            after[k] = after[n]
+            if after[k] < len(parts):
+                before[after[k]] = k
+            for left, right in ((before[k], k), (k, after[k])):
+                if left >= 0 and right < len(parts) and (v := get(parts[left] << BITS | parts[right], NONE)) != NONE:
+                    heapq.heappush(heap, (v, left))
+        return [p for p in parts if p is not None]
 
     def encode_word(self, word: str) -> list[int]:
         """The ids of one word, merged exactly."""
+        if word.isalpha() or (word[:1] == " " and word[1:].isalpha()):  # letters only: one pre-token
+            return self.merge(word.encode())
         return [i for token in _TOKEN.findall(word) for i in self.merge(token.encode())]
 
 
@@ -90,22 +127,26 @@ def _lexicon(name: str) -> Lexicon:
 
 
 class _Memory(dict):
-    """Unseen words and their ids; emptied when full."""
+    """Words that a worker has met and their ids; emptied when full."""
 
-    def __init__(self, vocab: Vocabulary) -> None:
-        super().__init__()
-        self.vocab = vocab
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
+    def learn(self, words: set[str], vocab: Vocabulary, lexicon: Lexicon) -> None:
+        missing = list(words - self.keys())
+        if len(self) + len(missing) > REMEMBERED:
             self.clear()
-        self[word] = ids = np.array(self.vocab.encode_word(word), "<u4").tobytes()
-        return ids
+            self.update({t: np.array([i], "<u4").tobytes() for t, i in vocab.added.items()})
+            missing = list(words - self.keys())
+        places = lexicon.places([w.encode() for w in missing])
+        known = np.flatnonzero(places >= 0)
+        self.update(zip((missing[k] for k in known), lexicon.outputs(places[known]), strict=True))
+        for word in (missing[k] for k in np.flatnonzero(places < 0)):
+            self[word] = np.array(vocab.encode_word(word), "<u4").tobytes()
 
 
-@lru_cache(maxsize=2)
-def _memory(path: str) -> _Memory:
-    return _Memory(vocabulary(path))
+@lru_cache(maxsize=1)
+def _memory(vocab_path: str) -> _Memory:
+    memory = _Memory()
+    memory.update({t: np.array([i], "<u4").tobytes() for t, i in vocabulary(vocab_path).added.items()})
+    return memory
 
 
 def pieces(text: str, vocab: Vocabulary) -> list[str]:
@@ -133,17 +174,11 @@ def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
 def encode_texts(texts: list[str], vocab_path: str, lexicon: Lexicon) -> Iterator[bytes]:
     """The ids of each text, as little-endian unsigned 32-bit integers."""
     vocab, memory = vocabulary(vocab_path), _memory(vocab_path)
-    added = {t: np.array([i], "<u4").tobytes() for t, i in vocab.added.items()}
     for start, end in slices(texts):
         parts = [pieces(t, vocab) for t in texts[start:end]]
-        distinct = list(set().union(*parts))
-        places = lexicon.places([w.encode() for w in distinct])
-        known = np.flatnonzero(places >= 0)
-        table = {w: memory[w] for w in (distinct[k] for k in np.flatnonzero(places < 0)) if w not in added}
-        table.update(zip((distinct[k] for k in known), lexicon.outputs(places[known]), strict=True))
-        table.update(added)
+        memory.learn(set().union(*parts), vocab, lexicon)
         for words in parts:
-            yield b"".join(map(table.__getitem__, words))
+            yield b"".join(map(memory.__getitem__, words))
 
 
 def decode_ids(ids: bytes, vocab_path: str) -> str:
@@ -187,7 +222,7 @@ def ship_lexicon(df: DataFrame, words: list[str], vocab_path: str) -> str:
     vocab = vocabulary(vocab_path)
     entries = {w.encode(): vocab.encode_word(w) for w in words if w not in vocab.added}
     folder = os.path.realpath(tempfile.mkdtemp())
-    name = f"lexicon-{hashlib.sha256(repr((sorted(entries), vocab_path)).encode()).hexdigest()[:16]}.bin"
+    name = f"lexicon-{uuid.uuid4().hex}.bin"
     compile_lexicon(entries, f"{folder}/{name}")
     df.sparkSession.sparkContext.addFile(f"{folder}/{name}")
     return name

@@ -17,15 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's shared checkpoint folder and read back.
-
-    The folder is ``spark.checkpoint.dir``; only where that is unset, as in tests, a temporary one is used.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, a temporary one only where that is unset, as in tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back, its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -43,3 +45,9 @@ def squeezed(text: Column) -> Column:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, evaluated once however often, and inside whichever lambda, ``body`` uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def without_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``df`` whose id is not among ``ids``, with their columns unchanged; rows without an id stay."""
+    dropped = ids.select(F.col(id_col).alias("_dropped")).where("_dropped IS NOT NULL").distinct()
+    return df.join(dropped, df[id_col] == dropped["_dropped"], "left_anti")

@@ -11,14 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import squeezed
+from millrace.llm.common import checkpointed, squeezed, without_ids
 
 #: Code points of the normalised text that the second refinement hashes.
 PREFIX = 64
 
 
 def exact_groups(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX, digest: bool = False, carry: tuple[str, ...] = ()
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX, digest: bool = False
 ) -> DataFrame:
     """For each row of ``df`` the group of equal texts that it is in.
 
@@ -28,28 +28,25 @@ def exact_groups(
     have one verdict.
 
     Columns: the id, ``keep_id`` (id of the row that stays), ``group_size``, ``kept`` and ``text_sha256``, null where
-    the refinement did not need it unless ``digest`` asks for it in each row; then the columns named in ``carry``.
-    An empty table gives an empty one. Other columns of ``df`` may have any names.
+    the refinement did not need it unless ``digest`` asks for it in each row. An empty table gives an empty one. Other
+    columns of ``df`` may have any names.
     """
     text = squeezed(F.col("_text"))
-    rows = df.select(
-        F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)]
-    )
+    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     begun = rows.withColumn("_len", F.length(text)).withColumn("_start", F.xxhash64(F.substring(text, 1, prefix)))
     starts = begun.groupBy("_len", "_start").agg(F.count("*").alias("_n"))
     lengths = starts.groupBy("_len").agg(F.sum("_n").alias("_rows")).where("_rows > 1").select("_len")
     whole = starts.join(lengths, "_len", "left_semi").where("_n > 1").select("_len", "_start", F.lit(True).alias("_whole"))
-    hashed = begun.join(whole, ["_len", "_start"], "left").select(
-        "_id", "_len", F.length(F.coalesce("_text", F.lit(""))).alias("_points"), F.coalesce("_whole", F.lit(False)).alias("_whole"),
-        F.when(F.lit(digest) | F.col("_whole"), F.sha2(text, 256)).alias("_sha"), *[f"_c{i}" for i in range(len(carry))],
-    )
-    return _verdicts(hashed, id_col, carry)
-
-
-def _verdicts(hashed: DataFrame, id_col: str, carry: tuple[str, ...]) -> DataFrame:
+    # written out, so that both sides of the joins below are plain rows whose hot keys Spark can split
+    hashed = checkpointed(
+        begun.join(checkpointed(whole), ["_len", "_start"], "left").select(
+            "_id", "_len", F.length(F.coalesce("_text", F.lit(""))).alias("_points"), F.coalesce("_whole", F.lit(False)).alias("_whole"),
+            F.when(F.lit(digest) | F.col("_whole"), F.sha2(text, 256)).alias("_sha"),
+        )
+    )
     best: Column = F.min(F.struct(-F.col("_points"), F.col("_id").isNull(), F.col("_id").alias("id")))
     groups = hashed.where("_whole").groupBy("_len", "_sha").agg(best.getField("id").alias("_keep"), F.count("*").alias("_size"))
-    groups = groups.where("_size > 1").withColumn("_found", F.lit(True))
+    groups = checkpointed(groups.where("_size > 1").withColumn("_found", F.lit(True)))
     joined = hashed.join(groups, ["_len", "_sha"], "left")
     keep = F.when(F.col("_found"), F.col("_keep")).otherwise(F.col("_id"))
     return joined.select(
@@ -58,11 +55,9 @@ def _verdicts(hashed: DataFrame, id_col: str, carry: tuple[str, ...]) -> DataFra
         F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"),
         F.col("_id").eqNullSafe(keep).alias("kept"),
         F.col("_sha").alias("text_sha256"),
-        *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)],
     )
 
 
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, with their columns unchanged."""
-    groups = exact_groups(df.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in df.columns])), id_col, text_col, carry=("_row",))
-    return groups.where("kept").select("_row.*")
+    """The rows of ``df`` that stay, with their columns unchanged; rows without an id stay."""
+    return without_ids(df, exact_groups(df, id_col, text_col).where("NOT kept").select(id_col), id_col)

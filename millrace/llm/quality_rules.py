@@ -35,7 +35,7 @@ def _repeat_words(w: Column, hashes: Column) -> Column:
     """Words in windows that occur twice or more; only texts in which a window's hash recurs are looked at closely."""
     starts = F.sequence(F.lit(0), F.size(w) - WINDOW)
     windows = F.sort_array(
-        F.transform(starts, lambda i: F.struct(F.get(hashes, i).alias("h"), F.array_join(F.slice(w, i + 1, WINDOW), " ").alias("s"), i.alias("i")))
+        F.transform(starts, lambda i: F.struct(F.get(hashes, i).alias("h"), F.concat_ws(" ", *[F.get(w, i + k) for k in range(WINDOW)]).alias("s"), i.alias("i")))
     )
     same = lambda x, y: F.coalesce((x["h"] == y["h"]) & (x["s"] == y["s"]), F.lit(False))
     # equal windows are neighbours in the sorted array; get() beyond either end is null

@@ -78,9 +78,16 @@ FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id)
 """
 
 
+def corpus_pipeline_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the pipeline at the top of the repository."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
     own = (op1_simhash, op2_chat_format, op3_exact_dedup, op4_packing, op5_quality_rules, op6_token_counts, op8_pii, op10_bpe)
-    return {f.__name__: f for f in own}
+    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline_run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import checkpointed
+from millrace.llm.common import checkpointed, without_ids
 from millrace.llm.components import components
 
 #: Bits that may differ, and segments of the fingerprint.
@@ -139,5 +139,4 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` with the least id of their component, columns unchanged; rows without an id stay."""
     groups = near_groups(df, id_col, text_col)
-    dropped = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col)).distinct()
-    return df.join(dropped, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+    return without_ids(df, groups.where(F.col(id_col) != F.col("component_id")).select(id_col), id_col)

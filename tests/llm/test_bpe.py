@@ -62,3 +62,12 @@ def test_documents_and_odd_rows(spark, sf_dir):
         want.append((i, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert bpe.round_trip_digests(df.limit(0), PATH).count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text("aehint ", max_size=60))
+def test_long_tokens_merge_alike(text):
+    vocab = bpe.vocabulary(PATH)
+    token = text.encode()
+    assert not token or vocab._merge_long(token) == vocab.merge(token)
+    assert len(vocab.merge(b"the" * 50000)) > 0
