@@ -33,7 +33,7 @@ from millrace.llm.common import checkpointed
 
 CAPACITY = 2048
 #: Words and their ids that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 1_200_000
 
 
 class _Words(dict):
@@ -64,10 +64,11 @@ def _words(path: str) -> _Words:
 
 def encode_by_words(texts: list[str], path: str) -> Iterator[bytes]:
     """The ids of each text. The tokenizer's normalizer and pattern drop white space and join nothing across it, so each
-    word (by ASCII white space) is encoded once."""
+    word (by ASCII white space) is encoded once. It lower-cases texts, too; A-Z are lower-cased before, but for texts in
+    which that could make an added token."""
     table = _words(path)
     for start, end in slices(texts):
-        parts = [t.encode().split() for t in texts[start:end]]
+        parts = [(t.encode() if "<|" in t else t.encode().lower()).split() for t in texts[start:end]]
         table.learn(set().union(*parts))
         for words in parts:
             yield b"".join(map(table.__getitem__, words))

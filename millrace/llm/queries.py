@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, chat_format, exact_dedup, packing, pii, quality_rules, simhash, token_counts
+from millrace.llm import bpe, chat_format, exact_dedup, packing, pii, quality_rules, simhash, substring_dedup, token_counts
 from millrace.llm.common import table
 
 
@@ -61,6 +61,11 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 20 words that stand earlier, removed."""
+    return substring_dedup.kept_digests(substring_dedup.repeated_windows(table(spark, sf_dir, "documents")))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE there and back."""
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
@@ -86,9 +91,9 @@ def corpus_pipeline_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_simhash, op2_chat_format, op3_exact_dedup, op4_packing, op5_quality_rules, op6_token_counts, op8_pii, op10_bpe)
+    own = (op1_simhash, op2_chat_format, op3_exact_dedup, op4_packing, op5_quality_rules, op6_token_counts, op8_pii, op9_substring_dedup, op10_bpe)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline_run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat_format.ORACLE_SQL, "op3_exact_dedup": OP3_SQL, "op5_quality_rules": quality_rules.ORACLE_SQL}
+    return {"op2_chat_format": chat_format.ORACLE_SQL, "op3_exact_dedup": OP3_SQL, "op5_quality_rules": quality_rules.ORACLE_SQL, "op9_substring_dedup": substring_dedup.ORACLE_SQL}
