@@ -159,11 +159,11 @@ def pieces(text: str, vocab: Vocabulary) -> list[str]:
     return out
 
 
-def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about ``SLICE`` characters; a longer text is a run of its own."""
+def slices(texts: list, limit: int = SLICE) -> Iterator[tuple[int, int]]:
+    """Runs of texts of at most ``limit`` characters or bytes; a longer text is a run of its own."""
     start = size = 0
     for k, text in enumerate(texts):
-        if size and size + len(text) > SLICE:
+        if size and size + len(text) > limit:
             yield start, k
             start, size = k, 0
         size += len(text)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, chat_format, exact_dedup, packing, pii, quality_rules, simhash, substring_dedup, token_counts
+from millrace.llm import bpe, chat_format, exact_dedup, packing, pii, quality_rules, simhash, substring_dedup, suffix_dedup, token_counts
 from millrace.llm.common import table
 
 
@@ -56,6 +56,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings of 50 bytes that start in an earlier document, removed."""
+    return suffix_dedup.kept_digests(suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents")))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data replaced by surrogates."""
     return pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
@@ -91,7 +96,7 @@ def corpus_pipeline_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_simhash, op2_chat_format, op3_exact_dedup, op4_packing, op5_quality_rules, op6_token_counts, op8_pii, op9_substring_dedup, op10_bpe)
+    own = (op1_simhash, op2_chat_format, op3_exact_dedup, op4_packing, op5_quality_rules, op6_token_counts, op7_suffix_dedup, op8_pii, op9_substring_dedup, op10_bpe)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline_run}
 
 
