@@ -7,7 +7,8 @@ distributed table. What one cell holds overestimates the counts of its windows;
 stand once and are out. A second pass lists the other windows by their words and groups them exactly.
 
 Sketch, candidates and groups are all rows of shuffled tables: nothing is broadcast, and memory does not grow with the
-data. Windows in cells of more than HOT occurrences are grouped in salted parts first, of which the first rows meet.
+data. Windows in cells of more than HOT occurrences are grouped in salted parts first, of which the first rows meet. Texts
+are shuffled once, by a key that both passes over them join on.
 """
 
 from __future__ import annotations
@@ -22,8 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import slices
-from millrace.llm.common import checkpointed
-from millrace.llm.windows import mixed, prefix_sums, run_hashes, sliding_min, span_hashes, word_spans
+from millrace.llm.windows import prefix_sums, run_hashes, sliding_min, span_hashes, word_spans
 
 WINDOW, GRAM = 20, 8
 #: Width of the sketch, and occurrences beyond which a cell's windows are salted, into SALTS parts.
@@ -81,8 +81,7 @@ def repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     unique = docs.groupBy("id").count().where("count > 1 OR id IS NULL").isEmpty()
     # a second key where ids do not tell rows apart
     docs = docs.withColumn("print", F.lit(0).cast("long") if unique else F.xxhash64("text")).withColumn("key", F.xxhash64("id", "print"))
-    sketch = _sketch(docs.select("text"), window, gram)
-    flagged = sketch.select("cell", (F.col("n") > hot).alias("hot"))
+    flagged = _sketch(docs.select("text"), window, gram).select("cell", (F.col("n") > hot).alias("hot"))
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,20 +114,18 @@ def repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([ids, *own], names=names)
 
     every = docs.join(suspects, "key").select("id", "print", "text", "cells").mapInArrow(windows, f"id {kind}, print long, salt long, h1 long, h2 long, start long")
-    order = [F.col("id").isNull(), F.col("id"), F.col("start")]
-    ranked = every.withColumn("rank", F.rank().over(Window.partitionBy("h1", "h2", "salt").orderBy(*order)))
-    salted = not flagged.where("hot").isEmpty()
-    later = ranked.where("rank > 1")
-    if salted:
-        firsts = checkpointed(ranked.where("rank = 1 AND salt > 0"))
-        place = F.struct(F.col("id").isNull().alias("none"), "id", "start")
-        least = firsts.groupBy("h1", "h2").agg(F.min(place).alias("least"))
-        beaten = firsts.join(least, ["h1", "h2"]).where(place != F.col("least"))
-        later = later.select("id", "print", "start").unionByName(beaten.select("id", "print", "start"))
-    removed = later.groupBy("id", "print").agg(F.array_sort(F.collect_set("start")).alias("starts"))
-    removed = removed.select(F.xxhash64("id", "print").alias("key"), F.struct("id", "print").alias("owner"), "starts")
-    same = (docs["key"] == removed["key"]) & (F.struct("id", "print") == removed["owner"])
-    return docs.join(removed, same, "left").select("id", "text", "starts")
+    # the least place by a window, not a rank, of which only the first rows would be asked for below: so both uses share one shuffle
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "start")
+    placed = every.withColumn("place", place).withColumn("least", F.min("place").over(Window.partitionBy("h1", "h2", "salt")))
+    later = placed.where(F.col("place") != F.col("least")).select("id", "print", "start")
+    firsts = placed.where((F.col("salt") > 0) & (F.col("place") == F.col("least"))).select("h1", "h2", "id", "print", "start", "place")
+    top = firsts.groupBy("h1", "h2").agg(F.min("place").alias("top"))
+    beaten = firsts.join(top, ["h1", "h2"]).where(F.col("place") != F.col("top")).select("id", "print", "start")
+    removed = later.unionByName(beaten).groupBy("id", "print").agg(F.array_sort(F.collect_set("start")).alias("starts"))
+    # joined by the key alone, as the suspects are, so that the texts are shuffled once
+    owned = removed.groupBy(F.xxhash64("id", "print").alias("key")).agg(F.collect_list(F.struct("id", "print", "starts")).alias("owned"))
+    own = F.filter("owned", lambda o: o["id"].eqNullSafe(F.col("id")) & (o["print"] == F.col("print")))
+    return docs.join(owned, "key", "left").select("id", "text", F.get(own, F.lit(0))["starts"].alias("starts"))
 
 
 def _among(values: np.ndarray, listed: np.ndarray) -> np.ndarray:
