@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,8 +116,25 @@ def _shared_grams(docs: DataFrame, shards: int, length: int, gram: int) -> DataF
     return shared.groupBy("key").agg(F.flatten(F.collect_list("cells")).alias("cells"))  # of one document
 
 
-def _contexts(docs: DataFrame, shards: int, length: int, gram: int) -> DataFrame:
-    """Contexts of shared sequences, packed by slice of texts and shard: each different one, and where it stands."""
+def _packed(contexts: list[bytes]) -> bytes:
+    """Contexts as one compressed block, each with its size before it."""
+    return zstandard.compress(b"".join(len(c).to_bytes(4, "little") + c for c in contexts), 3)
+
+
+def _unpacked(block: bytes) -> list[bytes]:
+    data, at, out = zstandard.decompress(block), 0, []
+    while at < len(data):
+        size = int.from_bytes(data[at : at + 4], "little")
+        out.append(data[at + 4 : at + 4 + size])
+        at += 4 + size
+    return out
+
+
+def _contexts(docs: DataFrame, shards: int, length: int, gram: int, unique: bool) -> DataFrame:
+    """Contexts of shared sequences, packed by slice of texts and shard: each different one, and where it stands.
+
+    Where ids are ``unique`` they are the keys, and ``keys`` is empty.
+    """
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,18 +166,19 @@ def _contexts(docs: DataFrame, shards: int, length: int, gram: int) -> DataFrame
                         refs.append(ref)
                     rows["shard"].append(int(shard[lo]))
                     rows["cells"].append(cells[of])
-                    rows["contexts"].append(list(different))
+                    rows["contexts"].append(_packed(list(different)))
                     rows["refs"].append(refs)
                 at = np.array(bounds[:-1])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(rows["shard"], pa.int32()), pa.array(rows["cells"], pa.list_(pa.int32())), pa.array(rows["contexts"], pa.list_(pa.binary())),
-                        pa.array(rows["refs"], pa.list_(pa.int32())), _lists(pa.array(keys[a:b][text]), at), _lists(pa.array(ids[a:b][text]), at), _lists(pa.array(start, pa.int64()), at),
+                        pa.array(rows["shard"], pa.int32()), pa.array(rows["cells"], pa.list_(pa.int32())), pa.array(rows["contexts"], pa.binary()),
+                        pa.array(rows["refs"], pa.list_(pa.int32())), _lists(pa.array(keys[:0]), at * 0) if unique else _lists(pa.array(keys[a:b][text]), at),
+                        _lists(pa.array(ids[a:b][text]), at), _lists(pa.array(start, pa.int32()), at),
                     ],
                     names=["shard", "cells", "contexts", "refs", "keys", "ids", "starts"],
                 )
 
-    schema = "shard int, cells array<int>, contexts array<binary>, refs array<int>, keys array<long>, ids array<long>, starts array<long>"
+    schema = "shard int, cells array<int>, contexts binary, refs array<int>, keys array<long>, ids array<long>, starts array<int>"
     return docs.select("id", "key", "text", "cells").mapInArrow(sent, schema)
 
 
@@ -232,9 +251,10 @@ def _removed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
     contexts: list[bytes] = []
     cells: list[np.ndarray] = []
     refs, keys, ids, starts = [], [], [], []
+    ids_of = lambda batch, k: batch["ids"][k].values.to_numpy()
     for batch in batches:
         for k in range(batch.num_rows):
-            own, of = batch["contexts"][k].as_py(), []
+            own, of = _unpacked(batch["contexts"][k].as_py()), []
             sent = batch["cells"][k].values.to_numpy()
             for j, context in enumerate(own):
                 ref = index.setdefault(context, len(contexts))
@@ -244,7 +264,8 @@ def _removed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
                 of.append(ref)
             refs.append(np.array(of)[batch["refs"][k].values.to_numpy()])
             for into, name in ((keys, "keys"), (ids, "ids"), (starts, "starts")):
-                into.append(batch[name][k].values.to_numpy())
+                held = batch[name][k].values.to_numpy()
+                into.append(held if len(held) else ids_of(batch, k))
     if not contexts:
         return
     ref, key, doc, start = (np.concatenate(x) for x in (refs, keys, ids, starts))
@@ -279,13 +300,15 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shards = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.col(text_col).alias("text"))
     unique = docs.groupBy("id").count().where("count > 1").isEmpty()
-    docs = docs.withColumn("key", F.xxhash64("id") if unique else F.xxhash64("id", "text"))
+    docs = docs.withColumn("key", F.col("id") if unique else F.xxhash64("id", "text"))
     cells = _shared_grams(docs, shards, length, gram)
-    packed = _contexts(docs.join(cells, "key"), shards, length, gram).repartitionById(shards, "shard")
+    packed = _contexts(docs.join(cells, "key"), shards, length, gram, unique).repartitionById(shards, "shard")
     spans = packed.mapInArrow(lambda batches: _removed(batches, length), "key long, id long, start long, stop long")
-    removed = spans.groupBy("key", "id").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).withColumnRenamed("id", "owner")
-    joined = docs.join(removed, (docs["key"] == removed["key"]) & (docs["id"] == removed["owner"]), "left")
-    return joined.select(F.when(F.col("id") != _LAST, F.col("id")).alias("id"), "text", "spans")
+    # joined by the key alone, as the cells are, so that the texts are shuffled once
+    removed = spans.groupBy("key").agg(F.collect_list(F.struct("id", "start", "stop")).alias("all"))
+    own = F.transform(F.filter("all", lambda s: s["id"] == F.col("id")), lambda s: F.struct(s["start"], s["stop"]))
+    joined = docs.join(removed, "key", "left").select("id", "text", F.when(F.size(own) > 0, own).alias("spans"))
+    return joined.withColumn("id", F.when(F.col("id") != _LAST, F.col("id")))
 
 
 def kept_bytes(text: str | None, spans: list | None) -> tuple[bytes, int, int]:
