@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space in the sense of Python's str methods.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
-FENCE = r"(?s)```[^\n]*\n(.*?)(?:```|\z)"
+#: A fenced block; the last one may lack its end.
+FENCE = r"(?s)```[^\n`]*\n(.*?)(?:```|\z)"
+INLINE = "`([^`\n]+)`"
 
 
 def normalized(text: Column) -> Column:
@@ -16,7 +20,7 @@ def normalized(text: Column) -> Column:
 
 
 def content_hash(*parts: Column) -> Column:
-    """SHA-256 of the normalised parts, one a line."""
+    """SHA-256 of the normalised parts, one a line; a null part counts as empty."""
     return F.sha2(F.concat_ws("\n", *[normalized(p) for p in parts]), 256)
 
 
@@ -25,10 +29,19 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9_]+)"), F.lit(1))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often ``body`` uses it, be it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def shingles(words: Column, size: int = 4) -> Column:
     """Distinct runs of ``size`` words; fewer words are one shingle, none give none."""
-    runs = F.transform(F.sequence(F.lit(0), F.size(words) - size), lambda i: F.concat_ws(" ", *[F.get(words, i + k) for k in range(size)]))
-    return F.when(F.size(words) == 0, F.array().cast("array<string>")).when(F.size(words) < size, F.array(F.array_join(words, " "))).otherwise(F.array_distinct(runs))
+
+    def runs(w: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(size)]))
+        return F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) < size, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(each))
+
+    return let(words, runs)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -38,18 +51,18 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def code_blocks(text: Column) -> Column:
-    """Contents of fenced blocks, an unterminated last one included."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(FENCE), F.lit(1))
+    """Contents of fenced blocks that are not blank, an unterminated last one included."""
+    return F.filter(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(FENCE), F.lit(1)), lambda b: b.rlike(r"(?U)[^\s\x1c-\x1f]"))
 
 
 def inline_code(text: Column) -> Column:
     """Contents of single back quotes outside fences."""
-    return F.regexp_extract_all(F.regexp_replace(F.coalesce(text, F.lit("")), FENCE, " "), F.lit("`([^`\n]+)`"), F.lit(1))
+    return F.regexp_extract_all(F.regexp_replace(F.coalesce(text, F.lit("")), FENCE, " "), F.lit(INLINE), F.lit(1))
 
 
 def prose(text: Column) -> Column:
     """The text without code, fenced or inline."""
-    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), FENCE, " "), "`[^`\n]*`", " ")
+    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), FENCE, " "), INLINE, " ")
 
 
 def question_count(text: Column) -> Column:
@@ -59,7 +72,7 @@ def question_count(text: Column) -> Column:
 
 def list_item_count(text: Column) -> Column:
     """Lines outside code that begin with a bullet or a number."""
-    return F.regexp_count(prose(text), F.lit(r"(?dm)^[ \t]*(?:[-*]|[0-9]+[.)])[ \t]+"))
+    return F.regexp_count(prose(text), F.lit(r"(?dmU)^\s*(?:[-*•]\s+|\d+[.)]\s+)"))
 
 
 def word_count(text: Column) -> Column:
@@ -86,4 +99,21 @@ def grade(label: Column) -> Column:
 
 def unit_interval(value: Column) -> Column:
     """A number, or its spelling, clamped to 0..1; null if it is none."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value.cast("string").try_cast("double")))
+    number = value.cast("string").try_cast("double")
+    return F.when(number.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)))
+
+
+def code_words(code: Column) -> Column:
+    """Distinct lower-cased identifiers and numbers outside line comments."""
+    plain = F.regexp_replace(F.coalesce(code, F.lit("")), r"(?d)(?:#|//)[^\n]*", " ")
+    return F.array_distinct(F.transform(F.regexp_extract_all(plain, F.lit(r"([A-Za-z_][A-Za-z0-9_]*|[0-9]+)"), F.lit(1)), F.lower))
+
+
+def length(text: Column) -> Column:
+    """Code points; null has none."""
+    return F.length(F.coalesce(text, F.lit(""))).cast("long")
+
+
+def is_blank(text: Column) -> Column:
+    """Whether a text is null or white space only."""
+    return ~F.coalesce(text, F.lit("")).rlike(r"(?U)[^\s\x1c-\x1f]")

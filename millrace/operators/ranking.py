@@ -17,16 +17,18 @@ def with_rank(df: DataFrame, keys: list[str], order: list[Column], name: str = "
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = checkpointed(df.repartitionByRange(partitions, *by).sortWithinPartitions(*by))
     place = F.monotonically_increasing_id()  # partition in the upper, row in the lower 33 bits
-    rows = rows.withColumn("_place", place).withColumn("_part", F.shiftright("_place", 33)).withColumn("_nth", F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)))
+    rows = rows.withColumn("_place", place).withColumn("_part", F.shiftright("_place", 33)).withColumn("_in_part", F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))  # one row a partition
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    rows = rows.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_nth") + F.col("_before") + 1).drop("_place", "_part", "_nth", "_before")
+    rows = rows.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_in_part") + F.col("_before") + 1).drop("_place", "_part", "_in_part", "_before")
     if not keys:
         return rows
-    first = rows.groupBy(*keys).agg(F.min(name).alias("_first"))
-    condition = [rows[k].eqNullSafe(first[k]) for k in keys]
-    return rows.join(first, condition).select(*[rows[c] for c in df.columns], (F.col(name) - F.col("_first") + 1).alias(name))
+    first = rows.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(F.min(name).alias("_first"))
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    return rows.join(first, same).select(*df.columns, (F.col(name) - F.col("_first") + 1).alias(name))
 
 
 def round_robin(df: DataFrame, strata: list[str], category: str, order: list[Column], name: str = "turn") -> DataFrame:
