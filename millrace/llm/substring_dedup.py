@@ -7,8 +7,8 @@ distributed table. What one cell holds overestimates the counts of its windows;
 stand once and are out. A second pass lists the other windows by their words and groups them exactly.
 
 Sketch, candidates and groups are all rows of shuffled tables: nothing is broadcast, and memory does not grow with the
-data. Windows in cells of more than HOT occurrences are grouped in salted parts first, of which the first rows meet. Texts
-are shuffled once, by a key that both passes over them join on.
+data. Consecutive windows with the same least sequence travel as one row. Windows in cells of more than HOT occurrences are
+grouped in salted parts first, of which the first rows meet. Texts are shuffled once, by a key that both passes join on.
 """
 
 from __future__ import annotations
@@ -23,12 +23,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import slices
+from millrace.llm.common import checkpointed
 from millrace.llm.windows import prefix_sums, run_hashes, sliding_min, span_hashes, word_spans
 
 WINDOW, GRAM = 20, 8
-#: Width of the sketch, and occurrences beyond which a cell's windows are salted, into SALTS parts.
-CELL_BITS, HOT, SALTS = 40, 20_000, 64
-_HOT_BIT = 1 << 62
+#: Width of the sketch, and occurrences beyond which a cell's windows are salted, into parts of about as many.
+CELL_BITS, HOT = 40, 2_000
+_CELLS, _PARTS = (1 << CELL_BITS) - 1, (1 << (62 - CELL_BITS)) - 1
 
 
 def _cells(texts: list[bytes], window: int, gram: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
@@ -81,7 +82,10 @@ def repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     unique = docs.groupBy("id").count().where("count > 1 OR id IS NULL").isEmpty()
     # a second key where ids do not tell rows apart
     docs = docs.withColumn("print", F.lit(0).cast("long") if unique else F.xxhash64("text")).withColumn("key", F.xxhash64("id", "print"))
-    flagged = _sketch(docs.select("text"), window, gram).select("cell", (F.col("n") > hot).alias("hot"))
+    n = F.col("n")
+    parts = F.when(n > hot, F.least(F.ceil(n / hot), F.lit(_PARTS))).otherwise(0)
+    flagged = checkpointed(_sketch(docs.select("text"), window, gram).select("cell", F.shiftleft(parts, CELL_BITS).bitwiseOR(F.col("cell")).alias("marked")))
+    salted = not flagged.where("marked <> cell").isEmpty()
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,52 +95,55 @@ def repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(keys[a:b][text])], names=["cell", "key"])
 
     held = docs.select("text", "key").mapInArrow(listed, "cell long, key long").join(flagged, "cell")
-    marked = F.when(F.col("hot"), F.col("cell").bitwiseOR(F.lit(_HOT_BIT))).otherwise(F.col("cell"))
-    suspects = held.groupBy("key").agg(F.collect_set(marked).alias("cells"))  # of one document
+    suspects = held.groupBy("key").agg(F.collect_set("marked").alias("cells"))  # of one document
     kind = docs.schema["id"].dataType.simpleString()
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "print", "salt", "h1", "h2", "start"]
+        """Runs of repeated windows of one cell, each with the hashes of its windows."""
         for batch in batches:
             texts = [b" ".join((t or "").encode().split()) for t in batch["text"].to_pylist()]
-            prints = batch["print"].to_numpy()
+            prints, keys = batch["print"].to_numpy(), batch["key"].to_numpy().view(np.uint64)
             for a, b in slices(texts):
-                repeated = np.unique(pa.concat_arrays([x.values for x in batch["cells"].slice(a, b - a) if x.is_valid] or [pa.array([], pa.int64())]).to_numpy())
-                plain = np.sort(repeated & ~_HOT_BIT)
-                crowded = np.sort(repeated[repeated >= _HOT_BIT] & ~_HOT_BIT)
+                marked = np.unique(batch["cells"].slice(a, b - a).flatten().to_numpy())
+                marked = marked[np.argsort(marked & _CELLS)]
                 cells, text, start = _cells(texts[a:b], window, gram)[0]
-                keep = np.flatnonzero(_among(cells, plain))
-                cells, text, start = cells[keep], text[keep], start[keep]
-                hashes = np.frombuffer(b"".join(_window_hashes(texts[a:b], text, start, window)), np.uint64).reshape(-1, 2)
-                salt = np.where(_among(cells, crowded), 1 + text % SALTS, 0)
-                ids = batch["id"].slice(a, b - a).take(pa.array(text))
-                own = [pa.array(x) for x in (prints[a:b][text], salt, hashes[:, 0].view(np.int64), hashes[:, 1].view(np.int64), start)]
-                yield pa.RecordBatch.from_arrays([ids, *own], names=names)
-
-    every = docs.join(suspects, "key").select("id", "print", "text", "cells").mapInArrow(windows, f"id {kind}, print long, salt long, h1 long, h2 long, start long")
+                at = np.minimum(np.searchsorted(marked & _CELLS, cells), max(len(marked) - 1, 0))
+                keep = np.flatnonzero((marked & _CELLS)[at] == cells) if len(marked) else at[:0]
+                cells, text, start, parts = cells[keep], text[keep], start[keep], (marked[at[keep]] >> CELL_BITS).astype(np.uint64)
+                hashes = np.frombuffer(b"".join(_window_hashes(texts[a:b], text, start, window)), np.int64)
+                salt = np.where(parts > 0, np.uint64(1) + keys[a:b][text] % np.maximum(parts, np.uint64(1)), np.uint64(0)).astype(np.int64)
+                new = np.ones(len(text), bool)
+                new[1:] = (text[1:] != text[:-1]) | (start[1:] != start[:-1] + 1) | (cells[1:] != cells[:-1])
+                first = np.flatnonzero(new)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(text)), pa.int32()), pa.array(hashes))
+                ids = batch["id"].slice(a, b - a).take(pa.array(text[first]))
+                own = [pa.array(x) for x in (prints[a:b][text[first]], salt[first], cells[first], start[first].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([ids, *own, lists], names=["id", "print", "salt", "cell", "start", "hashes"])
+
+    runs = docs.join(suspects, "key").select("id", "print", "key", "text", "cells")
+    runs = runs.mapInArrow(windows, f"id {kind}, print long, salt long, cell long, start int, hashes array<long>").repartition("cell", "salt")
+    every = runs.select("id", "print", "salt", "cell", "start", F.posexplode("hashes").alias("k", "h"))
+    every = every.select("id", "print", "salt", "cell", "h", (F.col("start") + F.col("k")).cast("long").alias("start"))
     # the least place by a window, not a rank, of which only the first rows would be asked for below: so both uses share one shuffle
     place = F.struct(F.col("id").isNull().alias("none"), "id", "start")
-    placed = every.withColumn("place", place).withColumn("least", F.min("place").over(Window.partitionBy("h1", "h2", "salt")))
+    placed = every.withColumn("place", place).withColumn("least", F.min("place").over(Window.partitionBy("cell", "salt", "h")))
     later = placed.where(F.col("place") != F.col("least")).select("id", "print", "start")
-    firsts = placed.where((F.col("salt") > 0) & (F.col("place") == F.col("least"))).select("h1", "h2", "id", "print", "start", "place")
-    top = firsts.groupBy("h1", "h2").agg(F.min("place").alias("top"))
-    beaten = firsts.join(top, ["h1", "h2"]).where(F.col("place") != F.col("top")).select("id", "print", "start")
-    removed = later.unionByName(beaten).groupBy("id", "print").agg(F.array_sort(F.collect_set("start")).alias("starts"))
+    if salted:
+        # one condition, which cannot be asked for before the shuffle
+        firsts = placed.where(F.when(F.col("place") == F.col("least"), F.col("salt")).otherwise(0) > 0).select("cell", "h", "id", "print", "start", "place")
+        top = firsts.groupBy("cell", "h").agg(F.min("place").alias("top"))
+        beaten = firsts.join(top, ["cell", "h"]).where(F.col("place") != F.col("top")).select("id", "print", "start")
+        later = later.unionByName(beaten)
+    removed = later.groupBy("id", "print").agg(F.array_sort(F.collect_set("start")).alias("starts"))
     # joined by the key alone, as the suspects are, so that the texts are shuffled once
     owned = removed.groupBy(F.xxhash64("id", "print").alias("key")).agg(F.collect_list(F.struct("id", "print", "starts")).alias("owned"))
     own = F.filter("owned", lambda o: o["id"].eqNullSafe(F.col("id")) & (o["print"] == F.col("print")))
     return docs.join(owned, "key", "left").select("id", "text", F.get(own, F.lit(0))["starts"].alias("starts"))
 
 
-def _among(values: np.ndarray, listed: np.ndarray) -> np.ndarray:
-    if not len(listed):
-        return np.zeros(len(values), bool)
-    return listed[np.minimum(np.searchsorted(listed, values), len(listed) - 1)] == values
-
-
 def _window_hashes(texts: list[bytes], text: np.ndarray, start: np.ndarray, window: int) -> Iterator[bytes]:
-    """128-bit hashes of windows of texts whose words are joined by one space."""
-    digest = xxhash.xxh3_128_digest
+    """64-bit hashes of windows of texts whose words are joined by one space; windows are told apart by cell and hash."""
+    digest = xxhash.xxh3_64_digest
     bounds = np.searchsorted(text, np.arange(len(texts) + 1))
     for k in np.unique(text).tolist():
         data = texts[k]
