@@ -28,8 +28,8 @@ from millrace.llm.suffix_array import suffix_array
 from millrace.llm.windows import mixed, prefix_sums, sliding_min, span_hashes
 
 LENGTH, GRAM = 50, 20
-#: Bytes of texts that are handled at once, and of contexts that go into one suffix array, whole groups excepted.
-SLICE, BATCH = 1 << 21, 1 << 15
+#: Bytes of texts that are handled at once, of contexts that fill one suffix array, and at most go into one.
+SLICE, BATCH, BLOCK = 1 << 20, 1 << 15, 1 << 17
 _LAST = (1 << 63) - 1
 
 
@@ -103,8 +103,19 @@ def _shared_grams(docs: DataFrame, shards: int, length: int, gram: int) -> DataF
         keep = kinds == 2
         keep[np.flatnonzero(counted)] = n[place] > 1
         cells, keys = cells[keep], keys[keep]
+        bucket = _shard(mixed(keys.view(np.uint64)), shards)
+        order = np.argsort(bucket, kind="stable")
+        cells, keys, bucket = cells[order], keys[order], bucket[order]
+        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else np.empty(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[starts]), _lists(pa.array(keys), starts), _lists(pa.array(cells), starts)], names=["bucket", "keys", "cells"])
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [tuple(batch[c].flatten().to_numpy() for c in ("keys", "cells")) for batch in batches]
+        if not held:
+            return
+        keys, cells = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.argsort(keys, kind="stable")
-        cells, keys = cells[order], keys[order]
+        keys, cells = keys[order], cells[order]
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
         for k in range(0, len(starts), 10_000):
             part = starts[k : k + 10_000]
@@ -112,8 +123,8 @@ def _shared_grams(docs: DataFrame, shards: int, length: int, gram: int) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(keys[part]), _lists(pa.array(cells[part[0] : end]), part - part[0])], names=["key", "cells"])
 
     packed = docs.select("text", "key").mapInArrow(sent, "shard int, cells array<int>, keys array<long>, kinds array<tinyint>")
-    shared = packed.repartitionById(shards, "shard").mapInArrow(answered, "key long, cells array<int>")
-    return shared.groupBy("key").agg(F.flatten(F.collect_list("cells")).alias("cells"))  # of one document
+    shared = packed.repartitionById(shards, "shard").mapInArrow(answered, "bucket int, keys array<long>, cells array<int>")
+    return shared.repartitionById(shards, "bucket").mapInArrow(listed, "key long, cells array<int>")  # one row a document
 
 
 def _packed(contexts: list[bytes]) -> bytes:
@@ -213,22 +224,42 @@ def least_ids(contexts: list[bytes], cells: np.ndarray, ids: np.ndarray, length:
     marked = np.flatnonzero(recurs)
     begin[owner[marked][::-1]] = inside[marked][::-1]
     end[owner[marked]] = inside[marked] + length
+    group = cells[np.repeat(count > 1, count)]
+    marked = np.flatnonzero(begin >= 0)
+    width = (end - begin)[marked]
+    bounds = np.append(np.flatnonzero(np.concatenate([[True], group[marked][1:] != group[marked][:-1]])), len(marked)).tolist() if len(marked) else [0]
+    settle = lambda batch, merged=None: _settle(batch, contexts, several, begin, end, ids, least, first, length, merged)
     batch: list[int] = []
     size = 0
-    group = cells[np.repeat(count > 1, count)]
-    for k in np.flatnonzero(begin >= 0).tolist():
-        if size > BATCH and group[k] != group[batch[-1]]:
-            _settle(batch, contexts, several, begin, end, ids, least, first, length)
+    for lo, hi in zip(bounds, bounds[1:], strict=False):
+        if (whole := int(width[lo:hi].sum())) > BLOCK:
+            _settle_blocks(marked[lo:hi].tolist(), width[lo:hi], settle, contexts, several, begin, end, least, first, length)
+            continue
+        batch += marked[lo:hi].tolist()
+        size += whole
+        if size > BATCH:
+            settle(batch)
             batch, size = [], 0
-        batch.append(k)
-        size += int(end[k] - begin[k])
     if batch:
-        _settle(batch, contexts, several, begin, end, ids, least, first, length)
+        settle(batch)
     return least, first
 
 
-def _settle(batch: list[int], contexts: list[bytes], several: np.ndarray, begin: np.ndarray, end: np.ndarray, ids: np.ndarray, least: np.ndarray, first: np.ndarray, length: int) -> None:
-    """Lower ``least`` to the least id of equal windows among the stretches of the batch."""
+def _settle_blocks(group: list[int], width: np.ndarray, settle, contexts: list[bytes], several: np.ndarray, begin: np.ndarray, end: np.ndarray, least: np.ndarray, first: np.ndarray, length: int) -> None:  # noqa: ANN001
+    """The same for a sequence with many contexts: a suffix array for each block of them gives its different windows, of
+    which those of all blocks are put together."""
+    merged: dict[bytes, int] = {}
+    block = (np.cumsum(width) - width) // BLOCK
+    for edge in np.split(np.array(group), np.flatnonzero(np.diff(block)) + 1):
+        settle(edge.tolist(), merged)
+    for k in group:
+        own, a, b = int(several[k]), int(begin[k]), int(end[k])
+        c, at = contexts[own], int(first[own])
+        least[at + a : at + b - length + 1] = [merged[c[j : j + length]] for j in range(a, b - length + 1)]
+
+
+def _settle(batch: list[int], contexts: list[bytes], several: np.ndarray, begin: np.ndarray, end: np.ndarray, ids: np.ndarray, least: np.ndarray, first: np.ndarray, length: int, merged: dict[bytes, int] | None) -> None:
+    """Lower ``least`` to the least id of equal windows among the stretches of the batch, and ``merged`` by window, if given."""
     parts, window = [], []
     for k in batch:
         own, a, b = int(several[k]), int(begin[k]), int(end[k])
@@ -238,11 +269,18 @@ def _settle(batch: list[int], contexts: list[bytes], several: np.ndarray, begin:
     window = np.concatenate([*window, np.full(1, -1)])
     order = np.array(suffix_array(text.tolist()))
     order = order[window[order] >= 0]
-    held = text[order[:, None] + np.arange(length)]
-    starts = np.flatnonzero(np.concatenate([[True], (held[1:] != held[:-1]).any(axis=1)]))
+    new = np.ones(len(order), bool)
+    for k in range(1, len(order), 1 << 13):  # neighbours in blocks, to bound the memory
+        held = text[order[k - 1 : k + (1 << 13), None] + np.arange(length)]
+        new[k : k + (1 << 13)] = (held[1:] != held[:-1]).any(axis=1)
+    starts = np.flatnonzero(new)
     places = window[order]
     lowest = np.minimum.reduceat(least[places], starts)
     least[places] = np.repeat(lowest, np.diff(np.append(starts, len(order))))
+    if merged is not None:
+        for at, low in zip(order[starts].tolist(), lowest.tolist(), strict=True):
+            key = (text[at : at + length] - 2).astype(np.uint8).tobytes()
+            merged[key] = min(low, merged.get(key, low))
 
 
 def _removed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+from unittest import mock
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -55,6 +57,21 @@ def test_small_windows_with_repeats_and_nulls(spark):
     assert run(df.limit(0)) == []
 
 
+def test_blocks_of_one_sequence():
+    rng = random.Random(8)
+    gram = "the common sequence."
+    contexts = list({("".join(rng.choice("ab") for _ in range(6)) + gram + "".join(rng.choice("ab") for _ in range(6))).encode() for _ in range(500)})
+    ids = np.array(rng.sample(range(10_000), len(contexts)))
+    want: dict[bytes, int] = {}
+    windows = [(c[k : k + 24], i) for c, i in zip(contexts, ids.tolist(), strict=True) for k in range(len(c) - 23)]
+    for w, i in windows:
+        want[w] = min(want.get(w, i), i)
+    for block in (1 << 17, 1 << 10):
+        with mock.patch.object(suffix_dedup, "BLOCK", block):
+            least, _ = suffix_dedup.least_ids(contexts, np.zeros(len(contexts), np.int32), ids, 24)
+        assert least.tolist() == [want[w] for w, _ in windows]
+
+
 def test_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     assert run(docs) == expected(list(map(tuple, docs.collect())), 50)
