@@ -66,12 +66,12 @@ def _cells(keys: str) -> str:
 def _pairs(src: str, name: str = "") -> str:
     return f"""
 tok{name} AS (SELECT id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+') AS w FROM {src}),
-sh{name} AS (
+sh{name} AS MATERIALIZED (
   SELECT DISTINCT id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
     ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) END) AS s FROM tok{name}
 ),
-cnt{name} AS (SELECT id, count(*) AS n FROM sh{name} GROUP BY id),
-pairs{name} AS (
+cnt{name} AS MATERIALIZED (SELECT id, count(*) AS n FROM sh{name} GROUP BY id),
+pairs{name} AS MATERIALIZED (
   SELECT i, j, shared / (a.n + b.n - shared) AS similarity
   FROM (SELECT x.id AS i, y.id AS j, count(*) AS shared FROM sh{name} x JOIN sh{name} y ON x.s = y.s AND x.id < y.id GROUP BY ALL)
   JOIN cnt{name} a ON a.id = i JOIN cnt{name} b ON b.id = j WHERE similarity >= 0.72
@@ -81,9 +81,9 @@ pairs{name} AS (
 def _kept(src: str, name: str = "") -> str:
     """Ids of ``src`` that a walk in their order keeps, as a list: kept_list of the last row of walk."""
     return f"""{_pairs(src, name)},
-eq{name} AS (SELECT id, {_norm("text")} AS t FROM {src}),
+eq{name} AS MATERIALIZED (SELECT id, {_norm("text")} AS t FROM {src}),
 edges{name} AS (SELECT i, j FROM pairs{name} UNION SELECT a.id, b.id FROM eq{name} a JOIN eq{name} b ON a.t = b.t AND a.id < b.id),
-nb{name} AS (SELECT s.id, row_number() OVER (ORDER BY s.id) AS nth, coalesce(l, []) AS l FROM {src} s LEFT JOIN (SELECT j, list(i) AS l FROM edges{name} GROUP BY j) ON j = s.id),
+nb{name} AS MATERIALIZED (SELECT s.id, row_number() OVER (ORDER BY s.id) AS nth, coalesce(l, []) AS l FROM {src} s LEFT JOIN (SELECT j, list(i) AS l FROM edges{name} GROUP BY j) ON j = s.id),
 walk{name}(nth, kept) AS (
   SELECT 0::BIGINT, []::BIGINT[]
   UNION ALL SELECT nb{name}.nth, CASE WHEN list_has_any(l, kept) THEN kept ELSE list_append(kept, id) END FROM walk{name} JOIN nb{name} ON nb{name}.nth = walk{name}.nth + 1
@@ -94,9 +94,9 @@ kept{name} AS (SELECT unnest(kept) AS id FROM (SELECT kept FROM walk{name} ORDER
 def _overlap(src: str) -> str:
     """Contaminated ids of ``src``: near (with similarity and item) and exact."""
     return f"""
-{_pairs(src, "d")[: _pairs(src, "d").index("pairsd AS")]}
+{_pairs(src, "d")[: _pairs(src, "d").index("pairsd AS MAT")]}
 bench AS (SELECT item_id AS id, text FROM benchmark),
-{_pairs("bench", "b")[: _pairs("bench", "b").index("pairsb AS")]}
+{_pairs("bench", "b")[: _pairs("bench", "b").index("pairsb AS MAT")]}
 near AS (
   SELECT x.id, y.id AS eval_id, count(*) AS shared, any_value(a.n) AS n, any_value(b.n) AS m, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS similarity
   FROM shd x JOIN shb y ON x.s = y.s JOIN cntd a ON a.id = x.id JOIN cntb b ON b.id = y.id GROUP BY x.id, y.id
