@@ -129,11 +129,10 @@ def repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     placed = every.withColumn("place", place).withColumn("least", F.min("place").over(Window.partitionBy("cell", "salt", "h")))
     later = placed.where(F.col("place") != F.col("least")).select("id", "print", "start")
     if salted:
-        # one condition, which cannot be asked for before the shuffle
-        firsts = placed.where(F.when(F.col("place") == F.col("least"), F.col("salt")).otherwise(0) > 0).select("cell", "h", "id", "print", "start", "place")
-        top = firsts.groupBy("cell", "h").agg(F.min("place").alias("top"))
-        beaten = firsts.join(top, ["cell", "h"]).where(F.col("place") != F.col("top")).select("id", "print", "start")
-        later = later.unionByName(beaten)
+        # one condition, which cannot be asked for before the shuffle; no join, whose sides would each shuffle the runs
+        firsts = placed.where(F.when(F.col("place") == F.col("least"), F.col("salt")).otherwise(0) > 0)
+        beaten = firsts.withColumn("top", F.min("place").over(Window.partitionBy("cell", "h"))).where(F.col("place") != F.col("top"))
+        later = later.unionByName(beaten.select("id", "print", "start"))
     removed = later.groupBy("id", "print").agg(F.array_sort(F.collect_set("start")).alias("starts"))
     # joined by the key alone, as the suspects are, so that the texts are shuffled once
     owned = removed.groupBy(F.xxhash64("id", "print").alias("key")).agg(F.collect_list(F.struct("id", "print", "starts")).alias("owned"))
