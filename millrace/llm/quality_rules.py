@@ -45,6 +45,16 @@ def _repeat_words(w: Column, hashes: Column) -> Column:
     return F.aggregate(gaps, F.lit(0), lambda total, x: total + x)
 
 
+def _hashes(w: Column) -> Column:
+    """The hash of each window, null for texts that have one or none."""
+    windows = F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]))
+    return F.when(F.size(w) > WINDOW, windows)
+
+
+def _n_repeat_words(w: Column, h: Column) -> Column:
+    return F.when((F.size(w) > WINDOW) & (F.size(F.array_distinct(h)) < F.size(h)), _repeat_words(w, h)).otherwise(0).cast("long")
+
+
 def with_features(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with a column ``_features`` of n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words.
 
@@ -53,13 +63,9 @@ def with_features(df: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     w, h = F.col("_words"), F.col("_hashes")
-    long_enough = F.size(w) > WINDOW
     return (
         df.withColumn("_words", words(F.col(text_col)))
-        .withColumn(
-            "_hashes",
-            F.when(long_enough, F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]))),
-        )
+        .withColumn("_hashes", _hashes(F.col("_words")))
         .withColumn("_lines", lines)
         .withColumn(
             "_features",
@@ -68,7 +74,7 @@ def with_features(df: DataFrame, text_col: str = "text") -> DataFrame:
                 F.length(squeezed(F.col(text_col))).cast("long").alias("word_chars"),
                 F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
                 (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-                F.when(long_enough & (F.size(F.array_distinct(h)) < F.size(h)), _repeat_words(w, h)).otherwise(0).cast("long").alias("n_repeat_words"),
+                _n_repeat_words(w, h).alias("n_repeat_words"),
             ),
         )
         .drop("_words", "_hashes", "_lines")
@@ -119,7 +125,10 @@ def quality_verdicts(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def keep_good(df: DataFrame, text_col: str = "text", host_col: str = "source", rules: Rules = Rules()) -> DataFrame:
     """The rows of ``df`` that the rules keep, with their columns unchanged."""
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(text_col).alias("_text"), F.col(host_col).alias("_host"))
-    judged = with_features(rows, "_text").select("_row", "_host", _failed(rules).alias("_failed"))
+    # each array once: a filter is moved to the scan, and what it uses would else be repeated inside its lambdas
+    limit = rules.max_repeat_percent
+    failed = let(words(F.col("_text")), lambda w: let(_hashes(w), lambda h: (F.size(w) < rules.min_words) | (100 * _n_repeat_words(w, h) > limit * F.size(w))))
+    judged = rows.select("_row", "_host", failed.alias("_failed"))
     rejected = _rejected_hosts(judged.select("_host", "_failed"), rules)
     return judged.where("NOT _failed").join(rejected.select("_host"), "_host", "left_anti").select("_row.*")
 
