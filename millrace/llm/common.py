@@ -33,7 +33,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def words(text: Column) -> Column:
     """The words of a text (runs of characters other than white space); null and blank texts have none."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{SPACE}+|{SPACE}+$", "")
+    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{SPACE}+|{SPACE}+\z", "")
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"{SPACE}+"))
 
 

@@ -50,3 +50,12 @@ def test_hosts_and_odd_rows(spark):
     assert kept == sorted(str(r[0]) for r in got if r[8])
     assert quality_rules.keep_good(df).columns == df.columns
     assert quality_rules.quality_verdicts(df.limit(0)).count() == 0 == quality_rules.keep_good(df.limit(0)).count()
+
+
+def test_white_space_before_a_final_line_separator(spark):
+    nine = " ".join(f"w{k}" for k in range(9))
+    rows = [(k, f"{nine} {end}", None) for k, end in enumerate(("\x85", "\u2028", "\u2029", "\x85 ", " ", "\n"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(map(tuple, quality_rules.quality_verdicts(df).collect()), key=str)
+    assert got == expected(rows)
+    assert [r[1] for r in got] == [10, 10, 10, 10, 9, 9]
