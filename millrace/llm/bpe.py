@@ -26,10 +26,13 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import checkpointed
 from millrace.llm.lexicon import Lexicon, compile_lexicon
 
 #: Frequent words in the lexicon, and entries of a summary: every word that makes up more than one in SUMMARY is found.
 LEXICON_WORDS, SUMMARY = 1 << 16, 1 << 17
+#: Bytes of a word beyond which it is never in the lexicon.
+LONGEST = 256
 #: Bytes of texts that are handled at once, and unseen words that a worker remembers.
 SLICE, REMEMBERED = 1 << 22, 400_000
 #: Bytes beyond which a pre-token is merged with a heap.
@@ -188,7 +191,7 @@ def decode_ids(ids: bytes, vocab_path: str) -> str:
 
 
 def frequent_words(df: DataFrame, text_col: str, vocab_path: str, count: int = LEXICON_WORDS, summary: int = SUMMARY) -> list[str]:
-    """Up to ``count`` frequent words of all texts.
+    """The most frequent words of all texts, whole levels of frequency of them as far as ``count`` goes.
 
     Each task keeps a summary of at most ``summary`` counters (when there are more, the excess count is taken off all),
     and the summaries are added up; memory and result are bounded, and all rows are read.
@@ -205,9 +208,18 @@ def frequent_words(df: DataFrame, text_col: str, vocab_path: str, count: int = L
         counts = _reduced(counts, summary)
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
-    found = df.select(F.col(text_col).alias("text")).mapInArrow(summed, "word string, n long")
-    top = found.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(count)
-    return [r["word"] for r in top.collect()]  # at most count words
+    found = df.select(F.col(text_col).alias("text")).mapInArrow(summed, "word string, n long").where(F.octet_length("word") <= LONGEST)
+    # eight levels for each power of two: a few hundred rows tell how far down the words are few enough
+    counts = checkpointed(found.groupBy("word").agg(F.sum("n").alias("n")).withColumn("level", F.floor(8 * F.log2("n")).cast("int")))
+    least, total = None, 0
+    for level, n in sorted(((r["level"], r["n"]) for r in counts.groupBy("level").agg(F.count("*").alias("n")).collect()), reverse=True):
+        total += n
+        if total > count:
+            break
+        least = level
+    if least is None:
+        return []
+    return [r["word"] for r in counts.where(F.col("level") >= least).select("word").collect()]  # at most count words
 
 
 def _reduced(counts: Counter[str], size: int) -> Counter[str]:

@@ -25,7 +25,8 @@ NAMES = {"system": "System", "user": "User", "assistant": "Assistant", "tool": "
 ROLES = {v: k for k, v in NAMES.items()}
 END = "</turn>"
 _HEADER = r"### (?:System|User|Assistant|Tool|role=[^\s:]*): "
-_CONTROL = re.compile(rf"(\\*)({_HEADER}|{END})")
+# All backslashes before a control string; a run of them is looked at once, from its start.
+_CONTROL = re.compile(rf"(?<!\\)(\\*+)({_HEADER}|{END})")
 _START = re.compile(_HEADER)
 
 
@@ -86,8 +87,8 @@ def format_turns(
     ``loss_chars`` (the body of a turn whose role is in ``learn``, as rendered; null for others). The conversation's
     text is its turns' one after the other.
 
-    Turns are ordered by number (nulls first), role and text; null roles and texts count as empty; rows with a null
-    conversation form one. Repeated rows are turns of their own. An empty table gives an empty one. Other columns of
+    Turns are ordered by number (nulls first), role and text; null roles and texts count as empty; each row with a null
+    conversation is one of its own. Repeated rows are turns of their own. An empty table gives an empty one. Other columns of
     ``df`` may have any names.
     """
     rows = df.select(
@@ -101,7 +102,7 @@ def format_turns(
         for batch in batches:
             out = []
             for c, role, text in zip(*(batch[n].to_pylist() for n in ("conv", "role", "text")), strict=True):
-                if c != conv:
+                if c is None or c != conv:
                     conv, start = c, 0
                 rendered = render_turn(role, text)
                 loss = role in learned
@@ -114,7 +115,8 @@ def format_turns(
                 [batch["conv"], *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))], names=["conv", "rendered", "start", "loss_start", "loss_chars"]
             )
 
-    ordered = rows.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text")
+    # rows without a conversation are spread
+    ordered = rows.repartition("conv", F.when(F.col("conv").isNull(), F.xxhash64("turn", "role", "text"))).sortWithinPartitions("conv", "turn", "role", "text")
     return ordered.mapInArrow(formatted, f"conv {kind}, rendered string, start long, loss_start long, loss_chars long")
 
 
@@ -138,7 +140,7 @@ def read_back(turns: DataFrame, conv_col: str = "conv_id") -> DataFrame:
         for batch in batches:
             done = []
             for conv, rendered, start, at, n in zip(*(batch[c].to_pylist() for c in ("conv", "rendered", "start", "loss_start", "loss_chars")), strict=True):
-                if state is None or conv != state[0]:
+                if state is None or conv is None or conv != state[0]:
                     if state is not None:
                         done.append(close(state))
                     state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.text import let
+from millrace.session import checkpointed, shared_folder
+
+__all__ = ["SPACE", "checkpointed", "let", "shared_folder", "squeezed", "table", "text_key", "without_rows", "words"]
+
 #: White space of all word and normalisation rules, as a Java pattern.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -17,20 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, a temporary one only where that is unset, as in tests."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
-    return context.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back, its lineage cut."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def words(text: Column) -> Column:
     """The words of a text (runs of characters other than white space); null and blank texts have none."""
     trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{SPACE}+|{SPACE}+\z", "")
@@ -42,12 +30,14 @@ def squeezed(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), f"{SPACE}+", "")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, evaluated once however often, and inside whichever lambda, ``body`` uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def text_key(text: Column) -> Column:
+    """A key of 128 bits by which equal texts meet; null counts as empty."""
+    text = F.coalesce(text, F.lit(""))
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
 
 
-def without_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """The rows of ``df`` whose id is not among ``ids``, with their columns unchanged; rows without an id stay."""
-    dropped = ids.select(F.col(id_col).alias("_dropped")).where("_dropped IS NOT NULL").distinct()
-    return df.join(dropped, df[id_col] == dropped["_dropped"], "left_anti")
+def without_rows(df: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``df`` whose id and text are not among those of ``gone`` (columns _id and _key, of ``text_key``), with
+    their columns unchanged."""
+    gone = gone.select(F.col("_id").alias("_gone_id"), F.col("_key").alias("_gone_key")).distinct()
+    return df.join(gone, df[id_col].eqNullSafe(gone["_gone_id"]) & (text_key(df[text_col]) == gone["_gone_key"]), "left_anti")

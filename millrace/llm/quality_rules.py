@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import checkpointed, let, squeezed, words
+from millrace.llm.common import checkpointed, let, squeezed, text_key, words
 
 #: Rows up to which a checked table of hosts is broadcast.
 BROADCAST_ROWS = 10_000
@@ -94,6 +94,7 @@ def host_verdicts(failures: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """
     hosts = failures.where("_host IS NOT NULL").groupBy("_host").agg(F.count("*").alias("n"), F.count_if("_failed").alias("f"))
     hosts = hosts.withColumn("rate", F.col("f") / F.col("n"))
+    hosts = checkpointed(hosts)  # used twice
     prior = hosts.agg(F.avg("rate").alias("m"), F.var_pop("rate").alias("v"))  # one row
     c = F.greatest(F.lit(0.0), F.col("m") * (1 - F.col("m")) / F.col("v") - 1)
     shrunk = F.when(F.col("v") < 1e-15, F.col("m")).otherwise((F.col("f") + F.col("m") * c) / (F.col("n") + c))
@@ -123,14 +124,17 @@ def quality_verdicts(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_good(df: DataFrame, text_col: str = "text", host_col: str = "source", rules: Rules = Rules()) -> DataFrame:
-    """The rows of ``df`` that the rules keep, with their columns unchanged."""
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(text_col).alias("_text"), F.col(host_col).alias("_host"))
+    """The rows of ``df`` that the rules keep, with their columns unchanged. The rules are evaluated once; texts that fail are
+    then left out by their key."""
     # each array once: a filter is moved to the scan, and what it uses would else be repeated inside its lambdas
     limit = rules.max_repeat_percent
     failed = let(words(F.col("_text")), lambda w: let(_hashes(w), lambda h: (F.size(w) < rules.min_words) | (100 * _n_repeat_words(w, h) > limit * F.size(w))))
-    judged = rows.select("_row", "_host", failed.alias("_failed"))
-    rejected = _rejected_hosts(judged.select("_host", "_failed"), rules)
-    return judged.where("NOT _failed").join(rejected.select("_host"), "_host", "left_anti").select("_row.*")
+    rows = df.select(F.col(text_col).alias("_text"), F.col(host_col).alias("_host"))
+    judged = checkpointed(rows.select("_host", text_key(F.col("_text")).alias("_gone"), failed.alias("_failed")))  # no texts
+    rejected = _rejected_hosts(judged, rules).select(F.col("_host").alias("_rejected"))
+    bad = judged.where("_failed").select("_gone").distinct()
+    good = df.join(rejected, df[host_col] == rejected["_rejected"], "left_anti")
+    return good.join(bad, text_key(df[text_col]) == bad["_gone"], "left_anti")
 
 
 ORACLE_SQL = r"""

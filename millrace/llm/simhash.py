@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import checkpointed, without_ids
+from millrace.llm.common import checkpointed
 from millrace.llm.components import components
 
 #: Bits that may differ, and segments of the fingerprint.
@@ -49,6 +49,15 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(shingles)).tobytes(), "big")
 
 
+def sign_bits(hashes: np.ndarray) -> int:
+    """The SimHash of 64-bit hashes as a signed number: bit k is set if it is set in over half of them."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        part = np.ascontiguousarray(hashes[at : at + BLOCK].astype(">i8"))
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big", signed=True)
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id`` and ``fp`` (the fingerprint's bits as a signed long) of each row."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -75,6 +84,20 @@ def _chain(diff: Column, start: Column, length: int) -> Column:
     return total
 
 
+def pigeonring(diff: Column, budget: int) -> Column:
+    """Whether from some segment of ``diff`` on every chain of segments has at most its share of ``budget`` bits set; true of
+    all ``diff`` with at most ``budget`` bits."""
+    bits = [F.bit_count(_segment(diff, k)) for k in range(SEGMENTS)]
+    passes = F.lit(False)
+    for k in range(SEGMENTS):
+        chain, total = F.lit(True), F.lit(0)
+        for n in range(1, SEGMENTS):
+            total = total + bits[(k + n - 1) % SEGMENTS]
+            chain = chain & (SEGMENTS * total <= n * budget)
+        passes = passes | chain
+    return passes
+
+
 def links(distinct: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """Links ``a``, ``b`` between the fingerprints ``fp`` of a table without repeats.
 
@@ -82,6 +105,8 @@ def links(distinct: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
     fingerprints, which are connected by links of the definition instead of being listed.
     """
     fp = F.col("fp")
+    # as many partitions as shuffles have, not fewer for the few bytes of fingerprints: each makes 68 keys
+    distinct = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
 
     def key(k: int, flip: int) -> Column:
         return F.struct(
@@ -134,9 +159,3 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     tops = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(tops, "root").select("fp", "component_id")
     return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` with the least id of their component, columns unchanged; rows without an id stay."""
-    groups = near_groups(df, id_col, text_col)
-    return without_ids(df, groups.where(F.col(id_col) != F.col("component_id")).select(id_col), id_col)

@@ -28,7 +28,9 @@ def test_odd_rows_and_shared_starts(spark):
     lazy = exact_dedup.exact_groups(df).collect()
     assert {r["doc_id"] for r in lazy if r["text_sha256"] is None} == {10}  # only its length is shared
     assert exact_dedup.exact_groups(df.limit(0)).count() == 0
-    assert sorted(r["doc_id"] or 0 for r in exact_dedup.drop_exact_duplicates(df).collect()) == [0, 3, 6, 8, 9, 9, 10, 11]
+    assert sorted(r["doc_id"] or 0 for r in exact_dedup.drop_exact_duplicates(df).collect()) == [3, 6, 8, 9, 9, 10, 11]
+    same = spark.createDataFrame([(1, "a"), (1, "b"), (0, "b "), (2, "b")], "doc_id long, text string")  # an id with two texts
+    assert sorted(map(tuple, exact_dedup.drop_exact_duplicates(same).collect())) == [(0, "b "), (1, "a")]
 
 
 def test_documents(spark, sf_dir):
