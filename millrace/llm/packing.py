@@ -2,16 +2,16 @@
 
 Documents are cut into pieces no longer than a sequence. Pieces of the same length are interchangeable, and so are
 sequences with the same gap, and there are at most ``capacity`` of either kind; a round therefore works on runs of
-equal pieces and equal gaps, whose number does not grow with the data:
+equal pieces and equal gaps, whose number does not grow with the data. Rounds go through the lengths, longest first:
 
-* lengths and gaps are sorted together, largest first, and one sweep gives each length the nearest gap that holds it;
-* where a run of pieces and a run of gaps meet, the k-th piece takes the k-th gap (conflicts are resolved by rank), and
-  what is left of the longer run goes on to the next;
-* the gaps are updated, and rounds repeat until no piece fits. Then as many sequences as the rest needs at least are
-  opened for its longest pieces.
+* all pieces of the length are matched at once to their successor, the nearest gaps that hold them;
+* where more pieces than gaps meet, rank decides: the first take these gaps, the others go on to the next nearest, and
+  to new sequences when there is none;
+* the gaps are updated before the next round, and so the sequences are no more than best fit decreasing needs.
 
 The rows themselves stay distributed: they are ranked within their length from counts by partition, and each piece looks
-up the match that covers its length and rank.
+up the match that covers its length and rank. Counting, ranking and placing are jobs over all pieces; what a round looks
+at are at most ``capacity`` counts.
 """
 
 from __future__ import annotations
@@ -102,54 +102,44 @@ def tokenised_pieces(df: DataFrame, tokenizer_path: str, id_col: str, text_col:
 
 
 def match_rounds(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
-    """Matches (length, first rank, count, first sequence, offset) that place all pieces, and the number of sequences.
+    """Matches (length, first rank, pieces in a sequence, first sequence, first offset) that place all pieces, and the number
+    of sequences. A match holds from its first rank to that of the next match of the length.
 
-    ``counts``: pieces by length. All state is runs of equal pieces and of equal gaps.
+    ``counts``: pieces by length. All state is runs of equal pieces and of equal gaps; the sequences are as many as those of
+    best fit decreasing, piece by piece: of equal pieces, each fills the sequence that the one before it was put into as far as it goes,
+    as no other gap can be nearer.
     """
     matches: list[tuple[int, int, int, int, int]] = []
-    waiting = {n: [0, c] for n, c in counts.items() if c}  # length -> [next rank, pieces left]
     gaps: dict[int, list[tuple[int, int]]] = {}  # gap -> runs (first sequence, count)
+    held = np.zeros(capacity + 1, np.int8)  # gaps that some sequence has
     opened = 0
 
-    def place(length: int, count: int, sequence: int, gap: int, to: dict) -> None:
-        matches.append((length, waiting[length][0], count, sequence, capacity - gap))
-        waiting[length] = [waiting[length][0] + count, waiting[length][1] - count]
-        if gap > length:
-            to.setdefault(gap - length, []).append((sequence, count))
-
-    while any(left for _, left in waiting.values()):
-        lengths = sorted((n for n, (_, left) in waiting.items() if left), reverse=True)
-        rest = sum(n * waiting[n][1] for n in lengths)
-        updated: dict[int, list[tuple[int, int]]] = {}
-        order = sorted(gaps, reverse=True)
-        stack: list[tuple[int, int, int]] = []  # runs of gaps that hold the current length, the nearest last
-        k = placed = 0
-        for n in lengths:
-            while k < len(order) and order[k] >= n:
-                stack += [(order[k], *run) for run in gaps[order[k]]]
-                k += 1
-            while stack and waiting[n][1]:
-                gap, sequence, count = stack.pop()
-                take = min(count, waiting[n][1])
-                place(n, take, sequence, gap, updated)
-                placed += take
-                if take < count:
-                    stack.append((gap, sequence + take, count - take))
-        if not placed:
-            new = -(-rest // capacity)
-            for n in lengths:
-                take = min(new, waiting[n][1])
-                if take:
-                    place(n, take, opened, capacity, updated)
-                    opened, new = opened + take, new - take
-            for gap in gaps:
-                updated.setdefault(gap, []).extend(gaps[gap])
-        else:
-            for gap in order[k:]:
-                updated.setdefault(gap, []).extend(gaps[gap])
-            for gap, sequence, count in stack:
-                updated.setdefault(gap, []).append((sequence, count))
-        gaps = updated
+    def leave(gap: int, sequence: int, count: int) -> None:
+        if gap and count:
+            gaps.setdefault(gap, []).append((sequence, count))
+            held[gap] = 1
+
+    for n in sorted(counts, reverse=True):
+        rank, left = 0, counts[n]
+        while left:
+            found = int(held[n:].argmax()) + n
+            if held[found]:  # the successor: the nearest gap that holds the length
+                gap, (sequence, count) = found, gaps[found].pop()
+                if not gaps[found]:
+                    held[found] = 0
+            else:
+                each = capacity // n
+                gap, sequence, count = capacity, opened, -(-left // each)
+                opened += count
+            each = gap // n
+            matches.append((n, rank, each, sequence, capacity - gap))
+            full = min(count, left // each)
+            rest = min(left - full * each, each - 1) if full < count else 0  # pieces of the last sequence, not filled
+            leave(gap - each * n, sequence, full)
+            if rest:
+                leave(gap - rest * n, sequence + full, 1)
+            leave(gap, sequence + full + bool(rest), count - full - bool(rest))
+            rank, left = rank + full * each + rest, left - full * each - rest
     return np.array(sorted(matches), np.int64).reshape(-1, 5), opened
 
 
@@ -177,10 +167,11 @@ def pack(
             length = batch["length"].to_numpy()
             rank = batch["nth"].to_numpy() + batch["before"].to_numpy()
             at = np.searchsorted(first, length << 48 | rank, "right") - 1
-            sequence = matches[at, 3] + rank - matches[at, 1]
+            inside, each = rank - matches[at, 1], matches[at, 2]
+            sequence, offset = matches[at, 3] + inside // each, matches[at, 4] + inside % each * length
             names = [id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
             own = [batch[c] for c in ("id", "piece", "start", "length", "crc")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(sequence), pa.array(matches[at, 4])], names=names)
+            yield pa.RecordBatch.from_arrays([*own, pa.array(sequence), pa.array(offset)], names=names)
 
     ranked = rows.join(offsets, ["part", "length"]).select("id", "piece", "start", "length", "crc", "nth", "before")
     return ranked.mapInArrow(placed, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -1,11 +1,13 @@
 """Packing: the pieces against the tokenizer library, the sequences against their definition and plain best fit."""
 
+import bisect
 import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -33,12 +35,12 @@ def best_fit_decreasing(lengths, capacity):
 def test_rounds_place_every_piece_without_overlap(lengths):
     counts = Counter(lengths)
     matches, opened = packing.match_rounds(counts, 50)
-    filled, ranks = defaultdict(list), defaultdict(list)
-    for n, rank, count, sequence, offset in matches.tolist():
-        for k in range(count):
-            ranks[n].append(rank + k)
-            filled[sequence + k].append((offset, n))
-    assert {n: sorted(r) for n, r in ranks.items()} == {n: list(range(c)) for n, c in counts.items()}
+    filled = defaultdict(list)
+    for n, count in counts.items():
+        own = matches[matches[:, 0] == n]
+        for rank in range(count):
+            _, first, each, sequence, offset = own[np.searchsorted(own[:, 1], rank, "right") - 1].tolist()
+            filled[sequence + (rank - first) // each].append((offset + (rank - first) % each * n, n))
     assert sorted(filled) == list(range(opened))
     for places in filled.values():
         at = 0
@@ -46,14 +48,28 @@ def test_rounds_place_every_piece_without_overlap(lengths):
             assert offset == at
             at += n
         assert at <= 50
-    assert opened <= best_fit_decreasing(lengths, 50) + 1
+    assert opened == best_fit_decreasing(lengths, 50)
 
 
-def test_rounds_need_few_sequences():
+@pytest.mark.parametrize(("mean", "deviation", "count"), [(5.5, 1.2, 3000), (6.3, 0.8, 10_000), (7.0, 1.0, 20_000)])
+def test_rounds_need_no_more_than_best_fit(mean, deviation, count):
     rng = random.Random(1)
-    lengths = [min(2048, int(rng.lognormvariate(5.5, 1.2)) + 1) for _ in range(3000)]
+    lengths = [n for n in (int(rng.lognormvariate(mean, deviation)) + 1 for _ in range(count)) if n <= 2048]
     _, opened = packing.match_rounds(Counter(lengths), 2048)
-    assert opened <= -(-sum(lengths) // 2048) + 2
+    gaps = []  # sorted
+    for n in sorted(lengths, reverse=True):
+        k = bisect.bisect_left(gaps, n)
+        left = gaps.pop(k) - n if k < len(gaps) else 2048 - n
+        bisect.insort(gaps, left)
+    assert opened == len(gaps)
+
+
+def test_rounds_over_a_million_lengths_stay_near_the_bound():
+    rng = np.random.default_rng(1)
+    lengths = np.minimum(2048, rng.lognormal(6.3, 1.0, 1_000_000).astype(int) + 1)
+    matches, opened = packing.match_rounds(Counter(lengths.tolist()), 2048)
+    assert opened <= -(-int(lengths.sum()) // 2048) * 1.001
+    assert len(matches) < 50_000
 
 
 @settings(max_examples=150, deadline=None)
