@@ -7,8 +7,11 @@ of. Contexts meet by sequence; equal ones become one, with the least id among th
 contexts that differ, the stretches in which windows recur by hash go into a suffix array, in whose order equal windows
 are neighbours and are compared byte by byte.
 
-Shards are as many as shuffle partitions, so that a task's memory does not grow with the data; of a sequence in many
-documents, a slice of texts sends one entry to the sequence's shard and the others to shards by document.
+A sequence in more than ``HOT`` documents is dealt in parts, by document: each part has suffix arrays of its own, and the
+least id of a window in each part goes on to one more shuffle, by the bytes of the window, in which the least of all parts
+is found. The same settles a sequence whose contexts fill more than one suffix array. Shards are as many as shuffle
+partitions, or as the bytes of texts ask for, so that a task's memory does not grow with the data. Long texts are handled in
+pieces that overlap by a window.
 """
 
 from __future__ import annotations
@@ -19,17 +22,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.bpe import slices
+from millrace.llm.common import checkpointed
 from millrace.llm.suffix_array import suffix_array
 from millrace.llm.windows import mixed, prefix_sums, sliding_min, span_hashes
 
 LENGTH, GRAM = 50, 20
 #: Bytes of texts that are handled at once, of contexts that fill one suffix array, and at most go into one.
 SLICE, BATCH, BLOCK = 1 << 20, 1 << 15, 1 << 17
+#: Bytes of texts to a shard, documents that hold a sequence beyond which it is dealt in parts, and sequences so dealt at most:
+#: if there are more, the most frequent, in whole levels of frequency.
+SHARD, HOT, HOTTEST = 1 << 25, 2_000, 1 << 20
 _LAST = (1 << 63) - 1
 
 
@@ -54,6 +61,17 @@ def _runs(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.nd
     return least[own], text[own], at[own] - edges[text[own]], np.diff(np.append(own, len(at)))
 
 
+def _pieces(texts: list[bytes], length: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The texts, long ones as pieces that share ``length`` - 1 bytes with the next; of each piece the text and its start there."""
+    parts, owner, offset = [], [], []
+    for k, text in enumerate(texts):
+        for at in range(0, max(1, len(text) - length + 1), SLICE):
+            parts.append(text[at : at + SLICE + length - 1] if len(text) > SLICE else text)
+            owner.append(k)
+            offset.append(at)
+    return parts, np.array(owner, np.int64), np.array(offset, np.int64)
+
+
 def _cell(grams: np.ndarray) -> np.ndarray:
     return (grams & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
 
@@ -66,14 +84,17 @@ def _lists(values: pa.Array, starts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), values)
 
 
-def _shared_grams(docs: DataFrame, shards: int, length: int, gram: int) -> DataFrame:
-    """``key`` and ``cells`` of the documents' sequences that stand in two documents or more, by 32-bit cell."""
+def _shared_grams(docs: DataFrame, shards: int, length: int, gram: int) -> tuple[DataFrame, dict[int, int]]:
+    """``key`` and ``cells`` of the documents' sequences that stand in two documents or more, by 32-bit cell; and the number of
+    parts of those in many."""
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keys = [(t or "").encode() for t in batch["text"].to_pylist()], batch["key"].to_numpy()
-            for a, b in slices(texts, SLICE):
-                grams, text, _, _ = _runs(texts[a:b], length, gram)
+            parts, owner, _ = _pieces([(t or "").encode() for t in batch["text"].to_pylist()], length)
+            keys = batch["key"].to_numpy()[owner]
+            for a, b in slices(parts, SLICE):
+                grams, text, _, _ = _runs(parts[a:b], length, gram)
+                text = owner[a:b][text]
                 order = np.lexsort((text, grams))
                 grams, text = grams[order], text[order]
                 new = np.concatenate([[True], (grams[1:] != grams[:-1]) | (text[1:] != text[:-1])]) if len(grams) else np.empty(0, bool)
@@ -81,26 +102,27 @@ def _shared_grams(docs: DataFrame, shards: int, length: int, gram: int) -> DataF
                 if not len(grams):
                     continue
                 first = np.concatenate([[True], grams[1:] != grams[:-1]])
-                sure = np.concatenate([~first[1:], [False]])
-                # 0: counts once; 1: stands twice in the slice; 2: known from 1
-                kind = np.where(first, sure.astype(np.int8), np.int8(2))
-                own = keys[a:b][text]
+                starts = np.flatnonzero(first)
+                # the number of texts of the slice that hold the sequence, at the first; 0: known from the first to be in two
+                count = np.zeros(len(grams), np.int32)
+                count[starts] = np.diff(np.append(starts, len(grams)))
+                own = batch["key"].to_numpy()[text]
                 shard = np.where(first, _shard(grams, shards), _shard(mixed(own.view(np.uint64)), shards))
                 order = np.lexsort((text, shard))
                 shard = shard[order]
                 starts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
-                columns = (pa.array(_cell(grams)[order]), pa.array(own[order]), pa.array(kind[order]))
-                yield pa.RecordBatch.from_arrays([pa.array(shard[starts]), *(_lists(c, starts) for c in columns)], names=["shard", "cells", "keys", "kinds"])
+                columns = (pa.array(_cell(grams)[order]), pa.array(own[order]), pa.array(count[order]))
+                yield pa.RecordBatch.from_arrays([pa.array(shard[starts]), *(_lists(c, starts) for c in columns)], names=["shard", "cells", "keys", "counts"])
 
     def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [tuple(batch[c].flatten().to_numpy() for c in ("cells", "keys", "kinds")) for batch in batches]
+        held = [tuple(batch[c].flatten().to_numpy() for c in ("cells", "keys", "counts")) for batch in batches]
         if not held:
             return
-        cells, keys, kinds = (np.concatenate(x) for x in zip(*held, strict=True))
-        counted = kinds < 2
+        cells, keys, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+        counted = counts > 0
         found, place = np.unique(cells[counted], return_inverse=True)
-        n = np.bincount(place, weights=1 + kinds[counted], minlength=len(found))
-        keep = kinds == 2
+        n = np.bincount(place, weights=counts[counted], minlength=len(found)).astype(np.int64)
+        keep = ~counted
         keep[np.flatnonzero(counted)] = n[place] > 1
         cells, keys = cells[keep], keys[keep]
         bucket = _shard(mixed(keys.view(np.uint64)), shards)
@@ -108,6 +130,8 @@ def _shared_grams(docs: DataFrame, shards: int, length: int, gram: int) -> DataF
         cells, keys, bucket = cells[order], keys[order], bucket[order]
         starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else np.empty(0, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(bucket[starts]), _lists(pa.array(keys), starts), _lists(pa.array(cells), starts)], names=["bucket", "keys", "cells"])
+        if len(most := np.flatnonzero(n > HOT)):  # with the number of documents in place of keys
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([n[most]]), pa.array([found[most]])], names=["bucket", "keys", "cells"])
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [tuple(batch[c].flatten().to_numpy() for c in ("keys", "cells")) for batch in batches]
@@ -122,9 +146,20 @@ def _shared_grams(docs: DataFrame, shards: int, length: int, gram: int) -> DataF
             end = starts[k + 10_000] if k + 10_000 < len(starts) else len(keys)
             yield pa.RecordBatch.from_arrays([pa.array(keys[part]), _lists(pa.array(cells[part[0] : end]), part - part[0])], names=["key", "cells"])
 
-    packed = docs.select("text", "key").mapInArrow(sent, "shard int, cells array<int>, keys array<long>, kinds array<tinyint>")
-    shared = packed.repartitionById(shards, "shard").mapInArrow(answered, "bucket int, keys array<long>, cells array<int>")
-    return shared.repartitionById(shards, "bucket").mapInArrow(listed, "key long, cells array<int>")  # one row a document
+    packed = docs.select("text", "key").mapInArrow(sent, "shard int, cells array<int>, keys array<long>, counts array<int>")
+    shared = checkpointed(packed.repartitionById(shards, "shard").mapInArrow(answered, "bucket int, keys array<long>, cells array<int>"))
+    often = shared.where("bucket < 0").select(F.inline(F.arrays_zip(F.col("keys").alias("n"), F.col("cells").alias("cell"))))
+    often = often.withColumn("level", F.floor(8 * F.log2("n")).cast("int"))
+    least, total = None, 0
+    for level, n in sorted(((r["level"], r["n"]) for r in often.groupBy("level").agg(F.count("*").alias("n")).collect()), reverse=True):
+        total += n
+        if total > HOTTEST:
+            break
+        least = level
+    rows = often.where(F.col("level") >= least).select("cell", "n").collect() if least is not None else []  # HOTTEST at most
+    parts = {r["cell"]: -(-r["n"] // HOT) for r in rows}
+    cells = shared.where("bucket >= 0").repartitionById(shards, "bucket").mapInArrow(listed, "key long, cells array<int>")  # one row a document
+    return cells, parts
 
 
 def _packed(contexts: list[bytes]) -> bytes:
@@ -141,18 +176,20 @@ def _unpacked(block: bytes) -> list[bytes]:
     return out
 
 
-def _contexts(docs: DataFrame, shards: int, length: int, gram: int, unique: bool) -> DataFrame:
+def _contexts(docs: DataFrame, shards: int, length: int, gram: int, unique: bool, dealt: dict[int, int]) -> DataFrame:
     """Contexts of shared sequences, packed by slice of texts and shard: each different one, and where it stands.
 
-    Where ids are ``unique`` they are the keys, and ``keys`` is empty.
+    Where ids are ``unique`` they are the keys, and ``keys`` is empty. ``dealt``: the parts of cells that are dealt in parts.
     """
+    hot = np.array(sorted(dealt), np.int32)
+    deal = np.array([dealt[c] for c in sorted(dealt)], np.uint64)
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(t or "").encode() for t in batch["text"].to_pylist()]
-            keys, ids = batch["key"].to_numpy(), batch["id"].to_numpy()
+            texts, owner, offset = _pieces([(t or "").encode() for t in batch["text"].to_pylist()], length)
+            keys, ids = batch["key"].to_numpy()[owner], batch["id"].to_numpy()[owner]
             for a, b in slices(texts, SLICE):
-                listed = np.unique(batch["cells"].slice(a, b - a).flatten().to_numpy())
+                listed = np.unique(batch["cells"].slice(owner[a], owner[b - 1] - owner[a] + 1).flatten().to_numpy())
                 grams, text, start, windows = _runs(texts[a:b], length, gram)
                 if not len(grams) or not len(listed):
                     continue
@@ -160,7 +197,12 @@ def _contexts(docs: DataFrame, shards: int, length: int, gram: int, unique: bool
                 keep = np.flatnonzero(listed[np.minimum(np.searchsorted(listed, own), len(listed) - 1)] == own)
                 if not len(keep):
                     continue
-                shard = _shard(grams[keep], shards)
+                to = grams[keep]
+                if len(hot):
+                    place = np.minimum(np.searchsorted(hot, own[keep]), len(hot) - 1)
+                    salt = mixed(keys[a:b][text[keep]].view(np.uint64) + np.uint64(1)) % np.where(hot[place] == own[keep], deal[place], np.uint64(1))
+                    to = np.where(salt > 0, mixed(to + salt), to)
+                shard = _shard(to, shards)
                 order = np.argsort(shard, kind="stable")
                 keep, shard = keep[order], shard[order]
                 cells, text, start, windows = own[keep], text[keep], start[keep], windows[keep]
@@ -184,7 +226,7 @@ def _contexts(docs: DataFrame, shards: int, length: int, gram: int, unique: bool
                     [
                         pa.array(rows["shard"], pa.int32()), pa.array(rows["cells"], pa.list_(pa.int32())), pa.array(rows["contexts"], pa.binary()),
                         pa.array(rows["refs"], pa.list_(pa.int32())), _lists(pa.array(keys[:0]), at * 0) if unique else _lists(pa.array(keys[a:b][text]), at),
-                        _lists(pa.array(ids[a:b][text]), at), _lists(pa.array(start, pa.int32()), at),
+                        _lists(pa.array(ids[a:b][text]), at), _lists(pa.array(start + offset[a:b][text], pa.int32()), at),
                     ],
                     names=["shard", "cells", "contexts", "refs", "keys", "ids", "starts"],
                 )
@@ -193,19 +235,21 @@ def _contexts(docs: DataFrame, shards: int, length: int, gram: int, unique: bool
     return docs.select("id", "key", "text", "cells").mapInArrow(sent, schema)
 
 
-def least_ids(contexts: list[bytes], cells: np.ndarray, ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def least_ids(contexts: list[bytes], cells: np.ndarray, ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each window of different contexts the least id among the contexts of its sequence that hold it; the first
-    window of each context. ``ids``: the least id of each context."""
+    window of each context; and the contexts whose sequence fills more than one suffix array, so that the least ids are
+    those of an array. ``ids``: the least id of each context."""
     sizes = np.array([len(c) for c in contexts], np.int64)
     windows = sizes - length + 1
     first = np.cumsum(windows) - windows
     least = np.repeat(ids, windows)
+    parted = np.zeros(len(contexts), bool)
     order = np.argsort(cells, kind="stable")
     cells = cells[order]
     _, begin, count = np.unique(cells, return_index=True, return_counts=True)
     several = order[np.repeat(count > 1, count)]  # contexts of sequences with more than one, by sequence
     if not len(several):
-        return least, first
+        return least, first, parted
     # stretches in which windows recur, by hash, in other contexts
     data = np.frombuffer(b"".join(contexts[k] for k in several.tolist()), np.uint8)
     edges = np.cumsum(sizes[several]) - sizes[several]
@@ -228,38 +272,24 @@ def least_ids(contexts: list[bytes], cells: np.ndarray, ids: np.ndarray, length:
     marked = np.flatnonzero(begin >= 0)
     width = (end - begin)[marked]
     bounds = np.append(np.flatnonzero(np.concatenate([[True], group[marked][1:] != group[marked][:-1]])), len(marked)).tolist() if len(marked) else [0]
-    settle = lambda batch, merged=None: _settle(batch, contexts, several, begin, end, ids, least, first, length, merged)
     batch: list[int] = []
     size = 0
     for lo, hi in zip(bounds, bounds[1:], strict=False):
-        if (whole := int(width[lo:hi].sum())) > BLOCK:
-            _settle_blocks(marked[lo:hi].tolist(), width[lo:hi], settle, contexts, several, begin, end, least, first, length)
-            continue
-        batch += marked[lo:hi].tolist()
-        size += whole
-        if size > BATCH:
-            settle(batch)
-            batch, size = [], 0
+        if int(width[lo:hi].sum()) > BLOCK:
+            parted[several[marked[lo:hi]]] = True
+        for k in range(lo, hi):
+            batch.append(int(marked[k]))
+            size += int(width[k])
+            if size > (BLOCK if k + 1 < hi else BATCH):
+                _settle(batch, contexts, several, begin, end, least, first, length)
+                batch, size = [], 0
     if batch:
-        settle(batch)
-    return least, first
-
-
-def _settle_blocks(group: list[int], width: np.ndarray, settle, contexts: list[bytes], several: np.ndarray, begin: np.ndarray, end: np.ndarray, least: np.ndarray, first: np.ndarray, length: int) -> None:  # noqa: ANN001
-    """The same for a sequence with many contexts: a suffix array for each block of them gives its different windows, of
-    which those of all blocks are put together."""
-    merged: dict[bytes, int] = {}
-    block = (np.cumsum(width) - width) // BLOCK
-    for edge in np.split(np.array(group), np.flatnonzero(np.diff(block)) + 1):
-        settle(edge.tolist(), merged)
-    for k in group:
-        own, a, b = int(several[k]), int(begin[k]), int(end[k])
-        c, at = contexts[own], int(first[own])
-        least[at + a : at + b - length + 1] = [merged[c[j : j + length]] for j in range(a, b - length + 1)]
+        _settle(batch, contexts, several, begin, end, least, first, length)
+    return least, first, parted
 
 
-def _settle(batch: list[int], contexts: list[bytes], several: np.ndarray, begin: np.ndarray, end: np.ndarray, ids: np.ndarray, least: np.ndarray, first: np.ndarray, length: int, merged: dict[bytes, int] | None) -> None:
-    """Lower ``least`` to the least id of equal windows among the stretches of the batch, and ``merged`` by window, if given."""
+def _settle(batch: list[int], contexts: list[bytes], several: np.ndarray, begin: np.ndarray, end: np.ndarray, least: np.ndarray, first: np.ndarray, length: int) -> None:
+    """Lower ``least`` to the least id of equal windows among the stretches of the batch."""
     parts, window = [], []
     for k in batch:
         own, a, b = int(several[k]), int(begin[k]), int(end[k])
@@ -277,14 +307,16 @@ def _settle(batch: list[int], contexts: list[bytes], several: np.ndarray, begin:
     places = window[order]
     lowest = np.minimum.reduceat(least[places], starts)
     least[places] = np.repeat(lowest, np.diff(np.append(starts, len(order))))
-    if merged is not None:
-        for at, low in zip(order[starts].tolist(), lowest.tolist(), strict=True):
-            key = (text[at : at + length] - 2).astype(np.uint8).tobytes()
-            merged[key] = min(low, merged.get(key, low))
 
 
-def _removed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Spans of a shard's contexts whose windows stand in a document with a smaller id."""
+def _fixed(values: np.ndarray) -> pa.Array:
+    """Numbers as binary values of eight bytes."""
+    return pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(8 * np.arange(len(values) + 1, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _removed(batches: Iterator[pa.RecordBatch], length: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Spans of a shard's contexts whose windows stand in a document with a smaller id; and, as ``open``, each window that has
+    the least id here, but may have a smaller one in another part or suffix array, with its bytes as ``w``. Spans have their key there."""
     index: dict[bytes, int] = {}
     contexts: list[bytes] = []
     cells: list[np.ndarray] = []
@@ -309,20 +341,28 @@ def _removed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
     ref, key, doc, start = (np.concatenate(x) for x in (refs, keys, ids, starts))
     lowest = np.full(len(contexts), _LAST)
     np.minimum.at(lowest, ref, doc)
-    least, first = least_ids(contexts, np.array(cells), lowest, length)
+    least, first, parted = least_ids(contexts, np.array(cells), lowest, length)
+    parted |= np.isin(np.array(cells), hot)
     windows = np.array([len(c) for c in contexts], np.int64) - length + 1
     for a in range(0, len(ref), 50_000):
         r, d, s, k = ref[a : a + 50_000], doc[a : a + 50_000], start[a : a + 50_000], key[a : a + 50_000]
         owner = np.repeat(np.arange(len(r)), windows[r])
         inside = np.arange(len(owner)) - np.repeat(np.cumsum(windows[r]) - windows[r], windows[r])
         gone = least[first[r][owner] + inside] < d[owner]
-        at = np.flatnonzero(gone)
-        if not len(at):
-            continue
-        new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (owner[at[1:]] != owner[at[:-1]])])
-        head, tail = at[new], at[np.concatenate([new[1:], [True]])]
-        o = owner[head]
-        yield pa.RecordBatch.from_arrays([pa.array(k[o]), pa.array(d[o]), pa.array(s[o] + inside[head]), pa.array(s[o] + inside[tail] + length)], names=["key", "id", "start", "stop"])
+        names = ["w", "key", "id", "start", "stop", "open"]
+        if len(at := np.flatnonzero(gone)):
+            new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (owner[at[1:]] != owner[at[:-1]])])
+            head, tail = at[new], at[np.concatenate([new[1:], [True]])]
+            o = owner[head]
+            columns = [_fixed(k[o]), *map(pa.array, (k[o], d[o], s[o] + inside[head], s[o] + inside[tail] + length, np.zeros(len(o), bool)))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+        at = np.flatnonzero(~gone & parted[r][owner])
+        for x in range(0, len(at), 50_000):
+            part = at[x : x + 50_000]
+            o, i = owner[part], inside[part]
+            held = [contexts[c][j : j + length] for c, j in zip(r[o].tolist(), i.tolist(), strict=True)]
+            columns = [pa.array(held, pa.binary()), *map(pa.array, (k[o], d[o], s[o] + i, s[o] + i + length, np.ones(len(o), bool)))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -331,19 +371,24 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Ids are whole numbers; null ids count as larger than all others, and come back as null. Rows with the same id take
     nothing from each other. ``spans`` is null for rows without such windows, among them null, empty and short texts.
-    An empty table gives an empty one. Other columns of ``df`` may have any names.
+    An empty table gives an empty one. Other columns of ``df`` may have any names. Of a text of any length, pieces of
+    ``SLICE`` bytes are worked on; the text itself is held in memory.
     """
     if not isinstance(df.schema[id_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         raise TypeError("ids have to be whole numbers")
-    shards = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.col(text_col).alias("text"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD))
     unique = docs.groupBy("id").count().where("count > 1").isEmpty()
     docs = docs.withColumn("key", F.col("id") if unique else F.xxhash64("id", "text"))
-    cells = _shared_grams(docs, shards, length, gram)
-    packed = _contexts(docs.join(cells, "key"), shards, length, gram, unique).repartitionById(shards, "shard")
-    spans = packed.mapInArrow(lambda batches: _removed(batches, length), "key long, id long, start long, stop long")
-    # joined by the key alone, as the cells are, so that the texts are shuffled once
+    cells, dealt = _shared_grams(docs, shards, length, gram)
+    packed = _contexts(docs.join(cells, "key"), shards, length, gram, unique, dealt).repartitionById(shards, "shard")
+    hot = np.array(sorted(dealt), np.int32)
+    spans = packed.mapInArrow(lambda batches: _removed(batches, length, hot), "w binary, key long, id long, start long, stop long, open boolean")
+    # a window's rows are one for each part; the others' are those of their document
+    spans = spans.withColumn("low", F.min("id").over(Window.partitionBy("w"))).where("NOT open OR low < id")
     removed = spans.groupBy("key").agg(F.collect_list(F.struct("id", "start", "stop")).alias("all"))
+    # joined by the key alone, as the cells are, so that the texts are shuffled once
     own = F.transform(F.filter("all", lambda s: s["id"] == F.col("id")), lambda s: F.struct(s["start"], s["stop"]))
     joined = docs.join(removed, "key", "left").select("id", "text", F.when(F.size(own) > 0, own).alias("spans"))
     return joined.withColumn("id", F.when(F.col("id") != _LAST, F.col("id")))
