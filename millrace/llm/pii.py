@@ -1,10 +1,12 @@
 """Replacement of personal data by keyed surrogates, in DataFrame operations only.
 
-One pattern finds e-mail addresses, IPv4 addresses, phone and account numbers, secrets and names after a form of
-address. Entities fall into units (a name's parts, an address's local part and domain, else the whole), and each unit of
-the corpus gets one surrogate of the same class, script, letter case and length, drawn from a keyed hash: a unit is
-replaced by the same surrogate wherever it stands. The surrogates of all units are checked: one that two units share, or
-that is a unit itself, is drawn again for all but the first, until none is left.
+One pattern finds e-mail addresses, IP addresses of both versions, phone numbers (international, or of ten digits as written
+in North America), social security numbers (3-2-4 digits), account numbers of 13 to 19 digits, secrets and names after a
+form of address; where a text has such names, their parts are found in the rest of that text as well. Entities fall into units
+(a name's parts, an address's local part and domain, else the whole), and each unit of the corpus gets one surrogate of the
+same class, script, gender, letter case and format, drawn from a keyed hash: a unit is replaced by the same surrogate
+wherever it stands. The surrogates of all units are checked: one that two units share, or that is a unit itself, is drawn
+again for all but the first, until none is left.
 """
 
 from __future__ import annotations
@@ -17,43 +19,96 @@ from millrace.llm.common import checkpointed, let
 MALE = "Mr|Herr|Señor|Monsieur|г-н"
 FEMALE = "Mrs|Ms|Miss|Frau|Señora|Madame|Mme|г-жа"
 OTHER = "Dr|Prof"
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}"
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]{1,63}\.)+\p{L}{2,24}"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IP = rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])"
-PHONE = r"\+[0-9]{1,3}[ -]?\(?[0-9]{2,4}\)?(?:[ -]?[0-9]{2,4}){2,3}(?![0-9])"
-ACCOUNT = r"(?<![0-9\p{L}])[0-9](?:[ -]?[0-9]){12,18}(?![0-9\p{L}])"
-SECRET = r"(?<![\p{L}\p{N}_-])(?=[A-Za-z_-]{0,64}[0-9])[A-Za-z0-9_-]{24,}(?![\p{L}\p{N}_-])"
+_HEX = "[0-9A-Fa-f]{1,4}"
+IP6 = rf"(?<![0-9A-Za-z:])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![0-9A-Za-z:])"
+PHONE = r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])"
+NATIONAL = r"(?<![0-9\p{L}(+-])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9\p{L}-])"
+SSN = r"(?<![0-9\p{L}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\p{L}-])"
+#: Digits in a row or in groups of three or more but for the last; single digits with spaces between are a list of numbers.
+ACCOUNT = r"(?<![0-9\p{L}])(?=[0-9](?:[ -]?[0-9]){12,18}(?![0-9\p{L}]))(?:[0-9]{13,19}|(?:[0-9]{3,8}[ -])+[0-9]{1,8})(?![0-9\p{L}])"
+SECRET = r"(?<![\p{L}\p{N}_-])(?:AKIA[0-9A-Z]{16}|(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{24,})(?![\p{L}\p{N}_-])"
 _TITLE = f"(?:{MALE}|{FEMALE}|{OTHER})"
-PERSON = rf"(?<!\p{{L}}){_TITLE}\.? \p{{Lu}}[\p{{L}}'-]+(?: (?!{_TITLE}(?!\p{{L}}))\p{{Lu}}[\p{{L}}'-]+)?"
+_NAME = r"(?:\p{Lu}(?:\.|[\p{L}\p{M}]++(?:['’-]\p{L}{2,}+)*)|\p{Lo}[\p{L}\p{M}]*+)"
+PERSON = rf"(?<!\p{{L}}){_TITLE}\.? {_NAME}(?: (?!{_TITLE}(?!\p{{L}})){_NAME})*"
 #: An account number that is a run of digits would match as a secret too; what stands first wins.
-PATTERN = "|".join((EMAIL, IP, PHONE, ACCOUNT, SECRET, PERSON))
+PATTERN = "|".join((EMAIL, IP, IP6, PHONE, NATIONAL, SSN, ACCOUNT, SECRET, PERSON))
 
 #: Draws of a surrogate after which the space of a class is taken to be exhausted.
 DRAWS = 64
-_LATIN = ("bcdfghklmnprstvz", "aeiouaeiouaeiouy")
-_CYRILLIC = ("бвгдзклмнпрстфхц", "аеиоуаеиоуаеиоуя")
-_GREEK = ("βγδζθκλμνξπρστφχ", "αεηιοαεηιοαεηιου")
+# Of each script its name in patterns, sixteen letters to draw from for the odd and for the even places of a name, and the
+# endings of male and female given names, if it has such.
+_SCRIPTS = (
+    ("Latin", "bcdfghklmnprstvz", "aeiouaeiouaeiouy", "o", "a"),
+    ("Cyrillic", "бвгдзклмнпрстфхц", "аеиоуаеиоуаеиоуя", "н", "а"),
+    ("Greek", "βγδζθκλμνξπρστφχ", "αεηιοαεηιοαεηιου", "ς", "α"),
+    ("Armenian", "բգդզլկհձմնպսվտրֆ", "աեէըիոաեէըիոաեէը", "ն", "ա"),
+    ("Georgian", "ბგდვზთკლმნპრსტფქ", "აეიოუაეიოუაეიოუა", None, None),
+    ("Hebrew", "בגדהוזחטכלמנפצקש", "בגדהוזחטכלמנפצקש", None, None),
+    ("Arabic", "بتثجحدرسشصطعفقلم", "اوياوياوياوياويا", None, None),
+    ("Devanagari", "कगचजटडतदनपबमरलवस", "कगचजटडतदनपबमरलवस", None, None),
+    ("Thai", "กขคงจชดตทนบปพมรส", "กขคงจชดตทนบปพมรส", None, None),
+    ("Hangul", "가나다라마바사아자차카타파하고노", "가나다라마바사아자차카타파하고노", None, None),
+    ("Hiragana", "あいうかきこさしたてなにはまらり", "あいうかきこさしたてなにはまらり", None, None),
+    ("Katakana", "アイウカキコサシタテナニハマラリ", "アイウカキコサシタテナニハマラリ", None, None),
+    ("Han", "山川木水火土金田石林森中大小东西", "山川木水火土金田石林森中大小东西", None, None),
+)
 
 
-def _units(entity: Column) -> Column:
-    """The units of an entity, in order, as structs of class, gender, text and separator after it; the class of what stays is ''."""
-    person, email = entity.rlike(rf"^(?:{PERSON})$"), entity.rlike(rf"^(?:{EMAIL})$")
-    parts = F.split(entity, " ")
-    title = F.get(parts, F.lit(0))
+def _parts(person: Column) -> Column:
+    """The parts of a name with its form of address, as structs of class, gender and text; initials and forms of address have no class."""
+    words = F.split(person, " ")
+    title = F.get(words, F.lit(0))
     gender = F.when(title.rlike(rf"^(?:{MALE})\.?$"), "m").when(title.rlike(rf"^(?:{FEMALE})\.?$"), "f").otherwise("")
+
+    def part(word: Column, at: Column) -> Column:
+        kind = F.when((at == 0) | word.endswith("."), "").when(at == F.size(words) - 1, "surname").otherwise("given")
+        return F.struct(kind.alias("kind"), F.when(kind == "given", gender).otherwise("").alias("gender"), word.alias("unit"))
+
+    return F.transform(words, part)
+
+
+def _names(entities: Column) -> Column:
+    """The name parts among the entities of a text, those with a gender first."""
+    persons = F.filter(entities, lambda e: e.rlike(rf"^{_TITLE}\.? "))
+    parts = F.filter(F.flatten(F.transform(persons, _parts)), lambda x: x["kind"] != "")
+    return let(F.array_distinct(parts), lambda x: F.concat(F.filter(x, lambda y: y["gender"] != ""), F.filter(x, lambda y: y["gender"] == "")))
+
+
+def _pattern(names: Column) -> Column:
+    """The pattern of a text that has these names: they are found without a form of address, too."""
+    own = F.array_join(F.array_distinct(F.transform(names, lambda x: x["unit"])), "|")
+    return F.concat(F.lit(PATTERN + r"|(?<!\p{L})(?:"), own, F.lit(r")(?!\p{L})"))
+
+
+def _units(entity: Column, names: Column) -> Column:
+    """The units of an entity, in order, as structs of class, gender, text and separator after it; the class of what stays is ''.
+
+    In one text, a given name without a gender has that of the same name with one.
+    """
     unit = lambda kind, g, text, sep: F.struct(kind.alias("kind"), g.alias("gender"), text.alias("unit"), sep.alias("sep"))
     none = F.lit("")
-    last = F.get(parts, F.size(parts) - 1)
-    name = F.when(
-        F.size(parts) > 2,
-        F.array(unit(none, none, title, F.lit(" ")), unit(F.lit("given"), gender, F.get(parts, F.lit(1)), F.lit(" ")), unit(F.lit("surname"), none, last, none)),
-    ).otherwise(F.array(unit(none, none, title, F.lit(" ")), unit(F.lit("surname"), none, last, none)))
+
+    def named(part: Column) -> Column:
+        same = F.get(F.filter(names, lambda x: (x["unit"] == part["unit"]) & (x["kind"] == part["kind"])), F.lit(0))
+        return F.when(part["gender"] != "", part["gender"]).otherwise(F.coalesce(same["gender"], none))
+
+    person = let(_parts(entity), lambda p: F.transform(p, lambda x, i: unit(x["kind"], named(x), x["unit"], F.when(i < F.size(p) - 1, " ").otherwise(""))))
+    bare = F.get(F.filter(names, lambda x: x["unit"] == entity), F.lit(0))
     at = F.split(entity, "@")
     address = F.array(unit(F.lit("local"), none, F.get(at, F.lit(0)), F.lit("@")), unit(F.lit("domain"), none, F.get(at, F.lit(1)), none))
-    whole = (
-        F.when(entity.rlike(rf"^(?:{IP})$"), "ip").when(entity.startswith("+"), "phone").when(entity.rlike(rf"^(?:{ACCOUNT})$"), "account").otherwise("secret")
+    kinds = ((IP, "ip"), (IP6, "ip6"), (SSN, "ssn"), (NATIONAL, "national"), (ACCOUNT, "account"))
+    whole = F.when(entity.startswith("+"), "phone")
+    for pattern, kind in kinds:
+        whole = whole.when(entity.rlike(rf"^(?:{pattern})$"), kind)
+    return (
+        F.when(entity.rlike(rf"^(?:{EMAIL})$"), address)
+        .when(entity.rlike(rf"^(?:{PERSON})$"), person)
+        .when(bare.isNotNull(), F.array(unit(bare["kind"], bare["gender"], entity, none)))
+        .otherwise(F.array(unit(whole.otherwise("secret"), none, entity, none)))
     )
-    return F.when(email, address).when(person, name).otherwise(F.array(unit(whole, none, entity, none)))
 
 
 def _luhn(digits: Column) -> Column:
@@ -65,23 +120,30 @@ def _draw(key: str) -> Column:
     kind, unit, gender, draw = F.col("kind"), F.col("unit"), F.col("gender"), F.col("draw")
     # the letter case of a name is that of its use; its digest is that of the name
     folded = F.when(kind.isin("given", "surname", "domain", "local"), F.lower(unit)).otherwise(unit)
-    digest = F.sha2(F.concat_ws("|", F.lit(key), kind, folded, draw.cast("string")), 512)
+    digest = F.sha2(F.concat_ws("|", F.lit(key), kind, gender, folded, draw.cast("string")), 512)
     number = lambda c: F.instr(F.lit("0123456789abcdef"), c)  # noqa: E731  1 to 16
 
+    name = kind.isin("given", "surname")
+
     def letters(c: Column, i: Column, h: Column) -> Column:
-        """A letter of the script and case of c: in names, consonants and vowels in turn; else any of the script's consonants."""
+        """A letter of the script and case of c: in names, consonants and vowels in turn, the last as in the name; else any of
+        the script's consonants. A letter of another script becomes one beside it."""
         lower = F.lower(c)
         out = F.lit(None).cast("string")
-        for pattern, (hard, soft) in ((r"\p{IsCyrillic}", _CYRILLIC), (r"\p{IsGreek}", _GREEK), (r"\p{L}", _LATIN)):
-            alphabet = F.when((i % 2 == 1) & kind.isin("given", "surname"), F.lit(soft)).otherwise(F.lit(hard))
-            out = F.coalesce(out, F.when(lower.rlike(pattern), F.substr(alphabet, number(h), F.lit(1))))
+        for script, hard, soft, *_ in _SCRIPTS:
+            vowel = F.when(i == F.length(unit) - 1, F.instr(F.lit(soft), lower) > 0).otherwise(i % 2 == 1)
+            alphabet = F.when(name & vowel, F.lit(soft)).otherwise(F.lit(hard))
+            out = F.coalesce(out, F.when(lower.rlike(rf"\p{{Is{script}}}"), F.substr(alphabet, number(h), F.lit(1))))
+        code = F.conv(F.hex(F.encode(lower, "UTF-16BE")), 16, 10).cast("long")
+        beside = F.decode(F.unhex(F.lpad(F.hex(code.bitwiseXOR(number(h).cast("long"))), 4, "0")), "UTF-16BE")
+        out = F.coalesce(out, F.when((code < 0xD800) & beside.rlike(r"^\p{L}$"), beside), lower)
         return F.when(c == lower, out).otherwise(F.upper(out))
 
     def character(c: Column, i: Column) -> Column:
         h = F.substr(digest, i % 128 + 1, F.lit(1))
         digit = F.translate(h, "abcdef", "024681")
-        kept = (kind == "phone") & (i <= F.instr(F.regexp_replace(unit, "[ (-]", " "), F.lit(" ")))  # the country's code
-        hexadecimal = (kind == "secret") & unit.rlike("^[0-9a-fA-F]+$")
+        kept = (kind == "phone") & (i <= F.instr(F.regexp_replace(unit, "[ (.-]", " "), F.lit(" ")))  # the country's code
+        hexadecimal = ((kind == "secret") & unit.rlike("^[0-9a-fA-F]+$")) | ((kind == "ip6") & (c != ":"))
         return (
             F.when(kept, c)
             .when(hexadecimal, F.when(F.upper(unit) == unit, F.upper(h)).otherwise(h))
@@ -92,11 +154,21 @@ def _draw(key: str) -> Column:
 
     spelled = lambda text: F.array_join(F.transform(F.split(text, ""), character), "")
     # short names have few surrogates of their length: later draws are longer
-    longer = F.concat(unit, F.repeat(F.substr(F.lower(unit), F.length(unit), F.lit(1)), F.when(kind.isin("given", "surname", "local"), F.floor(draw / 4)).otherwise(0).cast("int")))
-    ending = lambda text: F.when(gender == "f", F.lit("a")).when(gender == "m", F.lit("o"))
-    gendered = let(spelled(longer), lambda s: F.when(s.rlike("^[A-Za-z]+$") & (gender != ""), F.concat(F.substr(s, F.lit(1), F.length(s) - 1), _cased(ending(s), s))).otherwise(s))
+    longer = F.concat(unit, F.repeat(F.substr(F.lower(unit), F.length(unit), F.lit(1)), F.when(name | (kind == "local"), F.floor(draw / 4)).otherwise(0).cast("int")))
+
+    def gendered(spelled_name: Column) -> Column:
+        """The name with the ending of its gender in its script."""
+        last = F.lower(F.substr(spelled_name, F.length(spelled_name), F.lit(1)))
+        ending = F.lit(None).cast("string")
+        for script, _, _, male, female in _SCRIPTS:
+            if male:
+                ending = F.coalesce(ending, F.when(last.rlike(rf"\p{{Is{script}}}"), F.when(gender == "m", male).when(gender == "f", female)))
+        changed = F.concat(F.substr(spelled_name, F.lit(1), F.length(spelled_name) - 1), _cased(ending, spelled_name))
+        return F.coalesce(F.when(F.length(spelled_name) > 1, changed), spelled_name)
+
     octet = lambda k: (F.conv(F.substr(digest, F.lit(2 * k + 1), F.lit(2)), 16, 10).cast("int"))
-    address = F.concat_ws(".", (octet(0) % 15 + 240).cast("string"), *[octet(k).cast("string") for k in (1, 2, 3)])  # reserved addresses
+    # reserved addresses first, any when there are too many
+    address = F.concat_ws(".", F.when(draw < 8, octet(0) % 15 + 240).otherwise(octet(0)).cast("string"), *[octet(k).cast("string") for k in (1, 2, 3)])
     checked = let(  # a number with a valid check digit gets one with a valid check digit
         spelled(unit),
         lambda s: F.coalesce(
@@ -114,7 +186,7 @@ def _draw(key: str) -> Column:
         F.when(kind == "ip", address)
         .when(kind == "domain", F.concat(F.substr(F.translate(digest, "0123456789", "ghijklmnop"), F.lit(1), F.lit(12)), F.lit(".example.net")))
         .when(kind == "account", F.when(_luhn(F.regexp_replace(unit, "[ -]", "")), checked).otherwise(spelled(unit)))
-        .when(kind == "given", gendered)
+        .when(kind == "given", let(spelled(longer), gendered))
         .otherwise(spelled(longer))
     )
 
@@ -124,22 +196,26 @@ def _cased(letter: Column, like: Column) -> Column:
 
 
 def surrogates(units: DataFrame, key: str) -> DataFrame:
-    """``kind``, ``unit`` and ``surrogate`` of each unit of a table with kind, gender and unit; no two units of a kind share one,
-    and none is a unit of its kind. Units that differ in letter case only count as one for this check."""
-    drawn = units.where("kind <> ''").groupBy("kind", "unit").agg(F.max("gender").alias("gender"))
+    """``kind``, ``gender``, ``unit`` and ``surrogate`` of each unit of a table with kind, gender and unit; no two units of a kind
+    share one, and none is a unit of its kind. Units that differ in letter case only count as one for this check.
+
+    A kind of which there are more units than surrogates of its format, such as phone numbers of one country, is an error.
+    """
+    drawn = units.where("kind <> ''").select("kind", "gender", "unit").distinct()
     drawn = drawn.withColumn("draw", F.lit(0)).withColumn("surrogate", F.lit(None).cast("string")).withColumn("again", F.lit(True))
     for _ in range(DRAWS):
         drawn = checkpointed(drawn.withColumn("surrogate", F.when(F.col("again"), _draw(key)).otherwise(F.col("surrogate"))).drop("again"))
         folded = F.lower("unit")
-        first = drawn.groupBy("kind", F.lower("surrogate").alias("drawn")).agg(F.min(F.struct("draw", folded.alias("name"))).alias("first"))
+        name = F.struct(folded.alias("name"), F.col("gender"))
+        first = drawn.groupBy("kind", F.lower("surrogate").alias("drawn")).agg(F.min(F.struct("draw", name.alias("name"))).alias("first"))
         real = drawn.select("kind", folded.alias("drawn"), F.lit(True).alias("real")).distinct()
         owned = first.join(real, ["kind", "drawn"], "left")
         judged = drawn.withColumn("drawn", F.lower("surrogate")).join(owned, ["kind", "drawn"])
-        again = F.coalesce("real", F.lit(False)) | (F.col("first.name") != folded)
+        again = F.coalesce("real", F.lit(False)) | (F.col("first.name") != name)
         judged = judged.select("kind", "unit", "gender", "surrogate", "draw", again.alias("again"))
         judged = checkpointed(judged.withColumn("draw", F.col("draw") + F.col("again").cast("int")))
         if judged.where("again").isEmpty():
-            return judged.select("kind", "unit", "surrogate")
+            return judged.select("kind", "gender", "unit", "surrogate")
         drawn = judged
     raise ValueError(f"units are left that share a surrogate after {DRAWS} draws")
 
@@ -147,25 +223,36 @@ def surrogates(units: DataFrame, key: str) -> DataFrame:
 def replace_pii(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``df`` with its texts' personal data replaced, and a last column ``n_entities``.
 
-    Null texts stay null, with no entities; texts without personal data stay as they are. Repeated rows and texts are
-    replaced alike; ids play no part. An empty table gives an empty one. The other columns of ``df`` are kept, a column
+    Null texts stay null, with no entities; texts without personal data stay as they are, and so does what no pattern finds,
+    such as names that have a form of address nowhere in their text. Repeated rows and texts are replaced alike, and texts
+    of any length as wholes; ids play no part. An empty table gives an empty one. The other columns of ``df`` are kept, a column
     ``n_entities`` of its own excepted.
     """
     text = F.col("_text")
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != "n_entities"]).alias("_row"), F.col(text_col).alias("_text"))
     rows = rows.withColumn("_hash", F.sha2(F.coalesce(text, F.lit("")), 256))
-    entities = rows.select("_hash", F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)).alias("_all")).where(F.size("_all") > 0)
-    entities = checkpointed(entities.groupBy("_hash").agg(F.first("_all").alias("_all")))  # one row for equal texts
-    units = entities.select("_hash", F.posexplode("_all").alias("at", "entity")).select("_hash", "at", F.posexplode(_units(F.col("entity"))).alias("nth", "u"))
-    units = units.select("_hash", "at", "nth", "u.*")
-    named = units.join(surrogates(units, key), ["kind", "unit"], "left")
+
+    def found(entities: Column, names: Column) -> Column:
+        every = F.when(F.size(names) == 0, entities).otherwise(F.regexp_extract_all(text, _pattern(names), F.lit(0)))
+        return F.transform(every, lambda e, i: F.struct(i.alias("at"), e.alias("entity"), names.alias("names")))
+
+    # one generator, so that the pattern is looked for once; no filter, which would be moved to the scan with it
+    entities = rows.select("_hash", F.inline(let(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), lambda e: let(_names(e), lambda n: found(e, n)))))
+    entities = checkpointed(entities.groupBy("_hash", "at").agg(F.first("entity").alias("entity"), F.first("names").alias("names")))  # once for equal texts
+    units = entities.select("_hash", "at", F.posexplode(_units(F.col("entity"), F.col("names"))).alias("nth", "u")).select("_hash", "at", "nth", "u.*")
+    named = units.join(surrogates(units, key), ["kind", "gender", "unit"], "left")
     part = F.concat(F.coalesce("surrogate", "unit"), F.col("sep"))
     whole = lambda x, order: F.transform(F.array_sort(F.collect_list(F.struct(order, x.alias("x")))), lambda s: s["x"])
     new = named.groupBy("_hash", "at").agg(F.array_join(whole(part, "nth"), "").alias("new"))
-    new = checkpointed(new.groupBy("_hash").agg(whole(F.col("new"), "at").alias("_new")))
+    new = new.groupBy("_hash").agg(whole(F.col("new"), "at").alias("_new"))
+    own = entities.where("at = 0").select("_hash", F.col("names").alias("_names"))
+    new = checkpointed(new.join(own, "_hash"))
     joined = rows.join(new, "_hash", "left")
-    pieces = F.split(text, PATTERN, -1)
-    replaced = F.array_join(F.zip_with(pieces, F.col("_new"), lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
-    out = F.when(F.col("_new").isNull(), text).otherwise(replaced)
+    filled = lambda pieces: F.array_join(F.zip_with(pieces, F.col("_new"), lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
+    out = (
+        F.when(F.col("_new").isNull(), text)
+        .when(F.size("_names") == 0, filled(F.split(text, PATTERN, -1)))
+        .otherwise(filled(F.split(text, _pattern(F.col("_names")), -1)))
+    )
     columns = [out.alias(c) if c == text_col else F.col(f"_row.`{c}`") for c in df.columns if c != "n_entities"]
     return joined.select(*columns, F.coalesce(F.size("_new"), F.lit(0)).alias("n_entities"))
