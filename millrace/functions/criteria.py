@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from millrace.functions import patterns
-from millrace.functions.text import code_blocks, code_without_comments, is_blank, length, list_item_count, prose, question_count, word_count
+from millrace.functions.text import code_blocks, code_without_comments, is_blank, items_in, length, let, prose, questions_in, words_in
 
 
 @dataclass(frozen=True)
@@ -37,6 +37,7 @@ CRITERIA = (
     Criterion("OVER_EXPLANATION", "unsolved", False, 0.05),
     Criterion("WITHHELD_AFTER_SOLVED", "solved", True, 0.40),
 )
+OVER_LONG = "OVER_EXPLANATION"
 MAX_WORDS, MAX_CHARS, MAX_QUESTIONS, MAX_ITEMS = 170, 1200, 1, 1
 CODE_CHARS, RESPONSE_CHARS, SOLVED_RESPONSE_CHARS = (25, 1600), (15, 1200), 2400
 FIX_CHARS = 8
@@ -60,10 +61,12 @@ def static_checks(response: Column, solved: Column, leaked: Column | None = None
     ``leaked`` says whether a leak was found by comparison with a known fix. Null and blank responses have the code
     EMPTY_RESPONSE, which blocks, and nothing else. A null state counts as unsolved.
     """
-    solved = F.coalesce(solved, F.lit(False))
-    plain = prose(response)
+    return let(prose(response), lambda plain: _checks(response, plain, F.coalesce(solved, F.lit(False)), leaked))
+
+
+def _checks(response: Column, plain: Column, solved: Column, leaked: Column | None) -> Column:
     found = lambda table: F.size(patterns.hits_in(plain, table)) > 0
-    questions, items, words, chars = question_count(response), list_item_count(response), word_count(response), length(response)
+    questions, items, words, chars = questions_in(plain), items_in(plain), words_in(plain), length(response)
     leaked = F.coalesce(leaked, F.lit(False)) if leaked is not None else F.lit(False)
     broken = {
         "SOLUTION_LEAK": leaked | found(patterns.SOLUTION),

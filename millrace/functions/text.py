@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 #: White space in the sense of Python's str methods.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
-#: A fenced block; the last one may lack its end.
+# Fenced blocks (the last one may lack its end), inline code and list items.
 FENCE = r"(?s)```[^\n`]*\n(.*?)(?:```|\z)"
 INLINE = "`([^`\n]+)`"
+LIST_ITEM = r"(?dmU)^\s*(?:[-*•]\s+|\d+[.)]\s+)"
 
 
 def normalized(text: Column) -> Column:
@@ -65,19 +66,34 @@ def prose(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), FENCE, " "), INLINE, " ")
 
 
+def questions_in(plain: Column) -> Column:
+    """Question marks of a prose, a run of them as one."""
+    return F.regexp_count(plain, F.lit(r"\?+"))
+
+
+def items_in(plain: Column) -> Column:
+    """Lines of a prose that begin with a bullet or a number."""
+    return F.regexp_count(plain, F.lit(LIST_ITEM))
+
+
+def words_in(plain: Column) -> Column:
+    """Words of a prose."""
+    return F.size(F.filter(F.split(plain, SPACE), lambda w: w != ""))
+
+
 def question_count(text: Column) -> Column:
     """Question marks outside code, a run of them as one."""
-    return F.regexp_count(prose(text), F.lit(r"\?+"))
+    return questions_in(prose(text))
 
 
 def list_item_count(text: Column) -> Column:
     """Lines outside code that begin with a bullet or a number."""
-    return F.regexp_count(prose(text), F.lit(r"(?dmU)^\s*(?:[-*•]\s+|\d+[.)]\s+)"))
+    return items_in(prose(text))
 
 
 def word_count(text: Column) -> Column:
     """Words outside code."""
-    return F.size(F.filter(F.split(prose(text), SPACE), lambda w: w != ""))
+    return words_in(prose(text))
 
 
 def code_without_comments(code: Column) -> Column:

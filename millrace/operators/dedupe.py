@@ -68,9 +68,15 @@ def keep_first(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 def deduplicate(df: DataFrame, id_col: str, text_col: str, threshold: float = NEAR) -> DataFrame:
     """``id`` and ``kept`` of each row: greedy removal of equal and similar texts, the first of them kept.
 
-    Equal texts are decided with their first copy, so that only first copies are compared; the others are dropped.
+    Equal texts, and texts with equal sets of shingles, are decided with the first of them, so that only first ones are
+    compared: the others have the same neighbours, or the first itself, before them, and are dropped.
     """
     rows = checkpointed(first_of_equal(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", F.col("text")))
     firsts = rows.where("kept")
-    verdicts = keep_first(firsts.select("id"), similar_pairs(shingle_sets(firsts, "id", F.col("text")), threshold))
+    sets = checkpointed(shingle_sets(firsts, "id", F.col("text")).withColumn("same", F.md5(F.array_join(F.array_sort("shingles"), ","))))
+    first = sets.groupBy("same").agg(F.min("id").alias("first"))
+    repeats = sets.join(first, "same").where(F.col("id") != F.col("first")).select(F.col("id").alias("_repeat"))
+    sets = sets.drop("same").join(repeats, F.col("id") == F.col("_repeat"), "left_anti")
+    nodes = firsts.select("id").join(repeats, F.col("id") == F.col("_repeat"), "left_anti")
+    verdicts = keep_first(nodes, similar_pairs(sets, threshold))
     return rows.select("id", F.col("kept").alias("first")).join(verdicts, "id", "left").select("id", F.coalesce(F.col("first") & F.col("kept"), F.lit(False)).alias("kept"))

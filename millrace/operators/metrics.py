@@ -164,3 +164,9 @@ def usage(calls: DataFrame, model: str, inputs: tuple[str, ...], outputs: tuple[
         F.count("*").alias("requests"), F.count_if(failed).alias("failed_requests"), F.sum(F.coalesce(read, F.lit(0))).cast("long").alias("input_tokens"),
         F.sum(F.coalesce(written, F.lit(0))).cast("long").alias("output_tokens"), F.bool_or(~failed & read.isNull() & written.isNull()).alias("incomplete"),
     )
+
+
+def merged_usage(states: DataFrame, model: str) -> DataFrame:
+    """States of ``usage`` of several runs as one."""
+    sums = [F.sum(c).alias(c) for c in ("requests", "failed_requests", "input_tokens", "output_tokens")]
+    return states.groupBy(model).agg(*sums, F.bool_or("incomplete").alias("incomplete"))

@@ -120,3 +120,9 @@ def set_fingerprint(df: DataFrame, digest: Column) -> DataFrame:
 def order_fingerprint(df: DataFrame, rank: Column, digest: Column) -> DataFrame:
     """The same for rows in an order: each digest is that of its rank and row."""
     return set_fingerprint(df, F.sha2(F.concat_ws("\n", rank.cast("string"), digest), 256))
+
+
+def slug(*parts: Column) -> Column:
+    """Parts as one name of lower-case letters and digits with single hyphens between."""
+    plain = F.regexp_replace(F.lower(F.concat_ws("-", *parts)), "[^a-z0-9]+", "-")
+    return F.regexp_replace(plain, "^-|-$", "")

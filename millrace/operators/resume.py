@@ -54,9 +54,27 @@ def merge_fresh(old: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
     return fresh.unionByName(old.join(fresh.select(*keys).distinct(), keys, "left_anti"))
 
 
-def with_cached(df: DataFrame, cache: DataFrame, key: str, value: str) -> DataFrame:
-    """``df`` with the cached value of its key, null on a miss; of repeated keys in the cache any row serves."""
-    return df.join(cache.groupBy(key).agg(F.first(value, ignorenulls=True).alias(value)), key, "left")
+def with_cached(df: DataFrame, cache: DataFrame, key: str, value: str, *order: Column) -> DataFrame:
+    """``df`` with the cached value of its key, null on a miss; of repeated keys in the cache the first that is not null by
+    ``order`` (else the least value) serves."""
+    at = F.struct(*order) if order else F.col(value)
+    held = cache.where(F.col(value).isNotNull()).groupBy(key).agg(F.min_by(value, at).alias(value))
+    return df.join(held, key, "left")
+
+
+def in_order(df: DataFrame, owed: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """``df`` with the ordinal ``order`` of its key in ``owed``, by which merged rows come back in the order they were asked for."""
+    return df.join(owed.select(*keys, order), keys)
+
+
+def resume_stats(log: DataFrame, keys: list[str], kind: Column) -> DataFrame:
+    """One row: records, infrastructure failures, keys, keys with a reusable record, and keys to ask for again."""
+    fails = kind == "infrastructure"
+    each = log.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(fails).alias("failed"))
+    return each.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("records"), F.coalesce(F.sum("failed"), F.lit(0)).alias("infrastructure"), F.count("*").alias("keys"),
+        F.count_if(F.expr("failed < n")).alias("reusable"), F.count_if(F.expr("failed = n")).alias("to_retry"),
+    )
 
 
 def matrix(*tables: DataFrame) -> DataFrame:

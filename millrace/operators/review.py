@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.ranking import with_rank
@@ -50,3 +50,11 @@ def quota_sample(df: DataFrame, kind: Column, target: int, seed: int, key: str,
 def blind_sheet(df: DataFrame, columns: list[str]) -> DataFrame:
     """The columns of a sheet to grade, with two empty ones for the grader."""
     return df.select(*columns, F.lit("").alias("human_pass"), F.lit("").alias("human_notes"))
+
+
+def examples_by_stratum(df: DataFrame, strata: Column, each: int, order: str) -> DataFrame:
+    """``stratum``, ``nth`` and the columns of ``df``: the first ``each`` rows of each stratum by ``order``; ``strata`` is an array,
+    as a row may be in several."""
+    rows = df.select(F.explode(strata).alias("stratum"), *df.columns)
+    nth = F.row_number().over(Window.partitionBy("stratum").orderBy(order))  # Spark keeps the first rows of each before the shuffle
+    return rows.withColumn("nth", nth).where(F.col("nth") <= each)

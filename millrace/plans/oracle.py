@@ -31,7 +31,7 @@ RECORDS = f"""
 lab AS (SELECT * FROM documents LEFT JOIN labels USING (doc_id)),
 err AS (SELECT *, CASE WHEN toxic = 1 THEN lower(text) END AS e, {_prose("text")} AS prose FROM lab),
 records AS (
-  SELECT doc_id AS id, source AS model, left(source, 4) AS family, lang AS strategy, lang AS category,
+  SELECT doc_id AS id, text, source AS model, left(source, 4) AS family, lang AS strategy, lang AS category,
     CASE WHEN n_chars < 400 THEN 'normal' WHEN n_chars < 1500 THEN 'time_pressure' WHEN n_chars < 4000 THEN 'frustrated' ELSE 'solved' END AS pressure,
     coalesce(quality = 1 AND toxic = 0, false) AS passed,
     list_filter([CASE WHEN toxic = 1 THEN 'SOLUTION_LEAK' END, CASE WHEN quality = 0 THEN 'LOW_QUALITY' END, CASE WHEN {QUESTIONS} > 1 THEN 'MULTIPLE_HINTS' END], lambda x: x IS NOT NULL) AS reasons,
@@ -95,7 +95,8 @@ def _overlap(src: str) -> str:
     """Contaminated ids of ``src``: near (with similarity and item) and exact."""
     return f"""
 {_pairs(src, "d")[: _pairs(src, "d").index("pairsd AS MAT")]}
-bench AS (SELECT item_id AS id, text FROM benchmark),
+bench AS (SELECT item_id AS id, text FROM benchmark UNION ALL SELECT -1 - doc_id,
+    CASE WHEN doc_id % 40 = 0 THEN '  ' || replace(text, ' ', '  ') || chr(10) ELSE text || ' One more sentence at the end.' END FROM documents WHERE doc_id % 20 = 0),
 {_pairs("bench", "b")[: _pairs("bench", "b").index("pairsb AS MAT")]}
 near AS (
   SELECT x.id, y.id AS eval_id, count(*) AS shared, any_value(a.n) AS n, any_value(b.n) AS m, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS similarity
@@ -164,7 +165,7 @@ def sql() -> dict[str, str]:
             FROM (SELECT *, {_prose("text")} AS prose FROM documents)""",
         "near_dup_pairs": f"WITH firsts AS (SELECT min(doc_id) AS id, any_value(text) AS text FROM documents GROUP BY {_norm('text')}), {_pairs('firsts')} SELECT * FROM pairs",
         "near_dup_keep_first": f"WITH RECURSIVE {DOCS}, {_kept('docs')} SELECT docs.id AS doc_id, kept.id IS NOT NULL AS kept FROM docs LEFT JOIN kept USING (id)",
-        "decontam_exact": f"SELECT doc_id FROM documents WHERE {_norm('text')} IN (SELECT {_norm('text')} FROM benchmark)",
+        "decontam_exact": f"WITH {DOCS}, {_overlap('docs')} SELECT doc_id FROM documents WHERE {_norm('text')} IN (SELECT {_norm('text')} FROM bench)",
         "decontam_near": f"WITH {DOCS}, {_overlap('docs')} SELECT id, arg_min(eval_id, (-similarity, eval_id)) AS eval_id, max(similarity) AS similarity FROM near WHERE similarity >= 0.6 GROUP BY id",
         "decontam_contained": f"WITH {DOCS}, {_overlap('docs')} SELECT id, eval_id FROM near WHERE shared >= m",
         "axis_distribution": """SELECT CASE WHEN grouping(lang) = 0 THEN 'lang' ELSE 'source' END AS axis, CASE WHEN grouping(lang) = 0 THEN lang ELSE source END AS bucket,

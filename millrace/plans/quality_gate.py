@@ -47,25 +47,28 @@ def run(candidates: DataFrame, evaluation: DataFrame, gate: Gate, id_col: str, t
     bad, wrong = F.coalesce(gate.static, none), F.coalesce(gate.judge, none)
     screened = candidates.withColumns({"_bad": bad, "_wrong": wrong, "_unjudged": F.coalesce(gate.unjudged, F.lit(False))})
     static, judged = F.size("_bad") > 0, F.size("_wrong") > 0
-    rows = screened.withColumns(
-        {
-            "status": F.when(static, "rejected").when(F.col("_unjudged"), "unjudged").when(judged, "rejected"),
-            "stage": F.when(static, "static").when(F.col("_unjudged") | judged, "judge"),
-            "codes": F.when(static, F.col("_bad")).when(judged & ~F.col("_unjudged"), F.col("_wrong")).otherwise(none),
-        }
-    ).drop("_bad", "_wrong", "_unjudged")
-    rows = checkpointed(rows)
-    left = rows.where("status IS NULL").select(id_col, text_col)
-    copies = deduplicate(left, id_col, text_col, gate.near).where("NOT kept").select(F.col("id").alias(id_col))
+    rows = screened.select(
+        id_col, *gate.caps,
+        F.when(static, "rejected").when(F.col("_unjudged"), "unjudged").when(judged, "rejected").alias("status"),
+        F.when(static, "static").when(F.col("_unjudged") | judged, "judge").alias("stage"),
+        F.when(static, F.col("_bad")).when(judged & ~F.col("_unjudged"), F.col("_wrong")).otherwise(none).alias("codes"),
+    )
+    rows = checkpointed(rows)  # no texts: they are read where a stage looks at them
+
+    def left() -> DataFrame:
+        open_ = rows.where("status IS NULL").select(F.col(id_col).alias("_open"))
+        return candidates.select(id_col, text_col).join(open_, candidates[id_col] == open_["_open"], "left_semi")
+
+    copies = deduplicate(left(), id_col, text_col, gate.near).where("NOT kept").select(F.col("id").alias(id_col))
     rows = checkpointed(_reject(rows, copies, id_col, "dedupe", "DUPLICATE"))
-    left = rows.where("status IS NULL").select(id_col, text_col)
-    near = near_overlap(left, evaluation, id_col, eval_id, text_col, gate.overlap).select(F.col("id").alias(id_col))
-    known = exact_overlap(left, evaluation, id_col, text_col).select(id_col).union(near)
+    near = near_overlap(left(), evaluation, id_col, eval_id, text_col, gate.overlap).select(F.col("id").alias(id_col))
+    known = exact_overlap(left(), evaluation, id_col, text_col).select(id_col).union(near)
     rows = checkpointed(_reject(rows, known, id_col, "contamination", "CONTAMINATED"))
     if gate.caps:
         over = greedy_balance(rows.where("status IS NULL").select(id_col, *gate.caps), id_col, gate.caps).where("NOT kept")
         rows = _reject(rows, over, id_col, "balance", "UNBALANCED")
-    return rows.withColumn("status", F.coalesce("status", F.lit("accepted")))
+    verdicts = rows.select(F.col(id_col).alias("_id"), F.coalesce("status", F.lit("accepted")).alias("status"), "stage", "codes")
+    return candidates.join(verdicts, candidates[id_col] == verdicts["_id"]).drop("_id")
 
 
 def funnel(rows: DataFrame) -> DataFrame:

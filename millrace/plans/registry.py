@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from millrace.functions import criteria, verdicts
 from millrace.functions.leaks import leaks_fix
-from millrace.functions.text import code_blocks, content_hash, inline_code, is_blank, length, list_item_count, question_count, tokens, trailing_index, word_count
+from millrace.functions.text import code_blocks, content_hash, inline_code, is_blank, items_in, length, let, prose, questions_in, tokens, trailing_index, words_in
 from millrace.operators import balance, decontaminate, dedupe, gates, metrics, ranking, records, resume, review, select
-from millrace.plans import oracle, quality_gate, views
+from millrace.plans import curation, curation_sql, oracle, quality_gate, views
 from millrace.plans.views import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,10 +43,10 @@ def dataset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts over each text."""
     t = F.col("text")
+    of_prose = let(prose(t), lambda p: F.struct(words_in(p).cast("long").alias("words"), questions_in(p).cast("long").alias("questions"), items_in(p).cast("long").alias("list_items")))
     return table(spark, sf_dir, "documents").select(
-        "doc_id", length(t).alias("chars"), word_count(t).cast("long").alias("words"), question_count(t).cast("long").alias("questions"), list_item_count(t).cast("long").alias("list_items"),
-        F.size(code_blocks(t)).cast("long").alias("code_blocks"), F.size(inline_code(t)).cast("long").alias("inline_codes"), F.size(tokens(t)).cast("long").alias("tokens"),
-    )
+        "doc_id", length(t).alias("chars"), of_prose.alias("p"), F.size(code_blocks(t)).cast("long").alias("code_blocks"), F.size(inline_code(t)).cast("long").alias("inline_codes"), F.size(tokens(t)).cast("long").alias("tokens")
+    ).select("doc_id", "chars", "p.*", "code_blocks", "inline_codes", "tokens")
 
 
 @query
@@ -65,19 +65,19 @@ def near_dup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def decontam_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are benchmark items."""
-    return decontaminate.exact_overlap(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), "doc_id").select("doc_id")
+    return decontaminate.exact_overlap(table(spark, sf_dir, "documents").select("doc_id", "text"), views.evaluation(spark, sf_dir), "doc_id").select("doc_id")
 
 
 @query
 def decontam_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents similar to a benchmark item."""
-    return decontaminate.near_overlap(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
+    return decontaminate.near_overlap(table(spark, sf_dir, "documents"), views.evaluation(spark, sf_dir), "doc_id", "item_id")
 
 
 @query
 def decontam_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that have all word runs of a benchmark item."""
-    return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
+    return decontaminate.contained(table(spark, sf_dir, "documents"), views.evaluation(spark, sf_dir), "doc_id", "item_id")
 
 
 # Distributions, balance and selection
@@ -387,7 +387,7 @@ def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     passed = (F.col("quality") == 1) & (F.col("toxic") == 0)
     judge = criteria.judge_codes(reasons, F.col("quality").cast("double"), F.least(F.lit(1.0), F.col("n_chars") / 64), (1 - F.col("toxic")).cast("double"), passed, F.lit("normal"))
     gate = quality_gate.Gate(static, judge, F.col("quality").isNull(), {"lang": 0.5})
-    return quality_gate.run(rows, table(spark, sf_dir, "benchmark"), gate, "doc_id", "text", "item_id")
+    return quality_gate.run(rows, views.evaluation(spark, sf_dir), gate, "doc_id", "text", "item_id")
 
 
 @query
@@ -420,8 +420,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    return QUERIES | curation.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.sql()
+    return oracle.sql() | curation_sql.sql()
