@@ -5,7 +5,12 @@ and the number of pieces on its path are kept, nothing else. Ties go to the earl
 piece of its own becomes an unknown piece with a penalty, runs of which count once, as in the tokenizer libraries.
 
 Where pieces have the word mark only in front, and the mark is a piece itself, the best path of a text is that of its words one after the
-other, and a worker counts each word once; for other vocabularies it counts whole texts.
+other, and a worker counts each word once; for other vocabularies it counts whole texts. Where the vocabulary has a piece
+for each byte, an unknown character counts as its UTF-8 bytes. Whatever the length of a text, only as many positions as
+the longest piece has characters are held.
+
+The registered query takes the scores of a public model whose own kind is BPE: its counts are those of these pieces and
+scores under the unigram rule, which the tokenizer library gives as well, and not those of the model's own encoder.
 """
 
 from __future__ import annotations
@@ -26,14 +31,14 @@ REMEMBERED, LONGEST = 300_000, 100
 
 
 def unigram_vocabulary(path: str) -> list[tuple[str, float]]:
-    """Pieces and scores of a SentencePiece model file, the unknown piece first; control and byte pieces are left out."""
+    """Pieces and scores of a SentencePiece model file, the unknown piece first, byte pieces included; control pieces are left out."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     plain = [
         (model.id_to_piece(i), model.get_score(i))
         for i in range(model.get_piece_size())
-        if not (model.is_unknown(i) or model.is_control(i) or model.is_byte(i) or model.is_unused(i))
+        if not (model.is_unknown(i) or model.is_control(i) or model.is_unused(i))
     ]
     return [("<unk>", min(s for _, s in plain)), *plain]
 
@@ -46,6 +51,8 @@ class Counter:
         for k, (piece, score) in enumerate(vocabulary):
             self.automaton.add_word(piece, (len(piece), score, k == 0))
         self.automaton.make_automaton()
+        self.bytes = {f"<0x{b:02X}>" for b in range(256)} <= {piece for piece, _ in vocabulary}
+        self.longest = max(len(piece) for piece, _ in vocabulary)
         self.unknown = min(s for _, s in vocabulary) - PENALTY
         # else a piece, or a run of unknown ones, could reach across the edge of a word
         crossing = any(MARK in piece.lstrip(MARK) for piece, _ in vocabulary) or all(piece != MARK for piece, _ in vocabulary)
@@ -54,25 +61,30 @@ class Counter:
 
     def count_word(self, word: str) -> int:
         """Pieces on the best path; of equal scores, the one whose last piece starts first."""
-        n = len(word)
-        best, count, unknown = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+        n, ring = len(word), self.longest + 1
+        best, count, unknown = [0.0] * ring, [0] * ring, [False] * ring
         reached = 0
         minus = float("-inf")
 
+        def unseen(start: int, end: int) -> int:
+            """Pieces that an unknown stretch adds to a path: its bytes, or one for a run of such stretches."""
+            return len(word[start:end].encode()) if self.bytes else int(not unknown[start % ring])
+
         def settle(end: int, matches: list) -> None:
             top, pieces, last_unknown, single = minus, 0, False, False
             for length, score, is_unknown in matches:  # longest first
                 start = end - length
                 single = single or length == 1
-                if best[start] + score > top:
-                    top = best[start] + score
-                    pieces = count[start] + (not (is_unknown and unknown[start]))
+                if best[start % ring] + score > top:
+                    top = best[start % ring] + score
+                    pieces = count[start % ring] + (unseen(start, end) if is_unknown else 1)
                     last_unknown = is_unknown
-            if not single and best[end - 1] + self.unknown > top:
-                top = best[end - 1] + self.unknown
-                pieces = count[end - 1] + (not unknown[end - 1])
+            if not single and best[(end - 1) % ring] + self.unknown > top:
+                top = best[(end - 1) % ring] + self.unknown
+                pieces = count[(end - 1) % ring] + unseen(end - 1, end)
                 last_unknown = True
-            best[end], count[end], unknown[end] = top, pieces, last_unknown
+            at = end % ring
+            best[at], count[at], unknown[at] = top, pieces, last_unknown
 
         matches: list = []
         for last, match in self.automaton.iter(word):
@@ -88,7 +100,7 @@ class Counter:
                 settle(reached, matches)
             reached += 1
             matches = []
-        return count[n]
+        return count[n % ring]
 
     def count(self, text: str) -> int:
         """Pieces of a text, before which a word mark is put; none for an empty one."""

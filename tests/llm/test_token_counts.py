@@ -10,8 +10,9 @@ from millrace.llm.token_counts import MARK, Counter
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 VOCABULARY = token_counts.unigram_vocabulary(PATH)
-LIBRARY = Tokenizer(models.Unigram(VOCABULARY, unk_id=0))
-REAL = Counter(VOCABULARY)
+LIBRARY = Tokenizer(models.Unigram(VOCABULARY, unk_id=0, byte_fallback=True))
+PLAIN = [x for x in VOCABULARY if not x[0].startswith("<0x")]
+REAL, WITHOUT, WITHOUT_LIBRARY = Counter(VOCABULARY), Counter(PLAIN), Tokenizer(models.Unigram(PLAIN, unk_id=0))
 
 
 def expected(text, library=LIBRARY):
@@ -19,11 +20,17 @@ def expected(text, library=LIBRARY):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.one_of(st.text(max_size=60), st.text("abctheing é  \n▁<unk>日", max_size=60)))
+@given(st.one_of(st.text(max_size=60), st.text("abctheing é  \n▁<unk>日🙂", max_size=60)))
 def test_any_text_as_the_library(text):
     assert REAL.count(text) == expected(text)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.one_of(st.text(max_size=60), st.text("abctheing é  \n▁<unk>日🙂", max_size=60)))
+def test_without_pieces_for_bytes(text):
+    assert WITHOUT.count(text) == expected(text, WITHOUT_LIBRARY)
+
+
 @settings(max_examples=200, deadline=None)
 @given(
     st.dictionaries(st.text("ab▁", min_size=1, max_size=4), st.integers(-4, -1), min_size=1, max_size=12),
