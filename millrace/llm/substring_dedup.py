@@ -1,14 +1,14 @@
 """Removal of word windows that stand earlier in the corpus, with a count-min prefilter.
 
 Every window of words is counted through one word sequence inside it, the one of least hash: equal windows have it at
-the same place, so the occurrences of the sequence are at least those of the window. Each task counts the sequences of
-its texts in a sketch (a sparse row of 2 ** CELL_BITS cells), and the sketches are added up, cell by cell, as a
-distributed table. What one cell holds overestimates the counts of its windows; windows in cells that hold one sequence
-stand once and are out. A second pass lists the other windows by their words and groups them exactly.
-
-Sketch, candidates and groups are all rows of shuffled tables: nothing is broadcast, and memory does not grow with the
-data. Consecutive windows with the same least sequence travel as one row. Windows in cells of more than HOT occurrences are
-grouped in salted parts first, of which the first rows meet. Texts are shuffled once, by a key that both passes join on.
+the same place, so that what the sketch holds of the sequence overestimates the count of the window. Slices of texts count
+the sequences, and shards add the counts up in count-min sketches of ``WIDTH`` cells and two rows (``sketch.py``); windows
+whose sequence is estimated to stand once stand once, and are out. A second pass sends the other windows, consecutive ones
+with the same least sequence as one stretch of text, to where their sequence is grouped, and groups them by their words.
+
+Shards are as many as the bytes of texts ask for, each with a sketch of fixed width. Windows of sequences that stand more than ``HOT`` times are grouped in
+salted parts first, of which the first windows meet. Texts are shuffled once, by a key that both passes join on; of long
+texts, pieces that overlap by a window are worked on.
 """
 
 from __future__ import annotations
@@ -18,29 +18,51 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import slices
-from millrace.llm.common import checkpointed
+from millrace.llm.common import let
+from millrace.llm.sketch import Dealt, cell_of, repeated_cells, shards_for
 from millrace.llm.windows import prefix_sums, run_hashes, sliding_min, span_hashes, word_spans
 
 WINDOW, GRAM = 20, 8
-#: Width of the sketch, and occurrences beyond which a cell's windows are salted, into parts of about as many.
-CELL_BITS, HOT = 40, 2_000
-_CELLS, _PARTS = (1 << CELL_BITS) - 1, (1 << (62 - CELL_BITS)) - 1
+#: Cells of a row of a shard's sketch.
+WIDTH = 1 << 22
+#: Bytes of texts that are handled at once, and of a text from which on it is handled in pieces; words of a piece.
+SLICE, PIECE_WORDS = 1 << 22, 1 << 17
+#: Occurrences beyond which a sequence's windows are salted, into parts of about as many; sequences so dealt at most: if there are
+#: more, the most frequent, in whole levels of frequency.
+HOT, HOTTEST = 2_000, 1 << 20
+
+
+def _pieces(texts: list[bytes], window: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The texts, long ones as pieces that share ``window`` - 1 words with the next; of each piece the text and its first word there."""
+    parts, owner, offset = [], [], []
+    for k, text in enumerate(texts):
+        if len(text) <= SLICE:
+            parts.append(text)
+            owner.append(k)
+            offset.append(0)
+            continue
+        starts, ends = word_spans(np.frombuffer(text + b"\n", np.uint8))
+        for at in range(0, max(1, len(starts) - window + 1), PIECE_WORDS):
+            last = min(len(starts), at + PIECE_WORDS + window - 1) - 1
+            parts.append(text[starts[at] : ends[last]] if len(starts) else b"")
+            owner.append(k)
+            offset.append(at)
+    return parts, np.array(owner, np.int64), np.array(offset, np.int64)
 
 
 def _cells(texts: list[bytes], window: int, gram: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """The cell, text and first word (in its text) of each window of the texts; then the cell and text of each occurrence
-    of a sequence that is the least of a window. A window's own occurrence is among them, so that windows that stand
-    twice have two."""
+    """The sequence's hash, text and first word (in its text) of each window of the texts; then the hash and text of each
+    occurrence of a sequence that is the least of a window. A window's own occurrence is among them, so that windows that
+    stand twice have two."""
     data = np.frombuffer(b"".join(t + b"\n" for t in texts), np.uint8)
     starts, ends = word_spans(data)
-    none = np.empty(0, np.int64)
+    none, no_hash = np.empty(0, np.int64), np.empty(0, np.uint64)
     if len(starts) < window:
-        return (none, none, none), (none, none)
+        return (no_hash, none, none), (no_hash, none)
     edges = np.cumsum([0] + [len(t) + 1 for t in texts])
     first = np.searchsorted(starts, edges)  # the first word of each text
     text = np.repeat(np.arange(len(texts)), np.diff(first))
@@ -53,82 +75,77 @@ def _cells(texts: list[bytes], window: int, gram: int) -> tuple[tuple[np.ndarray
     pad = np.zeros(span - 1, np.uint64)
     around = ~sliding_min(~np.concatenate([pad, np.where(inside, least, np.uint64(0)), pad]), span)
     own = np.flatnonzero(around == grams)
-    cells = (grams >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-    return ((least[at] >> np.uint64(64 - CELL_BITS)).astype(np.int64), text[at], at - first[text[at]]), (cells[own], text[own])
+    return (least[at], text[at], at - first[text[at]]), (grams[own], text[own])
 
 
-def _sketch(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """The merged sketch: ``cell`` and ``n``, the occurrences in it, from 2 on."""
+def _stretches(texts: list[bytes], text: np.ndarray, start: np.ndarray, count: np.ndarray, window: int) -> list[str]:
+    """The words of runs of windows, each run as one text with single spaces."""
+    out = []
+    for k, a, n in zip(text.tolist(), start.tolist(), count.tolist(), strict=True):
+        if not out or k != last:
+            last, words = k, texts[k].split()
+        out.append(b" ".join(words[a : a + n + window - 1]).decode())
+    return out
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [(t or "").encode() for t in batch["text"].to_pylist()]
-            for a, b in slices(texts):
-                found, n = np.unique(_cells(texts[a:b], window, gram)[1][0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["cell", "n"])
 
-    return docs.mapInArrow(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1")
+def _windows(stretch: Column, window: int) -> Column:
+    """The windows of a stretch of text."""
+    return let(F.split(stretch, " "), lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (window - 1)), lambda k: F.array_join(F.slice(w, k, F.lit(window)), " ")))
 
 
-def repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, hot: int = HOT, width: int = WIDTH) -> DataFrame:
     """``id``, ``text`` and ``starts`` of each row of ``df``: the first words (from 0, sorted) of its windows that stand earlier.
 
     Words are runs of characters other than white space, compared unchanged. A window stands earlier if its words also
     do in a row with a smaller id (nulls last), or from a smaller word on in a row with the same id. ``starts`` is null
     for rows without such windows, among them null, empty and short texts. Rows that are equal in id and text have the
-    same starts. An empty table gives an empty one. Other columns of ``df`` may have any names.
+    same starts. An empty table gives an empty one. Other columns of ``df`` may have any names. A ``width`` too small for
+    the corpus makes more work, but loses nothing. Of a text of any length, pieces are worked on; the text itself is held.
     """
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     unique = docs.groupBy("id").count().where("count > 1 OR id IS NULL").isEmpty()
     # a second key where ids do not tell rows apart
     docs = docs.withColumn("print", F.lit(0).cast("long") if unique else F.xxhash64("text")).withColumn("key", F.xxhash64("id", "print"))
-    n = F.col("n")
-    parts = F.when(n > hot, F.least(F.ceil(n / hot), F.lit(_PARTS))).otherwise(0)
-    flagged = checkpointed(_sketch(docs.select("text"), window, gram).select("cell", F.shiftleft(parts, CELL_BITS).bitwiseOR(F.col("cell")).alias("marked")))
-    salted = not flagged.where("marked <> cell").isEmpty()
 
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, keys = [(t or "").encode() for t in batch["text"].to_pylist()], batch["key"].to_numpy()
-            for a, b in slices(texts):
-                cells, text = _cells(texts[a:b], window, gram)[1]
-                yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(keys[a:b][text])], names=["cell", "key"])
+    def found(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        parts, owner, _ = _pieces(texts, window)
+        for a, b in slices(parts, SLICE):
+            grams, text = _cells(parts[a:b], window, gram)[1]
+            yield grams, owner[a:b][text]
 
-    held = docs.select("text", "key").mapInArrow(listed, "cell long, key long").join(flagged, "cell")
-    suspects = held.groupBy("key").agg(F.collect_set("marked").alias("cells"))  # of one document
+    suspects, parts = repeated_cells(docs.select("text", "key"), found, shards_for(docs), hot, HOTTEST, width)
+    dealt = Dealt(parts)
     kind = docs.schema["id"].dataType.simpleString()
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Runs of repeated windows of one cell, each with the hashes of its windows."""
+        """Runs of windows with the same suspected sequence, each as a stretch of text."""
         for batch in batches:
-            texts = [b" ".join((t or "").encode().split()) for t in batch["text"].to_pylist()]
-            prints, keys = batch["print"].to_numpy(), batch["key"].to_numpy().view(np.uint64)
-            for a, b in slices(texts):
-                marked = np.unique(batch["cells"].slice(a, b - a).flatten().to_numpy())
-                marked = marked[np.argsort(marked & _CELLS)]
-                cells, text, start = _cells(texts[a:b], window, gram)[0]
-                at = np.minimum(np.searchsorted(marked & _CELLS, cells), max(len(marked) - 1, 0))
-                keep = np.flatnonzero((marked & _CELLS)[at] == cells) if len(marked) else at[:0]
-                cells, text, start, parts = cells[keep], text[keep], start[keep], (marked[at[keep]] >> CELL_BITS).astype(np.uint64)
-                hashes = np.frombuffer(b"".join(_window_hashes(texts[a:b], text, start, window)), np.int64)
-                salt = np.where(parts > 0, np.uint64(1) + keys[a:b][text] % np.maximum(parts, np.uint64(1)), np.uint64(0)).astype(np.int64)
+            texts, owner, offset = _pieces([(t or "").encode() for t in batch["text"].to_pylist()], window)
+            prints, keys = batch["print"].to_numpy(), batch["key"].to_numpy()
+            for a, b in slices(texts, SLICE):
+                marked = np.unique(batch["cells"].slice(owner[a], owner[b - 1] - owner[a] + 1).flatten().to_numpy())
+                grams, text, start = _cells(texts[a:b], window, gram)[0]
+                keep = np.flatnonzero(np.isin(cell_of(grams), marked))
+                grams, text, start = grams[keep], text[keep], start[keep]
                 new = np.ones(len(text), bool)
-                new[1:] = (text[1:] != text[:-1]) | (start[1:] != start[:-1] + 1) | (cells[1:] != cells[:-1])
+                new[1:] = (text[1:] != text[:-1]) | (start[1:] != start[:-1] + 1) | (grams[1:] != grams[:-1])
                 first = np.flatnonzero(new)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(text)), pa.int32()), pa.array(hashes))
-                ids = batch["id"].slice(a, b - a).take(pa.array(text[first]))
-                own = [pa.array(x) for x in (prints[a:b][text[first]], salt[first], cells[first], start[first].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([ids, *own, lists], names=["id", "print", "salt", "cell", "start", "hashes"])
+                own = owner[a:b][text[first]]
+                salt = dealt.salts(cell_of(grams[first]), keys[own])
+                salt = np.where(dealt.has(cell_of(grams[first])), salt.astype(np.int64) + 1, 0)
+                held = _stretches(texts[a:b], text[first], start[first], np.diff(np.append(first, len(text))), window)
+                columns = [pa.array(x) for x in (prints[own], salt, grams[first].view(np.int64), start[first] + offset[a:b][text[first]])]
+                yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(own)), *columns, pa.array(held, pa.string())], names=["id", "print", "salt", "cell", "start", "stretch"])
 
     runs = docs.join(suspects, "key").select("id", "print", "key", "text", "cells")
-    runs = runs.mapInArrow(windows, f"id {kind}, print long, salt long, cell long, start int, hashes array<long>").repartition("cell", "salt")
-    every = runs.select("id", "print", "salt", "cell", "start", F.posexplode("hashes").alias("k", "h"))
-    every = every.select("id", "print", "salt", "cell", "h", (F.col("start") + F.col("k")).cast("long").alias("start"))
+    runs = runs.mapInArrow(windows, f"id {kind}, print long, salt long, cell long, start long, stretch string").repartition("cell", "salt")
+    every = runs.select("id", "print", "salt", "cell", "start", F.posexplode(_windows(F.col("stretch"), window)).alias("k", "h"))
+    every = every.select("id", "print", "salt", "cell", "h", (F.col("start") + F.col("k")).alias("start"))
     # the least place by a window, not a rank, of which only the first rows would be asked for below: so both uses share one shuffle
     place = F.struct(F.col("id").isNull().alias("none"), "id", "start")
     placed = every.withColumn("place", place).withColumn("least", F.min("place").over(Window.partitionBy("cell", "salt", "h")))
     later = placed.where(F.col("place") != F.col("least")).select("id", "print", "start")
-    if salted:
+    if parts:
         # one condition, which cannot be asked for before the shuffle; no join, whose sides would each shuffle the runs
         firsts = placed.where(F.when(F.col("place") == F.col("least"), F.col("salt")).otherwise(0) > 0)
         beaten = firsts.withColumn("top", F.min("place").over(Window.partitionBy("cell", "h"))).where(F.col("place") != F.col("top"))
@@ -140,18 +157,6 @@ def repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return docs.join(owned, "key", "left").select("id", "text", F.get(own, F.lit(0))["starts"].alias("starts"))
 
 
-def _window_hashes(texts: list[bytes], text: np.ndarray, start: np.ndarray, window: int) -> Iterator[bytes]:
-    """64-bit hashes of windows of texts whose words are joined by one space; windows are told apart by cell and hash."""
-    digest = xxhash.xxh3_64_digest
-    bounds = np.searchsorted(text, np.arange(len(texts) + 1))
-    for k in np.unique(text).tolist():
-        data = texts[k]
-        edges = np.concatenate([[0], np.flatnonzero(np.frombuffer(data + b" ", np.uint8) == 0x20) + 1])
-        first = start[bounds[k] : bounds[k + 1]]
-        for a, b in zip(edges[first].tolist(), (edges[first + window] - 1).tolist(), strict=True):
-            yield digest(data[a:b])
-
-
 def kept_mask(n_words: int, starts: list[int] | None, window: int = WINDOW) -> np.ndarray:
     """Which of a text's words stay."""
     if not starts:

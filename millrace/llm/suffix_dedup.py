@@ -27,16 +27,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.bpe import slices
-from millrace.llm.common import checkpointed
+from millrace.llm.sketch import Dealt, cell_of, lists, repeated_cells, shard_of, shards_for
 from millrace.llm.suffix_array import suffix_array
 from millrace.llm.windows import mixed, prefix_sums, sliding_min, span_hashes
 
 LENGTH, GRAM = 50, 20
 #: Bytes of texts that are handled at once, of contexts that fill one suffix array, and at most go into one.
 SLICE, BATCH, BLOCK = 1 << 20, 1 << 15, 1 << 17
-#: Bytes of texts to a shard, documents that hold a sequence beyond which it is dealt in parts, and sequences so dealt at most:
-#: if there are more, the most frequent, in whole levels of frequency.
-SHARD, HOT, HOTTEST = 1 << 25, 2_000, 1 << 20
+#: Documents that hold a sequence beyond which it is dealt in parts, and sequences so dealt at most: if there are more, the most
+#: frequent, in whole levels of frequency.
+HOT, HOTTEST = 2_000, 1 << 20
 _LAST = (1 << 63) - 1
 
 
@@ -72,96 +72,6 @@ def _pieces(texts: list[bytes], length: int) -> tuple[list[bytes], np.ndarray, n
     return parts, np.array(owner, np.int64), np.array(offset, np.int64)
 
 
-def _cell(grams: np.ndarray) -> np.ndarray:
-    return (grams & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-
-
-def _shard(hashes: np.ndarray, shards: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) % np.uint64(shards)).astype(np.int32)
-
-
-def _lists(values: pa.Array, starts: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), values)
-
-
-def _shared_grams(docs: DataFrame, shards: int, length: int, gram: int) -> tuple[DataFrame, dict[int, int]]:
-    """``key`` and ``cells`` of the documents' sequences that stand in two documents or more, by 32-bit cell; and the number of
-    parts of those in many."""
-
-    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts, owner, _ = _pieces([(t or "").encode() for t in batch["text"].to_pylist()], length)
-            keys = batch["key"].to_numpy()[owner]
-            for a, b in slices(parts, SLICE):
-                grams, text, _, _ = _runs(parts[a:b], length, gram)
-                text = owner[a:b][text]
-                order = np.lexsort((text, grams))
-                grams, text = grams[order], text[order]
-                new = np.concatenate([[True], (grams[1:] != grams[:-1]) | (text[1:] != text[:-1])]) if len(grams) else np.empty(0, bool)
-                grams, text = grams[new], text[new]
-                if not len(grams):
-                    continue
-                first = np.concatenate([[True], grams[1:] != grams[:-1]])
-                starts = np.flatnonzero(first)
-                # the number of texts of the slice that hold the sequence, at the first; 0: known from the first to be in two
-                count = np.zeros(len(grams), np.int32)
-                count[starts] = np.diff(np.append(starts, len(grams)))
-                own = batch["key"].to_numpy()[text]
-                shard = np.where(first, _shard(grams, shards), _shard(mixed(own.view(np.uint64)), shards))
-                order = np.lexsort((text, shard))
-                shard = shard[order]
-                starts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
-                columns = (pa.array(_cell(grams)[order]), pa.array(own[order]), pa.array(count[order]))
-                yield pa.RecordBatch.from_arrays([pa.array(shard[starts]), *(_lists(c, starts) for c in columns)], names=["shard", "cells", "keys", "counts"])
-
-    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [tuple(batch[c].flatten().to_numpy() for c in ("cells", "keys", "counts")) for batch in batches]
-        if not held:
-            return
-        cells, keys, counts = (np.concatenate(x) for x in zip(*held, strict=True))
-        counted = counts > 0
-        found, place = np.unique(cells[counted], return_inverse=True)
-        n = np.bincount(place, weights=counts[counted], minlength=len(found)).astype(np.int64)
-        keep = ~counted
-        keep[np.flatnonzero(counted)] = n[place] > 1
-        cells, keys = cells[keep], keys[keep]
-        bucket = _shard(mixed(keys.view(np.uint64)), shards)
-        order = np.argsort(bucket, kind="stable")
-        cells, keys, bucket = cells[order], keys[order], bucket[order]
-        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[starts]), _lists(pa.array(keys), starts), _lists(pa.array(cells), starts)], names=["bucket", "keys", "cells"])
-        if len(most := np.flatnonzero(n > HOT)):  # with the number of documents in place of keys
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([n[most]]), pa.array([found[most]])], names=["bucket", "keys", "cells"])
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [tuple(batch[c].flatten().to_numpy() for c in ("keys", "cells")) for batch in batches]
-        if not held:
-            return
-        keys, cells = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.argsort(keys, kind="stable")
-        keys, cells = keys[order], cells[order]
-        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-        for k in range(0, len(starts), 10_000):
-            part = starts[k : k + 10_000]
-            end = starts[k + 10_000] if k + 10_000 < len(starts) else len(keys)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[part]), _lists(pa.array(cells[part[0] : end]), part - part[0])], names=["key", "cells"])
-
-    packed = docs.select("text", "key").mapInArrow(sent, "shard int, cells array<int>, keys array<long>, counts array<int>")
-    shared = checkpointed(packed.repartitionById(shards, "shard").mapInArrow(answered, "bucket int, keys array<long>, cells array<int>"))
-    often = shared.where("bucket < 0").select(F.inline(F.arrays_zip(F.col("keys").alias("n"), F.col("cells").alias("cell"))))
-    often = often.withColumn("level", F.floor(8 * F.log2("n")).cast("int"))
-    least, total = None, 0
-    for level, n in sorted(((r["level"], r["n"]) for r in often.groupBy("level").agg(F.count("*").alias("n")).collect()), reverse=True):
-        total += n
-        if total > HOTTEST:
-            break
-        least = level
-    rows = often.where(F.col("level") >= least).select("cell", "n").collect() if least is not None else []  # HOTTEST at most
-    parts = {r["cell"]: -(-r["n"] // HOT) for r in rows}
-    cells = shared.where("bucket >= 0").repartitionById(shards, "bucket").mapInArrow(listed, "key long, cells array<int>")  # one row a document
-    return cells, parts
-
-
 def _packed(contexts: list[bytes]) -> bytes:
     """Contexts as one compressed block, each with its size before it."""
     return zstandard.compress(b"".join(len(c).to_bytes(4, "little") + c for c in contexts), 3)
@@ -176,13 +86,10 @@ def _unpacked(block: bytes) -> list[bytes]:
     return out
 
 
-def _contexts(docs: DataFrame, shards: int, length: int, gram: int, unique: bool, dealt: dict[int, int]) -> DataFrame:
+def _contexts(docs: DataFrame, shards: int, length: int, gram: int, unique: bool, dealt: Dealt) -> DataFrame:
     """Contexts of shared sequences, packed by slice of texts and shard: each different one, and where it stands.
 
-    Where ids are ``unique`` they are the keys, and ``keys`` is empty. ``dealt``: the parts of cells that are dealt in parts.
-    """
-    hot = np.array(sorted(dealt), np.int32)
-    deal = np.array([dealt[c] for c in sorted(dealt)], np.uint64)
+    Where ids are ``unique`` they are the keys, and ``keys`` is empty. """
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,16 +100,13 @@ def _contexts(docs: DataFrame, shards: int, length: int, gram: int, unique: bool
                 grams, text, start, windows = _runs(texts[a:b], length, gram)
                 if not len(grams) or not len(listed):
                     continue
-                own = _cell(grams)
+                own = cell_of(grams)
                 keep = np.flatnonzero(listed[np.minimum(np.searchsorted(listed, own), len(listed) - 1)] == own)
                 if not len(keep):
                     continue
-                to = grams[keep]
-                if len(hot):
-                    place = np.minimum(np.searchsorted(hot, own[keep]), len(hot) - 1)
-                    salt = mixed(keys[a:b][text[keep]].view(np.uint64) + np.uint64(1)) % np.where(hot[place] == own[keep], deal[place], np.uint64(1))
-                    to = np.where(salt > 0, mixed(to + salt), to)
-                shard = _shard(to, shards)
+                salt = dealt.salts(own[keep], keys[a:b][text[keep]])
+                to = np.where(salt > 0, mixed(grams[keep] + salt), grams[keep])
+                shard = shard_of(to, shards)
                 order = np.argsort(shard, kind="stable")
                 keep, shard = keep[order], shard[order]
                 cells, text, start, windows = own[keep], text[keep], start[keep], windows[keep]
@@ -225,8 +129,8 @@ def _contexts(docs: DataFrame, shards: int, length: int, gram: int, unique: bool
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(rows["shard"], pa.int32()), pa.array(rows["cells"], pa.list_(pa.int32())), pa.array(rows["contexts"], pa.binary()),
-                        pa.array(rows["refs"], pa.list_(pa.int32())), _lists(pa.array(keys[:0]), at * 0) if unique else _lists(pa.array(keys[a:b][text]), at),
-                        _lists(pa.array(ids[a:b][text]), at), _lists(pa.array(start + offset[a:b][text], pa.int32()), at),
+                        pa.array(rows["refs"], pa.list_(pa.int32())), lists(pa.array(keys[:0]), at * 0) if unique else lists(pa.array(keys[a:b][text]), at),
+                        lists(pa.array(ids[a:b][text]), at), lists(pa.array(start + offset[a:b][text], pa.int32()), at),
                     ],
                     names=["shard", "cells", "contexts", "refs", "keys", "ids", "starts"],
                 )
@@ -314,7 +218,7 @@ def _fixed(values: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(8 * np.arange(len(values) + 1, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def _removed(batches: Iterator[pa.RecordBatch], length: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _removed(batches: Iterator[pa.RecordBatch], length: int, dealt: Dealt) -> Iterator[pa.RecordBatch]:
     """Spans of a shard's contexts whose windows stand in a document with a smaller id; and, as ``open``, each window that has
     the least id here, but may have a smaller one in another part or suffix array, with its bytes as ``w``. Spans have their key there."""
     index: dict[bytes, int] = {}
@@ -342,7 +246,7 @@ def _removed(batches: Iterator[pa.RecordBatch], length: int, hot: np.ndarray) ->
     lowest = np.full(len(contexts), _LAST)
     np.minimum.at(lowest, ref, doc)
     least, first, parted = least_ids(contexts, np.array(cells), lowest, length)
-    parted |= np.isin(np.array(cells), hot)
+    parted |= dealt.has(np.array(cells))
     windows = np.array([len(c) for c in contexts], np.int64) - length + 1
     for a in range(0, len(ref), 50_000):
         r, d, s, k = ref[a : a + 50_000], doc[a : a + 50_000], start[a : a + 50_000], key[a : a + 50_000]
@@ -377,14 +281,20 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if not isinstance(df.schema[id_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         raise TypeError("ids have to be whole numbers")
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.col(text_col).alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD))
+    shards = shards_for(docs)
     unique = docs.groupBy("id").count().where("count > 1").isEmpty()
     docs = docs.withColumn("key", F.col("id") if unique else F.xxhash64("id", "text"))
-    cells, dealt = _shared_grams(docs, shards, length, gram)
+
+    def found(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        parts, owner, _ = _pieces(texts, length)
+        for a, b in slices(parts, SLICE):
+            grams, text, _, _ = _runs(parts[a:b], length, gram)
+            yield grams, owner[a:b][text]
+
+    cells, parts = repeated_cells(docs, found, shards, HOT, HOTTEST, once=True)
+    dealt = Dealt(parts)
     packed = _contexts(docs.join(cells, "key"), shards, length, gram, unique, dealt).repartitionById(shards, "shard")
-    hot = np.array(sorted(dealt), np.int32)
-    spans = packed.mapInArrow(lambda batches: _removed(batches, length, hot), "w binary, key long, id long, start long, stop long, open boolean")
+    spans = packed.mapInArrow(lambda batches: _removed(batches, length, dealt), "w binary, key long, id long, start long, stop long, open boolean")
     # a window's rows are one for each part; the others' are those of their document
     spans = spans.withColumn("low", F.min("id").over(Window.partitionBy("w"))).where("NOT open OR low < id")
     removed = spans.groupBy("key").agg(F.collect_list(F.struct("id", "start", "stop")).alias("all"))

@@ -8,7 +8,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from millrace.llm import suffix_dedup
+from millrace.llm import sketch, suffix_dedup
 from millrace.llm.suffix_array import suffix_array
 
 
@@ -85,8 +85,9 @@ def test_documents(spark, sf_dir):
 
 def test_a_sequence_in_many_differing_contexts(spark, monkeypatch):
     """One 20-byte sequence in all texts, dealt in parts and over several suffix arrays; texts longer than a slice."""
-    for name, value in (("HOT", 40), ("BLOCK", 1 << 11), ("SLICE", 1 << 12), ("SHARD", 1 << 12)):
+    for name, value in (("HOT", 40), ("BLOCK", 1 << 11), ("SLICE", 1 << 12)):
         monkeypatch.setattr(suffix_dedup, name, value)
+    monkeypatch.setattr(sketch, "SHARD", 1 << 12)
     rng = random.Random(4)
     gram, near = "0" * 20, ["".join(rng.choice("ab") for _ in range(40)) for _ in range(12)]
     rows = [(i, f"{i:06d}{rng.choice(near)}{gram}{rng.choice(near)}{'x' * (i % 3)}") for i in range(1500)]
