@@ -136,6 +136,14 @@ def sql() -> dict[str, str]:
               UNION ALL SELECT 'diversity', 'distinct_texts', c, c / n.n FROM n, firsts
               UNION ALL SELECT 'contamination', 'exact_overlaps', (SELECT count(*) FROM exact), (SELECT count(*) FROM exact) / n.n FROM n
               UNION ALL SELECT 'contamination', 'near_overlaps', (SELECT count(DISTINCT id) FROM near WHERE similarity >= 0.6), (SELECT count(DISTINCT id) FROM near WHERE similarity >= 0.6) / n.n FROM n)""",
+        "balance_greedy": f"""WITH RECURSIVE {RECORDS}, r AS MATERIALIZED (SELECT id AS doc_id, strategy AS lang, pressure, model AS source, row_number() OVER (ORDER BY id) AS nth, count(*) OVER () AS n FROM records),
+            walk(nth, l, p, s, kept) AS (
+              SELECT 0::BIGINT, []::VARCHAR[], []::VARCHAR[], []::VARCHAR[], false
+              UNION ALL SELECT m, CASE WHEN ok THEN list_append(l, lang) ELSE l END, CASE WHEN ok THEN list_append(p, pressure) ELSE p END, CASE WHEN ok THEN list_append(s, source) ELSE s END, ok FROM (
+                SELECT walk.l, walk.p, walk.s, r.nth AS m, lang, pressure, source,
+                  len(list_filter(l, lambda x: x = lang)) < greatest(1, ceil(n * 0.5)) AND len(list_filter(p, lambda x: x = pressure)) < greatest(1, ceil(n * 0.28)) AND len(list_filter(s, lambda x: x = source)) < greatest(1, ceil(n * 0.1)) AS ok
+                FROM walk JOIN r ON r.nth = walk.nth + 1)
+            ) SELECT doc_id, lang, pressure, source, kept FROM walk JOIN r USING (nth)""",
         "gate_status": f"""WITH {DECIDED} SELECT count(*) AS candidates, count(*) FILTER (status = 'accepted') AS accepted, count(*) FILTER (status = 'rejected') AS rejected, count(*) FILTER (status = 'unjudged') AS unjudged,
             count(*) FILTER (status <> 'unjudged') AS judged, bool_and(status <> 'unjudged') AS complete, round(coalesce(count(*) FILTER (status = 'accepted') / nullif(count(*) FILTER (status <> 'unjudged'), 0), 0), 4) AS acceptance_rate, true AS conserved FROM decided""",
         "training_checks": f"""WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, {BLANK} FROM conversations),

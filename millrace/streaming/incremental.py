@@ -17,19 +17,11 @@ def ingest(spark: SparkSession, folder: str, target: str, checkpoint: str, schem
 
     def add(batch: DataFrame, number: int) -> None:
         fresh = first_of(batch, [key], F.col(order))
-        others = _others(spark, target, number)
-        if others is not None:
-            fresh = fresh.join(others.select(key), key, "left_anti")
+        if number:  # the batches before this one have written their folders; only their keys are read
+            there = spark.read.parquet(target).where(F.col("batch") != number).select(key)
+            fresh = fresh.join(there, key, "left_anti")
         fresh.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     stream = spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files).load(folder)
     stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(target).count()
-
-
-def _others(spark: SparkSession, target: str, number: int) -> DataFrame | None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if number == 0 or not files.exists(path) or not files.listStatus(path):
-        return None
-    return spark.read.parquet(target).where(F.col("batch") != number)
