@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import content_hash
 from millrace.operators.dedupe import shingle_sets
-from millrace.session import BROADCAST_ROWS
+from millrace.session import BROADCAST_ROWS, BROADCAST_TERMS
 
 NEAR = 0.60
 
 
-def _small(df: DataFrame) -> DataFrame:
+def _small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """``df``, to be broadcast if its counted rows are few."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def exact_overlap(corpus: DataFrame, evaluation: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
@@ -30,7 +30,7 @@ def near_overlap(corpus: DataFrame, evaluation: DataFrame, id_col: str, eval_id:
     """
     ours = shingle_sets(corpus, id_col, F.col(text_col))
     theirs = shingle_sets(evaluation, eval_id, F.col(text_col)).withColumnRenamed("id", "eval_id")
-    terms = _small(theirs.select("eval_id", F.size("shingles").alias("m"), F.explode("shingles").alias("s")))
+    terms = _small(theirs.select("eval_id", F.size("shingles").alias("m"), F.explode("shingles").alias("s")), BROADCAST_TERMS)
     pairs = ours.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("s")).join(terms, "s").groupBy("id", "eval_id").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("m").alias("m"))
     scored = pairs.withColumn("similarity", F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))).where(F.col("similarity") >= threshold)
     best = scored.groupBy("id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "eval_id")).alias("b"))
@@ -41,7 +41,7 @@ def contained(corpus: DataFrame, evaluation: DataFrame, id_col: str, eval_id: st
     """``id`` and ``eval_id`` where at least ``share`` of an evaluation text's shingles are in a corpus row."""
     ours = shingle_sets(corpus, id_col, F.col(text_col)).select("id", F.explode("shingles").alias("s"))
     theirs = shingle_sets(evaluation, eval_id, F.col(text_col)).select(F.col("id").alias("eval_id"), F.size("shingles").alias("m"), F.explode("shingles").alias("s"))
-    found = ours.join(_small(theirs), "s").groupBy("id", "eval_id").agg(F.count("*").alias("shared"), F.first("m").alias("m"))
+    found = ours.join(_small(theirs, BROADCAST_TERMS), "s").groupBy("id", "eval_id").agg(F.count("*").alias("shared"), F.first("m").alias("m"))
     return found.where(F.col("shared") >= share * F.col("m")).select("id", "eval_id")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import content_hash, shingles, tokens
-from millrace.session import checkpointed
+from millrace.session import BROADCAST_TERMS, checkpointed
 
 #: Similarity from which two texts are near-duplicates.
 NEAR = 0.72
@@ -33,10 +33,14 @@ def similar_pairs(sets: DataFrame, threshold: float = NEAR) -> DataFrame:
     """
     sets = checkpointed(sets.withColumn("n", F.size("shingles")))
     each = sets.select("id", "n", F.explode("shingles").alias("s"))
-    counted = each.join(each.groupBy("s").agg(F.count("*").alias("holders")), "s")
-    by_rarity = Window.partitionBy("id").orderBy("holders", "s")  # the shingles of one text
+    holders = checkpointed(each.groupBy("s").agg(F.count("*").alias("holders")).where("holders > 1"))
+    if holders.count() <= BROADCAST_TERMS:
+        holders = F.broadcast(holders)
+    held = each.join(holders, "s")  # shingles of one text only come first in the order, and need no row
+    of_text = Window.partitionBy("id")  # the shared shingles of one text
+    placed = held.withColumn("place", F.row_number().over(of_text.orderBy("holders", "s"))).withColumn("shared", F.count("*").over(of_text))
     allowed = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    prefix = counted.withColumn("place", F.row_number().over(by_rarity)).where(F.col("place") <= allowed).where("holders > 1").select("id", "n", "s")
+    prefix = placed.where(F.col("n") - F.col("shared") + F.col("place") <= allowed).select("id", "n", "s")
     left, right = prefix.select(F.col("id").alias("i"), F.col("n").alias("ni"), "s"), prefix.select(F.col("id").alias("j"), F.col("n").alias("nj"), "s")
     fits = F.least("ni", "nj") >= threshold * F.greatest("ni", "nj") - 1e-9
     candidates = left.join(right, "s").where((F.col("i") < F.col("j")) & fits).select("i", "j").distinct()

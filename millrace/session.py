@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows up to which a counted table may be broadcast.
 BROADCAST_ROWS = 100_000
+#: The same for tables of two or three numbers a row.
+BROADCAST_TERMS = 500_000
 
 
 def shared_folder(spark: SparkSession) -> str:
