@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+STATUSES = ("accepted", "rejected", "unjudged")
+
 
 def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
     """One JSON object a line, nulls included."""
@@ -16,6 +20,44 @@ def write_version(df: DataFrame, path: str, status: str = "status") -> None:
     df.write.mode("overwrite").partitionBy(status).parquet(path)
 
 
+def write_version_report(df: DataFrame, path: str, details: dict | None = None, status: str = "status") -> dict:
+    """A dataset version as JSON lines, a folder for each status even if it is empty, and a report of the counts, the
+    acceptance rate of the judged rows and further ``details`` beside them; the report is returned."""
+    held = df.persist()
+    found = {r[0]: r[1] for r in held.groupBy(status).agg(F.count("*")).collect()}  # one row a status
+    for name in STATUSES:
+        write_jsonl(held.where(F.col(status) == name).drop(status), f"{path}/{name}")
+    held.unpersist()
+    counts = {f"{name}_count": found.get(name, 0) for name in STATUSES}
+    judged = counts["accepted_count"] + counts["rejected_count"]
+    rate = round(counts["accepted_count"] / judged, 4) if judged else 0.0
+    report = {"candidate_count": sum(found.values()), **counts, "acceptance_rate": rate, "complete": not counts["unjudged_count"], **(details or {})}
+    write_document(df.sparkSession, report, f"{path}/report")
+    return report
+
+
+def write_document(spark: SparkSession, document: dict, path: str) -> None:
+    """One JSON document, such as a run's settings, in a folder of its own."""
+    spark.createDataFrame([(json.dumps(document, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def flattened(df: DataFrame) -> DataFrame:
+    """Columns of structs as one column a field, named with dots, so that cells of different tables can be put together."""
+    out = []
+    for field in df.schema:
+        inner = getattr(field.dataType, "names", None)
+        out += [F.col(f"`{field.name}`.`{n}`").alias(f"{field.name}.{n}") for n in inner] if inner else [F.col(f"`{field.name}`")]
+    return df.select(*out)
+
+
+def together(*tables: DataFrame) -> DataFrame:
+    """Rows of tables with different columns under the union of their headers, in the order in which names come first."""
+    out = tables[0]
+    for df in tables[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
 def write_split(df: DataFrame, path: str, split: str = "split") -> None:
     """Training and validation records as JSON lines, a folder each."""
     df.write.mode("overwrite").partitionBy(split).json(path)
