@@ -141,7 +141,7 @@ def sql() -> dict[str, str]:
               SELECT 0::BIGINT, []::VARCHAR[], []::VARCHAR[], []::VARCHAR[], false
               UNION ALL SELECT m, CASE WHEN ok THEN list_append(l, lang) ELSE l END, CASE WHEN ok THEN list_append(p, pressure) ELSE p END, CASE WHEN ok THEN list_append(s, source) ELSE s END, ok FROM (
                 SELECT walk.l, walk.p, walk.s, r.nth AS m, lang, pressure, source,
-                  len(list_filter(l, lambda x: x = lang)) < greatest(1, ceil(n * 0.5)) AND len(list_filter(p, lambda x: x = pressure)) < greatest(1, ceil(n * 0.28)) AND len(list_filter(s, lambda x: x = source)) < greatest(1, ceil(n * 0.1)) AS ok
+                  len(list_filter(l, lambda x: x = lang)) < greatest(1, ceil(n * 0.5::DOUBLE)) AND len(list_filter(p, lambda x: x = pressure)) < greatest(1, ceil(n * 0.28::DOUBLE)) AND len(list_filter(s, lambda x: x = source)) < greatest(1, ceil(n * 0.1::DOUBLE)) AS ok
                 FROM walk JOIN r ON r.nth = walk.nth + 1)
             ) SELECT doc_id, lang, pressure, source, kept FROM walk JOIN r USING (nth)""",
         "gate_status": f"""WITH {DECIDED} SELECT count(*) AS candidates, count(*) FILTER (status = 'accepted') AS accepted, count(*) FILTER (status = 'rejected') AS rejected, count(*) FILTER (status = 'unjudged') AS unjudged,
