@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, chat_format, exact_dedup, packing, pii, quality_rules, simhash, substring_dedup, suffix_dedup, token_counts
+from millrace.llm import alignment, bpe, chat_format, exact_dedup, packing, pii, quality_rules, simhash, substring_dedup, suffix_dedup, token_counts
 from millrace.llm.common import table
 
 
@@ -76,6 +76,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two tokenizers that cover the same bytes."""
+    return alignment.link_statistics(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 OP3_SQL = r"""
 WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS points,
@@ -96,7 +101,7 @@ def corpus_pipeline_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_simhash, op2_chat_format, op3_exact_dedup, op4_packing, op5_quality_rules, op6_token_counts, op7_suffix_dedup, op8_pii, op9_substring_dedup, op10_bpe)
+    own = (op1_simhash, op2_chat_format, op3_exact_dedup, op4_packing, op5_quality_rules, op6_token_counts, op7_suffix_dedup, op8_pii, op9_substring_dedup, op10_bpe, op11_alignment)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline_run}
 
 
