@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import alignment, bpe, chat_format, exact_dedup, filter_audit, packing, pii, quality_rules, simhash, substring_dedup, suffix_dedup, token_counts
+from millrace.llm import alignment, bpe, chat_format, exact_dedup, filter_audit, language_id, packing, pii, quality_rules, simhash, substring_dedup, suffix_dedup, token_counts
 from millrace.llm.common import table
 
 
@@ -86,6 +86,11 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages by profiles of the documents that are not held out."""
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 OP3_SQL = r"""
 WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS points,
@@ -106,9 +111,9 @@ def corpus_pipeline_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_simhash, op2_chat_format, op3_exact_dedup, op4_packing, op5_quality_rules, op6_token_counts, op7_suffix_dedup, op8_pii, op9_substring_dedup, op10_bpe, op11_alignment, op12_filter_audit)
+    own = (op1_simhash, op2_chat_format, op3_exact_dedup, op4_packing, op5_quality_rules, op6_token_counts, op7_suffix_dedup, op8_pii, op9_substring_dedup, op10_bpe, op11_alignment, op12_filter_audit, op13_language_id)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline_run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat_format.ORACLE_SQL, "op3_exact_dedup": OP3_SQL, "op5_quality_rules": quality_rules.ORACLE_SQL, "op9_substring_dedup": substring_dedup.ORACLE_SQL, "op12_filter_audit": filter_audit.ORACLE_SQL}
+    return {"op2_chat_format": chat_format.ORACLE_SQL, "op3_exact_dedup": OP3_SQL, "op5_quality_rules": quality_rules.ORACLE_SQL, "op9_substring_dedup": substring_dedup.ORACLE_SQL, "op12_filter_audit": filter_audit.ORACLE_SQL, "op13_language_id": language_id.ORACLE_SQL}
