@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import criteria, verdicts
-from millrace.functions.leaks import leaks_fix
+from millrace.functions.leaks import with_leak_signals
 from millrace.functions.text import code_blocks, content_hash, inline_code, is_blank, items_in, length, let, prose, questions_in, tokens, trailing_index, words_in
 from millrace.operators import balance, decontaminate, dedupe, gates, metrics, ranking, records, resume, review, select
-from millrace.plans import curation, curation_sql, oracle, quality_gate, views
+from millrace.plans import curation, curation_sql, oracle, quality_gate, tutoring, views
 from millrace.plans.views import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -372,7 +372,8 @@ def solution_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assistant turns that give away what the user wrote just before."""
     before = Window.partitionBy("conv_id").orderBy("turn")
     rows = table(spark, sf_dir, "conversations").withColumn("fix", F.lag("text").over(before)).withColumn("code", F.lag("text", 2).over(before))
-    return rows.where("role = 'assistant'").select("conv_id", "turn", leaks_fix(F.col("text"), F.col("fix"), F.col("code")).alias("leaks"))
+    rows = with_leak_signals(rows.where("role = 'assistant'"), F.col("text"), F.col("fix"), F.col("code"))
+    return rows.select("conv_id", "turn", F.col("leak.leaked").alias("leaks"))
 
 
 # The gate
@@ -420,8 +421,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return QUERIES | curation.queries()
+    return QUERIES | curation.queries() | tutoring.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.sql() | curation_sql.sql()
+    return oracle.sql() | curation_sql.sql() | tutoring.sql()

@@ -98,16 +98,6 @@ def test_verdicts(spark):
     assert [g and tuple(g) for g in got] == [(0.5, 1.0, 0.0, True, ["SOLUTION_LEAK"]), (0.0, 0.0, 0.0, False, []), None, None, None]
 
 
-def test_leaks(spark):
-    code, fix = "total = sum(xs) / len(xs) - 1", "total = sum(xs) / len(xs)"
-    cases = [
-        ("Try total = sum(xs)  / len(xs) # now", fix, code, True), ("What is `len(xs)` here?", fix, code, False), ("```\ntotal = sum(xs) /  len(ys)\n```", fix, code, True),
-        ("use map instead", "map", "for x in y", True), ("a map of the world", "map", "for x in y", False), ("deepcopy and frozen", "deepcopy frozen", "x", True), (None, None, None, False),
-    ]
-    df = spark.createDataFrame(cases, "r string, f string, c string, want boolean")
-    assert column(df, leaks.leaks_fix(F.col("r"), F.col("f"), F.col("c"))) == [w for *_, w in cases]
-
-
 def test_random_code_tokens(spark):
     rng = random.Random(1)
     codes = ["".join(rng.choice("ab1_ \n#/*.") for _ in range(30)) for _ in range(100)]
