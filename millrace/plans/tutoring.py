@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from millrace.functions import criteria, patterns
 from millrace.functions.leaks import with_leak_signals
 from millrace.functions.text import prose
+from millrace.operators import judges
 from millrace.plans.oracle import BLANK, CHECKS, ITEMS, LONG, QUESTIONS, WORDS, WS, _prose
 from millrace.plans.views import table
 
@@ -111,6 +112,25 @@ def pattern_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain.select(F.explode(hits).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n"))
 
 
+#: A judge by rules on prompts that begin with the turn's numbers; every fifth conversation finds nobody.
+RULES = [
+    (r"^\d*[49]/", None),
+    (r"/1 ", '{"spec_adherence": 0.95, "robustness": "1", "hint_relevance": 0.8, "pass": true}'),
+    (r"/3 ", '```json\n{"spec_adherence": 0.85, "robustness": 2, "hint_relevance": 0.7, "pass": true, "failure_reasons": ["multiple hints"]}\n```'),
+    (r"^(\d+)/", 'I think: {"spec_adherence": 0.9, "robustness": 0.9, "hint_relevance": 0.9, "pass": false, "note": "\\1"}'),
+]
+
+
+def judged_by_plugin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant turns judged by a scripted judge, the answers on the first turn of even conversations out of a cache."""
+    rows = turns(spark, sf_dir)
+    prompt = F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"), F.lit(" "), F.coalesce("response", F.lit("")))
+    key = F.struct("conv_id", "turn")
+    cache = rows.where("conv_id % 2 = 0 AND turn = 1").select(key.alias("key"), F.lit('{"spec_adherence": 1, "robustness": 1, "hint_relevance": 1, "pass": true}').alias("answer"))
+    out = judges.judged_candidates(judges.answered(rows, judges.judge("scripted", rules=RULES), key, prompt, cache), F.lit("frustrated"))
+    return out.select("conv_id", "turn", "from_cache", "judge_model", F.concat_ws(",", "codes").alias("codes"), "note")
+
+
 def _text(value: str | None) -> str:
     return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
 
@@ -169,8 +189,13 @@ def sql() -> dict[str, str]:
         "pattern_hits": f"""WITH {TURNS_SQL}, p AS (SELECT {_prose("response")} AS prose FROM tutoring),
             h AS (SELECT unnest(list_filter([{", ".join(f"CASE WHEN regexp_matches(prose, '(?i){p}') THEN '{n}' END" for n, p in names.items())}], {keep})) AS pattern FROM p)
             SELECT pattern, count(*) AS n FROM h GROUP BY pattern""",
+        "judged_by_plugin": """WITH j AS (SELECT conv_id, turn, conv_id % 2 = 0 AND turn = 1 AS from_cache, conv_id % 5 = 4 AS away FROM conversations WHERE role = 'assistant')
+            SELECT conv_id, turn, from_cache, 'scripted:rules' AS judge_model,
+              CASE WHEN from_cache THEN '' WHEN away THEN 'UNJUDGED' WHEN turn = 1 THEN '' WHEN turn = 3 THEN 'MULTIPLE_HINTS,LOW_QUALITY,IRRELEVANT_HINT' ELSE 'LOW_QUALITY' END AS codes,
+              CASE WHEN from_cache THEN 'judge adherence=1.00 robustness=1.00 relevance=1.00' WHEN away THEN 'judge unavailable (infrastructure)' WHEN turn = 1 THEN 'judge adherence=0.95 robustness=1.00 relevance=0.80'
+                WHEN turn = 3 THEN 'judge adherence=0.85 robustness=1.00 relevance=0.70' ELSE 'judge adherence=0.90 robustness=0.90 relevance=0.90' END AS note FROM j""",
     }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"leak_signals": leak_signals, "tutor_checks": tutor_checks, "pattern_hits": pattern_hits}
+    return {"leak_signals": leak_signals, "tutor_checks": tutor_checks, "pattern_hits": pattern_hits, "judged_by_plugin": judged_by_plugin}
