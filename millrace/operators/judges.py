@@ -21,7 +21,7 @@ from millrace.functions.criteria import judge_codes
 from millrace.functions.judging import answer_warnings
 from millrace.functions.verdicts import verdict
 from millrace.operators.resume import last_of, with_cached
-from millrace.session import checkpointed
+from millrace.session import checkpointed, path_exists
 
 #: Prompts that a judge gets at once.
 BATCH = 64
@@ -112,8 +112,7 @@ def ask(prompts: DataFrame, who: Described, batch: int = BATCH) -> DataFrame:
 
 def read_journal(spark: SparkSession, path: str, key: str = "string") -> DataFrame:
     """The last answer of each key of a journal as (key, answer); a journal that is not there yet is empty."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], f"key {key}, answer string")
     return last_of(spark.read.schema(f"key {key}, answer string, run long").parquet(path), ["key"], F.col("run"), F.col("answer")).select("key", "answer")
 

@@ -28,3 +28,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back, its lineage cut."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at a path, in whatever store Spark reads it from."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)

@@ -69,3 +69,41 @@ def test_ingest_adds_each_id_once(spark, tmp_path):
     spark.createDataFrame([(2, 0, "later file"), (3, 1, "d")], "id long, at long, t string").write.mode("append").parquet(drop)
     assert run() == 3 and run() == 3
     assert {(r["id"], r["t"]) for r in spark.read.parquet(target).collect()} == {(1, "a"), (2, "c"), (3, "d")}
+
+
+@pytest.mark.parametrize("split", [64, 1 << 20])
+def test_problems_by_path_and_line(spark, tmp_path, split):
+    """Files of several splits, with blank lines, comments and line ends of either kind."""
+    lines = ["// head", "", *(json.dumps(SCENARIO | {"id": f"a-{k}"}) for k in range(40)), "  ", '{"id": "torn', "// more", *(json.dumps(SCENARIO | {"id": f"b-{k}"}) for k in range(20)), json.dumps(SCENARIO | {"id": "B B"})]
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "one.jsonl").write_bytes("\r\n".join(lines).encode())
+    (folder / "two.jsonl").write_text("\n".join(lines[:30]) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        rows = jsonl.read_numbered(spark, str(folder), schemas.SCENARIO)
+        got = sorted((r["_file"].rsplit("/", 1)[1], r["_line"], r["id"]) for r in rows.where("_corrupt IS NULL").collect())
+        want = [(name, k, json.loads(x)["id"]) for name, part in (("one.jsonl", lines), ("two.jsonl", lines[:30])) for k, x in enumerate(part, 1) if x.startswith('{"id": "a') or x.endswith("}")]
+        assert got == sorted(want)
+        with pytest.raises(jsonl.InvalidRecords) as told:
+            jsonl.read_strict(spark, str(folder / "one.jsonl"), schemas.SCENARIO, schemas.scenario_problems())
+        assert "one.jsonl:44: malformed" in str(told.value) and "one.jsonl:66: " in str(told.value)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_missing_files_and_first_ids(spark, tmp_path):
+    schema = "id string, model string, n int"
+    assert jsonl.read_candidates(spark, str(tmp_path / "none"), schema).count() == 0
+    path = write(tmp_path / "c.jsonl", [{"id": "a", "model": "m", "n": 1}, "{", {"id": "b", "model": "Mock:x", "n": 2}, {"id": "a", "model": "m", "n": 3}])
+    assert sorted(map(tuple, jsonl.read_candidates(spark, path, schema).collect())) == [("a", "m", 1), ("b", "Mock:x", 2)]
+    assert sorted(r["n"] for r in jsonl.read_records(spark, path, schema).collect()) == [1, 3]
+    for place in (write(tmp_path / "mocks.jsonl", [{"id": "b", "model": "mock:x"}]), str(tmp_path / "none")):
+        with pytest.raises(jsonl.InvalidRecords):
+            jsonl.read_records(spark, place, schema)
+
+
+def test_agreement_of_a_sheet(spark, tmp_path):
+    (tmp_path / "sheet.csv").write_text('id,automatic_pass,human_pass,notes\n1,true,Yes,"a ""b""\nc"\n2,true,no,\n3,false,FAIL,\n4,false,maybe,\n5,true,,\n')
+    got = jsonl.read_agreement(spark, str(tmp_path / "sheet.csv"), "automatic_pass", "human_pass").first()
+    assert (got["n"], got["yes_yes"], got["yes_no"], got["no_no"]) == (3, 1, 1, 1)
