@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,8 @@ from millrace.functions.text import code_without_comments, code_words, content_h
 from millrace.operators import audit, decontaminate, evaluate, gates, metrics, ranking, records, resume, review, select
 from millrace.plans import views
 from millrace.plans.views import table
-from millrace.sources import plan
+from millrace.session import shared_folder
+from millrace.sources import jsonl, plan, seeded
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,6 +91,18 @@ def built_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("conv_id", "turn", _codes("problems").alias("problems"), F.sha2("candidate.code", 256).alias("code_sha256"), F.col("candidate.expected_bug").alias("bug"))
 
 
+@query
+def malformed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written as JSON lines, a file for each thousand of them, with comments, blank and torn lines; where the torn ones stand."""
+    key, line = F.col("c_custkey"), F.to_json(F.struct("c_custkey", "c_name"))
+    lines = F.when(key % 7 == 3, F.array(F.lit("// a comment"), F.lit(""), line)).when(key % 11 == 5, F.array(F.substring(line, 1, 9))).otherwise(F.array(line))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.floor(key / 1000).alias("part"), F.posexplode(lines).alias("place", "value"))
+    folder = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    rows.repartition("part").sortWithinPartitions("part", "c_custkey", "place").select("part", "value").write.partitionBy("part").text(folder)
+    found = jsonl.read_numbered(spark, folder, "c_custkey long, c_name string").where("_corrupt IS NOT NULL")
+    return found.select(F.regexp_extract("_file", "part=([0-9]+)", 1).cast("long").alias("part"), F.col("_line").cast("long").alias("line"), F.col("_corrupt").alias("torn"))
+
+
 # Judges
 
 
@@ -299,6 +313,13 @@ def plan_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.distribution(plan.sample_plan(spark, count, 7), ["pressure", "language"])
 
 
+@query
+def seeded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by the language and pressure that the generator of their number draws, with their turns."""
+    rows = seeded.with_dimensions(table(spark, sf_dir, "documents").select("doc_id"), F.col("doc_id") + 20240101)
+    return rows.groupBy("language", "pressure").agg(F.count("*").alias("n"), F.sum("turns").alias("turns"))
+
+
 @query
 def resume_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters of a log of calls."""

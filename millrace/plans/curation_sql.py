@@ -180,6 +180,9 @@ def sql() -> dict[str, str]:
               CASE WHEN {_u("vary")} < 0.25 THEN {_choice("hint", ("nudge", "pointed", "narrow"))} WHEN progress = 'stuck' THEN 'nudge' WHEN progress = 'partial' THEN 'pointed' ELSE 'narrow' END AS hint, progress FROM plan3""",
         "plan_distribution": f"""WITH {_plan("(SELECT count(*) FROM orders)", 7)}, n AS (SELECT count(*) AS n FROM plan3)
             SELECT 'pressure' AS axis, pressure AS bucket, count(*) AS n, count(*) / (SELECT n FROM n) AS share FROM plan3 GROUP BY pressure UNION ALL SELECT 'language', language, count(*), count(*) / (SELECT n FROM n) FROM plan3 GROUP BY language""",
+        "malformed_lines": """WITH c AS (SELECT *, c_custkey // 1000 AS part, CASE WHEN c_custkey % 7 = 3 THEN 3 ELSE 1 END AS lines, c_custkey % 7 <> 3 AND c_custkey % 11 = 5 AS torn FROM customer),
+            l AS (SELECT *, sum(lines) OVER (PARTITION BY part ORDER BY c_custkey) AS line FROM c)
+            SELECT part, line::BIGINT AS line, left('{"c_custkey":' || c_custkey, 9) AS torn FROM l WHERE torn""",
         "resume_stats": f"""WITH {LOG}, e AS (SELECT count(*) AS n, count(*) FILTER (kind <> 'none') AS f FROM log GROUP BY user_id)
             SELECT sum(n)::BIGINT AS records, sum(f)::BIGINT AS infrastructure, count(*) AS keys, count(*) FILTER (f < n) AS reusable, count(*) FILTER (f = n) AS to_retry FROM e""",
         "merged_in_order": """WITH f AS (SELECT user_id, event_id FROM events WHERE event_type = 'purchase' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1),
