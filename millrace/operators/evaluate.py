@@ -41,10 +41,10 @@ def unjudged(warnings: Column) -> Column:
     return unavailable(warnings)
 
 
-def static_screen(response: Column, solved: Column, integrity: Column) -> Column:
+def static_screen(response: Column, solved: Column, integrity: Column, leaked: Column | None = None) -> Column:
     """Distinct codes that keep a candidate out of training data: of its integrity, of blocking criteria, and of too long an
-    answer, which is no reason elsewhere."""
-    checks = static_checks(response, solved)
+    answer, which is no reason elsewhere. ``leaked``: a column that says whether the fix was given away."""
+    checks = static_checks(response, solved, leaked)
     return let(checks, lambda c: F.array_distinct(F.concat(integrity, c["blocking"], F.filter(c["violations"], lambda x: x == OVER_LONG))))
 
 

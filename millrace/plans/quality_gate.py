@@ -1,7 +1,12 @@
-"""The quality gate: ordered stages that only reject. A row is touched by a stage if no stage before it decided."""
+"""The quality gate: ordered stages that only reject. A row is touched by a stage if no stage before it decided.
+
+A rejected row has at least one code, ``LOW_QUALITY`` if its stage gives none, and a note of what the judge said, the stage and its
+reasons. How many rows each stage saw and left is observed while its result is written, and told at once if someone asks.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -11,9 +16,12 @@ from millrace.operators.balance import greedy_balance
 from millrace.operators.decontaminate import exact_overlap, near_overlap
 from millrace.operators.dedupe import deduplicate
 from millrace.operators.records import set_fingerprint
-from millrace.session import checkpointed
+from millrace.session import observed
 
-STAGES = ("static", "judge", "dedupe", "contamination", "balance")
+STAGES = ("schema", "static", "judge", "dedupe", "contamination", "balance")
+DEFAULT_CODE = "LOW_QUALITY"  # fixed value
+#: Told after each stage: its name, the rows that it left and the rows that it saw.
+Progress = Callable[[str, int, int], None]
 
 
 @dataclass(frozen=True)
@@ -27,47 +35,85 @@ class Gate:
     caps: dict[str, float] = field(default_factory=dict)
     near: float = 0.72
     overlap: float = 0.60
+    schema: Column | None = None
+    static_note: Column | None = None
+    judge_note: Column | None = None
 
 
 def _reject(rows: DataFrame, ids: DataFrame, id_col: str, stage: str, code: str) -> DataFrame:
     hit = ids.select(F.col(id_col).alias("_hit")).distinct()
     joined = rows.join(hit, rows[id_col] == hit["_hit"], "left")
     now = F.col("_hit").isNotNull() & F.col("status").isNull()
-    columns = {"status": F.when(now, "rejected").otherwise(F.col("status")), "stage": F.when(now, stage).otherwise(F.col("stage")), "codes": F.when(now, F.array(F.lit(code))).otherwise(F.col("codes"))}
+    columns = {
+        "status": F.when(now, "rejected").otherwise(F.col("status")), "stage": F.when(now, stage).otherwise(F.col("stage")), "codes": F.when(now, F.array(F.lit(code))).otherwise(F.col("codes")),
+        "note": F.when(now, _noted(F.col("note"), F.lit(f"stage={stage}"))).otherwise(F.col("note")),
+    }
     return joined.withColumns(columns).drop("_hit")
 
 
-def run(candidates: DataFrame, evaluation: DataFrame, gate: Gate, id_col: str, text_col: str, eval_id: str) -> DataFrame:
-    """``candidates`` with ``status`` (accepted, rejected, unjudged), ``stage`` that decided (null: none) and ``codes``.
+def _noted(*notes: Column) -> Column:
+    """Notes that are not empty, one after the other."""
+    return F.array_join(F.filter(F.array_compact(F.array(*notes)), lambda n: n != ""), " | ")
+
+
+def run(candidates: DataFrame, evaluation: DataFrame, gate: Gate, id_col: str, text_col: str, eval_id: str, on_progress: Progress | None = None) -> DataFrame:
+    """``candidates`` with ``status`` (accepted, rejected, unjudged), ``stage`` that decided (null: none), ``codes`` and ``note``.
 
     Ids have to be unique; their order is the order of rows. Rows that could not be judged are no rejections and meet no
     later stage.
     """
-    none = F.array().cast("array<string>")
-    bad, wrong = F.coalesce(gate.static, none), F.coalesce(gate.judge, none)
-    screened = candidates.withColumns({"_bad": bad, "_wrong": wrong, "_unjudged": F.coalesce(gate.unjudged, F.lit(False))})
-    static, judged = F.size("_bad") > 0, F.size("_wrong") > 0
+    none, empty = F.array().cast("array<string>"), F.lit("")
+    codes = {"_torn": gate.schema, "_bad": gate.static, "_wrong": gate.judge}
+    notes = {"_static_note": gate.static_note, "_judge_note": gate.judge_note}
+    screened = candidates.withColumns(
+        {name: none if c is None else F.coalesce(c, none) for name, c in codes.items()}
+        | {name: empty if c is None else F.coalesce(c, empty) for name, c in notes.items()} | {"_unjudged": F.coalesce(gate.unjudged, F.lit(False))}
+    )
+    torn, static, judged = F.size("_torn") > 0, F.size("_bad") > 0, F.size("_wrong") > 0
+    unjudged = F.col("_unjudged")
+    stage = F.when(torn, "schema").when(static, "static").when(unjudged | judged, "judge")
     rows = screened.select(
         id_col, *gate.caps,
-        F.when(static, "rejected").when(F.col("_unjudged"), "unjudged").when(judged, "rejected").alias("status"),
-        F.when(static, "static").when(F.col("_unjudged") | judged, "judge").alias("stage"),
-        F.when(static, F.col("_bad")).when(judged & ~F.col("_unjudged"), F.col("_wrong")).otherwise(none).alias("codes"),
+        F.when(torn | static, "rejected").when(unjudged, "unjudged").when(judged, "rejected").alias("status"), stage.alias("stage"),
+        F.when(torn, F.col("_torn")).when(static, F.col("_bad")).when(judged & ~unjudged, F.col("_wrong")).otherwise(none).alias("codes"),
+        F.when(torn, F.lit("stage=schema")).when(static, _noted(F.lit("stage=static"), F.col("_static_note")))
+        .otherwise(_noted(F.col("_judge_note"), F.when(judged & ~unjudged, F.lit("stage=judge")))).alias("note"),
     )
-    rows = checkpointed(rows)  # no texts: they are read where a stage looks at them
+    at = lambda name: F.count_if(F.col("stage") == name)
+    # no texts: they are read where a stage looks at them
+    rows, seen = observed(rows, n=F.count("*"), **{name: at(name) for name in STAGES[:3]})
+    left_rows = seen["n"]
+
+    def tell(name: str, gone: int) -> None:
+        nonlocal left_rows
+        if on_progress:
+            on_progress(name, left_rows - gone, left_rows)
+        left_rows -= gone
+
+    for name in STAGES[:3]:
+        tell(name, seen[name])
 
     def left() -> DataFrame:
         open_ = rows.where("status IS NULL").select(F.col(id_col).alias("_open"))
         return candidates.select(id_col, text_col).join(open_, candidates[id_col] == open_["_open"], "left_semi")
 
     copies = deduplicate(left(), id_col, text_col, gate.near).where("NOT kept").select(F.col("id").alias(id_col))
-    rows = checkpointed(_reject(rows, copies, id_col, "dedupe", "DUPLICATE"))
+    rows, seen = observed(_reject(rows, copies, id_col, "dedupe", "DUPLICATE"), gone=at("dedupe"))
+    tell("dedupe", seen["gone"])
     near = near_overlap(left(), evaluation, id_col, eval_id, text_col, gate.overlap).select(F.col("id").alias(id_col))
     known = exact_overlap(left(), evaluation, id_col, text_col).select(id_col).union(near)
-    rows = checkpointed(_reject(rows, known, id_col, "contamination", "CONTAMINATED"))
+    rows, seen = observed(_reject(rows, known, id_col, "contamination", "CONTAMINATED"), gone=at("contamination"))
+    tell("contamination", seen["gone"])
+    gone = 0
     if gate.caps:
         over = greedy_balance(rows.where("status IS NULL").select(id_col, *gate.caps), id_col, gate.caps).where("NOT kept")
         rows = _reject(rows, over, id_col, "balance", "UNBALANCED")
-    verdicts = rows.select(F.col(id_col).alias("_id"), F.coalesce("status", F.lit("accepted")).alias("status"), "stage", "codes")
+        if on_progress:
+            rows, seen = observed(rows, gone=at("balance"))
+            gone = seen["gone"]
+    tell("balance", gone)
+    listed = F.when((F.col("status") == "rejected") & (F.size("codes") == 0), F.array(F.lit(DEFAULT_CODE))).otherwise(F.array_distinct("codes"))
+    verdicts = rows.select(F.col(id_col).alias("_id"), F.coalesce("status", F.lit("accepted")).alias("status"), "stage", listed.alias("codes"), "note")
     return candidates.join(verdicts, candidates[id_col] == verdicts["_id"]).drop("_id")
 
 

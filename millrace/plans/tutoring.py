@@ -1,5 +1,6 @@
 """Tutoring turns in which every sign of a leak, every pattern and every check fires: each assistant turn of the conversations gets
-a program named after a word of the user's, a known fix, and an answer of one of the kinds below, by its number.
+a program named after a word of the user's, a known fix, and an answer of one of the kinds below, by its number. The number
+of kinds is prime, so that any conversation and turn may meet any kind.
 
 Kinds are templates over the fix and that name; their SQL is made of the same templates, the checks on them are not.
 """
@@ -12,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import criteria, patterns
-from millrace.functions.leaks import with_leak_signals
+from millrace.functions.leaks import python_parses, with_leak_signals
 from millrace.functions.text import prose
-from millrace.operators import judges
-from millrace.plans.oracle import BLANK, CHECKS, ITEMS, LONG, QUESTIONS, WORDS, WS, _prose
-from millrace.plans.views import table
+from millrace.operators import evaluate, judges
+from millrace.plans import quality_gate
+from millrace.plans.oracle import BLANK, CHECKS, GATE, ITEMS, LONG, QUESTIONS, WORDS, WS, _prose
+from millrace.plans.views import evaluation, table
+from millrace.session import checkpointed
 
 PROGRAM = "def {name}(items):\n    total = 0\n    for i in range(len(items) + 1):\n        total += items[i]\n    return total\n"
 #: Fixes with several words that the program lacks, with one, and with none.
@@ -63,6 +66,9 @@ OTHER = [
     ("none", "a long word about {name} " * 40),
     ("none", "{name} " * 172),
     ("none", "What do you expect of {name} at the end?"),
+    ("none", "Does {name} stop where one would expect it to?"),
+    ("none", "Which value comes last, and where from?"),
+    ("none", "Which value comes  last, and where FROM?"),
     ("none", " \n\t "),
     ("none", None),
 ]
@@ -115,7 +121,7 @@ def pattern_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: A judge by rules on prompts that begin with the turn's numbers; every fifth conversation finds nobody.
 RULES = [
     (r"^\d*[49]/", None),
-    (r"/1 ", '{"spec_adherence": 0.95, "robustness": "1", "hint_relevance": 0.8, "pass": true}'),
+    (r"/[15] ", '{"spec_adherence": 0.95, "robustness": "1", "hint_relevance": 0.8, "pass": true}'),
     (r"/3 ", '```json\n{"spec_adherence": 0.85, "robustness": 2, "hint_relevance": 0.7, "pass": true, "failure_reasons": ["multiple hints"]}\n```'),
     (r"^(\d+)/", 'I think: {"spec_adherence": 0.9, "robustness": 0.9, "hint_relevance": 0.9, "pass": false, "note": "\\1"}'),
 ]
@@ -131,6 +137,49 @@ def judged_by_plugin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "turn", "from_cache", "judge_model", F.concat_ws(",", "codes").alias("codes"), "note")
 
 
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns as candidates for training: some in a language that their program is not in, some with a program that does not parse."""
+    rows = judged(spark, sf_dir).withColumn("language", F.when(F.col("conv_id") % 6 == 5, "javascript").otherwise("python"))
+    torn = F.when(F.col("conv_id") % 12 == 0, F.replace("code", F.lit("(items)"), F.lit("(items"))).otherwise(F.col("code"))
+    rows = rows.withColumns({"id": F.col("conv_id") * 1000 + F.col("turn"), "code": torn, "lang": F.when(F.col("turn") % 4 == 1, "first").otherwise("later")})
+    more = {"bug": F.lit("a bug"), "message": F.lit("why?"), "history": F.array().cast("array<struct<role:string,content:string>>"), "parses": python_parses(F.col("code"))}
+    rows = rows.withColumns(more)
+    integrity = evaluate.candidate_integrity(rows, F.col("parses"))
+    rows = rows.withColumns({"schema_codes": F.when(F.col("response").isNull(), F.array(F.lit("INVALID_SCHEMA"))), "integrity": integrity})
+    rows = rows.withColumn("static_codes", evaluate.static_screen(F.col("response"), F.col("solved"), F.col("integrity"), F.col("leak.leaked")))
+    prompt = F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"), F.lit(" "), F.coalesce("response", F.lit("")))
+    rows = rows.select("id", "lang", "schema_codes", "static_codes", "integrity", F.col("response").alias("text"), prompt.alias("prompt"))
+    return judges.judged_candidates(judges.answered(rows, judges.judge("scripted", rules=RULES), F.col("id"), F.col("prompt")), F.lit("normal"))
+
+
+def known_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation texts, and the answers of every ninth conversation, spaced otherwise."""
+    own = turns(spark, sf_dir).where("conv_id % 9 = 0 AND response IS NOT NULL")
+    return evaluation(spark, sf_dir).unionByName(own.select((-(10**12) - F.col("conv_id") * 1000 - F.col("turn")).alias("item_id"), F.replace("response", F.lit(" "), F.lit("  ")).alias("text")))
+
+
+def gated(spark: SparkSession, sf_dir: str, on_progress: quality_gate.Progress | None = None) -> DataFrame:
+    """The candidates through the whole gate."""
+    rows = checkpointed(candidates(spark, sf_dir).withColumnsRenamed({"codes": "judge_codes", "note": "judge_note"}))
+    gate = quality_gate.Gate(
+        F.col("static_codes"), F.col("judge_codes"), F.array_contains("judge_codes", judges.UNJUDGED), {"lang": 0.5}, schema=F.col("schema_codes"),
+        static_note=F.concat_ws(",", "integrity"), judge_note=F.col("judge_note"),
+    )
+    return quality_gate.run(rows, known_texts(spark, sf_dir), gate, "id", "text", "item_id", on_progress)
+
+
+def tutor_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status, stage, codes and note of each candidate."""
+    return gated(spark, sf_dir).select("id", "status", "stage", F.concat_ws(",", "codes").alias("codes"), "note")
+
+
+def gate_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each stage of the gate saw and left, as told while it ran."""
+    told: list[tuple[str, int, int]] = []
+    gated(spark, sf_dir, lambda stage, left, seen: told.append((stage, seen, left)))
+    return spark.createDataFrame(told, "stage string, seen long, left long")
+
+
 def _text(value: str | None) -> str:
     return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
 
@@ -171,6 +220,24 @@ def sql() -> dict[str, str]:
     tables = {"solution": patterns.SOLUTION, "diagnosis": patterns.DIAGNOSIS, "weak_diagnosis": patterns.WEAK_DIAGNOSIS, "confirmation": patterns.CONFIRMATION}
     names = {f"{name}.{p}": regex.replace("'", "''") for name, table in tables.items() for p, regex in table.items()}
     leak = CHECKS.replace("CASE WHEN NOT blank AND (", "CASE WHEN NOT blank AND (signal IS NOT NULL OR ", 1)
+    gate = f"""{SIGNALS_SQL},
+t AS (SELECT *, conv_id * 1000 + turn AS id, response AS text, {BLANK} FROM (SELECT conv_id, turn, solved, signal, response, prose FROM signals)),
+screened AS (
+  SELECT id, conv_id, turn, text, CASE WHEN turn % 4 = 1 THEN 'first' ELSE 'later' END AS lang, conv_id % 5 = 4 AS away, list_filter([{leak}], {keep}) AS stopping,
+    list_filter([CASE WHEN conv_id % 6 = 5 OR conv_id % 12 = 0 THEN 'INVALID_SCHEMA' END, CASE WHEN length(coalesce(text, '')) NOT BETWEEN 15 AND CASE WHEN solved THEN 2400 ELSE 1200 END THEN 'LOW_QUALITY' END], {keep}) AS whole,
+    CASE WHEN NOT solved THEN {LONG} END AS long, solved,
+    CASE WHEN turn IN (1, 5) THEN []::VARCHAR[] WHEN turn = 3 THEN ['MULTIPLE_HINTS', 'LOW_QUALITY', 'IRRELEVANT_HINT'] ELSE ['LOW_QUALITY'] END AS wrong,
+    CASE WHEN turn IN (1, 5) THEN 'judge adherence=0.95 robustness=1.00 relevance=0.80' WHEN turn = 3 THEN 'judge adherence=0.85 robustness=1.00 relevance=0.70' ELSE 'judge adherence=0.90 robustness=0.90 relevance=0.90' END AS said
+  FROM t
+),
+listed AS (SELECT *, whole || CASE WHEN solved THEN list_filter(stopping, lambda x: x = 'EMPTY_RESPONSE') ELSE stopping END || list_filter([long], {keep}) AS bad FROM screened),
+first AS (
+  SELECT *, CASE WHEN text IS NULL OR len(bad) > 0 THEN 'rejected' WHEN away THEN 'unjudged' WHEN len(wrong) > 0 THEN 'rejected' END AS status1,
+    CASE WHEN text IS NULL THEN 'schema' WHEN len(bad) > 0 THEN 'static' WHEN away OR len(wrong) > 0 THEN 'judge' END AS stage1,
+    CASE WHEN text IS NULL THEN ['INVALID_SCHEMA'] WHEN len(bad) > 0 THEN bad WHEN NOT away THEN wrong ELSE [] END AS codes1
+  FROM listed
+),
+{GATE[GATE.index("left1 AS"):].replace("doc_id % 20 = 0)", "doc_id % 20 = 0 UNION ALL SELECT -1000000000000 - conv_id * 1000 - turn, replace(response, ' ', '  ') FROM tutoring WHERE conv_id % 9 = 0 AND response IS NOT NULL)")}"""
     weak = " OR ".join(f"regexp_matches(prose, '(?i){p.replace(chr(39), chr(39) * 2)}')" for p in patterns.WEAK_DIAGNOSIS.values())
     return {
         "leak_signals": f"""WITH {SIGNALS_SQL}, l AS (SELECT *, (signal IS NULL OR signal LIKE 'novel%') AND len(novel) > 0 AS late FROM signals)
@@ -189,13 +256,20 @@ def sql() -> dict[str, str]:
         "pattern_hits": f"""WITH {TURNS_SQL}, p AS (SELECT {_prose("response")} AS prose FROM tutoring),
             h AS (SELECT unnest(list_filter([{", ".join(f"CASE WHEN regexp_matches(prose, '(?i){p}') THEN '{n}' END" for n, p in names.items())}], {keep})) AS pattern FROM p)
             SELECT pattern, count(*) AS n FROM h GROUP BY pattern""",
+        "tutor_gate": f"""WITH RECURSIVE {gate} SELECT doc_id AS id, status, stage, array_to_string(codes, ',') AS codes,
+              CASE stage WHEN 'schema' THEN 'stage=schema' WHEN 'static' THEN 'stage=static' || CASE WHEN len(whole) > 0 THEN ' | ' || array_to_string(whole, ',') ELSE '' END
+                ELSE CASE WHEN away THEN 'judge unavailable (infrastructure)' ELSE said || CASE WHEN status = 'rejected' THEN ' | stage=' || stage ELSE '' END END END AS note
+            FROM gated JOIN first ON id = doc_id""",
+        "gate_progress": f"""WITH RECURSIVE {gate}, s AS (SELECT unnest(['schema', 'static', 'judge', 'dedupe', 'contamination', 'balance']) AS stage, unnest(range(1, 7)) AS k),
+            g AS (SELECT k, stage, (SELECT count(*) FROM gated WHERE gated.stage = s.stage) AS gone FROM s)
+            SELECT stage, (SELECT count(*) FROM gated)::BIGINT - coalesce(sum(gone) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS seen, (SELECT count(*) FROM gated)::BIGINT - sum(gone) OVER (ORDER BY k)::BIGINT AS left FROM g""",
         "judged_by_plugin": """WITH j AS (SELECT conv_id, turn, conv_id % 2 = 0 AND turn = 1 AS from_cache, conv_id % 5 = 4 AS away FROM conversations WHERE role = 'assistant')
             SELECT conv_id, turn, from_cache, 'scripted:rules' AS judge_model,
-              CASE WHEN from_cache THEN '' WHEN away THEN 'UNJUDGED' WHEN turn = 1 THEN '' WHEN turn = 3 THEN 'MULTIPLE_HINTS,LOW_QUALITY,IRRELEVANT_HINT' ELSE 'LOW_QUALITY' END AS codes,
-              CASE WHEN from_cache THEN 'judge adherence=1.00 robustness=1.00 relevance=1.00' WHEN away THEN 'judge unavailable (infrastructure)' WHEN turn = 1 THEN 'judge adherence=0.95 robustness=1.00 relevance=0.80'
+              CASE WHEN from_cache THEN '' WHEN away THEN 'UNJUDGED' WHEN turn IN (1, 5) THEN '' WHEN turn = 3 THEN 'MULTIPLE_HINTS,LOW_QUALITY,IRRELEVANT_HINT' ELSE 'LOW_QUALITY' END AS codes,
+              CASE WHEN from_cache THEN 'judge adherence=1.00 robustness=1.00 relevance=1.00' WHEN away THEN 'judge unavailable (infrastructure)' WHEN turn IN (1, 5) THEN 'judge adherence=0.95 robustness=1.00 relevance=0.80'
                 WHEN turn = 3 THEN 'judge adherence=0.85 robustness=1.00 relevance=0.70' ELSE 'judge adherence=0.90 robustness=0.90 relevance=0.90' END AS note FROM j""",
     }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"leak_signals": leak_signals, "tutor_checks": tutor_checks, "pattern_hits": pattern_hits, "judged_by_plugin": judged_by_plugin}
+    return {"leak_signals": leak_signals, "tutor_checks": tutor_checks, "pattern_hits": pattern_hits, "judged_by_plugin": judged_by_plugin, "tutor_gate": tutor_gate, "gate_progress": gate_progress}

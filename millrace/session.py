@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 #: Rows up to which a counted table may be broadcast.
 BROADCAST_ROWS = 100_000
@@ -30,6 +30,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def observed(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``checkpointed``, and the aggregates ``counts`` over the rows that were written, without another job."""
+    seen = Observation()
+    out = checkpointed(df.observe(seen, *[c.alias(name) for name, c in counts.items()]))
+    return out, seen.get
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether there is a file or folder at a path, in whatever store Spark reads it from."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

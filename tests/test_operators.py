@@ -144,10 +144,14 @@ def test_gate_conserves_rows(spark):
     static = F.when(F.col("bad"), F.array(F.lit("LOW_QUALITY"))).otherwise(F.array().cast("array<string>"))
     gate = quality_gate.Gate(static, F.array().cast("array<string>"), F.col("none"), {"g": 0.5})
     bench = spark.createDataFrame([(1, words[2])], "item long, t string")
-    out = quality_gate.run(df, bench, gate, "i", "t", "item")
+    told = []
+    out = quality_gate.run(df, bench, gate, "i", "t", "item", lambda *x: told.append(x))
+    assert [x[0] for x in told] == list(quality_gate.STAGES) and told[0][2] == 12 and told[1:3] == [("static", 11, 12), ("judge", 10, 11)]
+    assert all(a[1] == b[2] for a, b in zip(told, told[1:])) and told[-1][1] == out.where("status = 'accepted'").count()
     status = {r["i"]: (r["status"], r["stage"]) for r in out.collect()}
     assert len(status) == 12 and status[7] == ("rejected", "static") and status[8] == ("unjudged", "judge")
     assert status[0] == ("accepted", None) and status[3] == ("rejected", "dedupe") and status[2] == ("rejected", "contamination")
+    assert {(r["stage"], r["note"]) for r in out.collect()} >= {("static", "stage=static"), (None, ""), ("dedupe", "stage=dedupe"), ("judge", "")}
     report = quality_gate.report(out).first()
     assert report["candidates"] == report["accepted"] + report["rejected"] + report["unjudged"] == 12
     with pytest.raises(ValueError):
