@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Iterator
-from functools import lru_cache
+import re
+from array import array
+from collections.abc import Callable, Iterator
+from functools import lru_cache, partial
 from typing import NamedTuple
 
 import numpy as np
@@ -26,11 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.bpe import slices
+from millrace.llm.bpe import MASK, PATTERN, slices, vocabulary
 from millrace.llm.common import checkpointed
 
 #: Characters of text in a chunk; a longer text is a chunk of its own.
 CHUNK = 4_000_000
+#: Characters of text whose tokens are held at once.
+AT_ONCE = 1 << 18
 #: Stand-in for the space in pieces (fixed value).
 MARK = "▁"
 
@@ -48,28 +52,50 @@ class Tokens(NamedTuple):
 NONE = Tokens(*[np.zeros(0, np.int64)] * 4, np.zeros((2, 0), np.int64))
 
 
+#: Characters about which versions of Unicode may differ are all but these; white space that is too long for the faster library.
+_OTHER, _BLANKS = re.compile("[^\0-\u024f\u2010-\u2027]"), re.compile(r"\s{1000}")
+
+
+def byte_level(path: str) -> Callable[[list[str]], list[list[int]]]:
+    """Encodes texts by a byte-level tokenizer file, added tokens as plain text.
+
+    Where ids go by the rank of their merge, merging what gives the least id is merging by rank, so texts in whose characters
+    no two versions of Unicode differ can go to the faster of two libraries; the others go to the tokenizer's own.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(path)
+    own.no_truncation()
+    own.no_padding()
+    own.encode_special_tokens = True
+    vocab = vocabulary(path)
+    ranks = {x: k for x, k in vocab.ids.items() if k not in vocab.added.values()}
+    merges = [v & MASK for _, v in sorted(vocab.pairs.items(), key=lambda x: x[1])]
+    by_rank = merges == sorted(set(merges)) and {*merges, *vocab.bytes} == {*ranks.values()}
+    fast = tiktoken.Encoding("merges", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if by_rank else None
+
+    def encode(texts: list[str]) -> list[list[int]]:
+        easy = [fast is not None and not _OTHER.search(t) and not _BLANKS.search(t) for t in texts]
+        others = iter([e.ids for e in own.encode_batch_fast([t for t, x in zip(texts, easy, strict=True) if not x], add_special_tokens=False)])
+        return [fast.encode_ordinary(t) if x else next(others) for t, x in zip(texts, easy, strict=True)]
+
+    return encode
+
+
 class _Pair:
     """Both tokenizers with the bytes of their ids."""
 
     def __init__(self, a_path: str, b_path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
-
-        self.a = Tokenizer.from_file(a_path)
-        self.a.no_truncation()
-        self.a.no_padding()
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        # a byte-level entry stands for a byte with a character: itself if printable, else the next of those from 256 on
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in printable)}
-        vocab = self.a.get_vocab()
-        self.a_bytes = [b""] * (max(vocab.values()) + 1)
-        for entry, k in vocab.items():
-            self.a_bytes[k] = bytes(map(byte_of.__getitem__, entry)) if all(c in byte_of for c in entry) else entry.encode()
-        pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
-        self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(k) else p.replace(MARK, " ").encode() for k, p in enumerate(pieces)]
+
+        b = sentencepiece.SentencePieceProcessor(model_file=b_path)
+        self.a, self.b = byte_level(a_path), partial(b.encode, num_threads=1)
+        texts = vocabulary(a_path).texts
+        self.a_bytes = [texts.get(k, b"") for k in range(max(texts) + 1)]
+        pieces = [b.id_to_piece(k) for k in range(b.get_piece_size())]
+        self.b_bytes = [bytes([int(p[3:-1], 16)]) if b.is_byte(k) else p.replace(MARK, " ").encode() for k, p in enumerate(pieces)]
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
         # the decimal of each id with each of the marks that can follow it
         self.written = np.array([f"{k}{mark}".encode() for k in range(max(len(self.a_bytes), len(self.b_bytes))) for mark in ",|;"], object)
@@ -77,14 +103,10 @@ class _Pair:
     def align(self, texts: list[str]) -> Iterator[Tokens]:
         """The merged tokens of each text."""
         full = [" " + t for t in texts]
-        of_a = [e.ids for e in self.a.encode_batch_fast(full, add_special_tokens=False)]
-        of_b = self.b.encode(texts, num_threads=1)
-        for text, whole, a, b in zip(texts, full, of_a, of_b, strict=True):
-            data = whole.encode()
-            if not text or b"".join(map(self.a_bytes.__getitem__, a)) != data or b"".join(map(self.b_bytes.__getitem__, b)) != data:
-                yield NONE
-            else:
-                yield merged(np.array(a), np.array(b), self.a_sizes, self.b_sizes)
+        for text, a, b in zip(full, self.a(full), self.b(texts), strict=True):
+            data = text.encode()
+            same = all(b"".join(map(table.__getitem__, ids)) == data for table, ids in ((self.a_bytes, a), (self.b_bytes, b)))
+            yield merged(*(np.frombuffer(array("I", x), np.uint32).astype(np.int64) for x in (a, b)), self.a_sizes, self.b_sizes) if same and len(text) > 1 else NONE
 
     def groups_digest(self, tokens: Tokens) -> str:
         """Hash of the groups as ``a1,a2|b1;a3|b2,b3``; an empty string without tokens."""
@@ -103,10 +125,14 @@ class _Pair:
 def merged(a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray) -> Tokens:
     """Links and groups of two token sequences that cover the same bytes; no token is empty."""
     a_at, b_at = a_sizes[a].cumsum(), b_sizes[b].cumsum()
-    ends = np.union1d(a_at, b_at)
-    links = np.stack([np.searchsorted(a_at, ends), np.searchsorted(b_at, ends)])  # where both pointers stand at each end
-    shared = links[:, (a_at[links[0]] == ends) & (b_at[links[1]] == ends)] + 1
-    return Tokens(a, b, shared[0], shared[1], links)
+    ending = np.zeros(int(a_at[-1]) + 1, np.uint8)  # for each byte, which sides end there
+    ending[a_at] = 1
+    ending[b_at] |= 2
+    ending = ending[ending > 0]
+    steps = np.stack([ending & 1, ending >> 1]).astype(np.int64)
+    moved = steps.cumsum(axis=1)  # both pointers after each end
+    shared = moved[:, ending == 3]
+    return Tokens(a, b, shared[0], shared[1], moved - steps)
 
 
 @lru_cache(maxsize=2)
@@ -132,7 +158,7 @@ def alignments(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id",
         pair = _pair(a_path, b_path)
         for batch in batches:
             ids, texts = batch["id"].astype(object).where(batch["id"].notna(), None).tolist(), [t or "" for t in batch["text"]]
-            for start, end in slices(texts):
+            for start, end in slices(texts, AT_ONCE):
                 out = [(i, t.a, t.b, t.a_ends, t.b_ends, *t.links) for i, t in zip(ids[start:end], pair.align(texts[start:end]), strict=True)]
                 yield pd.DataFrame(out, columns=["id", "a", "b", "a_ends", "b_ends", "link_a", "link_b"])
 
@@ -152,7 +178,7 @@ def chunk_rows(df: DataFrame, a_path: str, b_path: str, id_col: str, text_col: s
             ids, texts = batch["id"].astype(object).where(batch["id"].notna(), None).tolist(), [t or "" for t in batch["text"]]
             for first, last in slices(texts, chunk_chars):
                 numbers, digests, pairs, times = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for start, end in slices(texts[first:last]):
+                for start, end in slices(texts[first:last], AT_ONCE):
                     for t in pair.align(texts[first + start : first + end]):
                         keys, often = np.unique((t.a[t.links[0]] << 32) | t.b[t.links[1]], return_counts=True)
                         numbers.append((len(t.a), len(t.b), len(t.a_ends), t.links.shape[1], len(keys)))

@@ -43,7 +43,8 @@ MASK, NONE = (1 << BITS) - 1, 1 << 62
 _WS = "\t-\r \x85\xa0  -     　"
 _WORD = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 # The pattern of the public byte-level vocabulary's pre-tokenizer (fixed value).
-_TOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
+_TOKEN = regex.compile(PATTERN)
 
 
 def _byte_characters() -> dict[str, int]:
