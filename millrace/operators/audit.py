@@ -162,3 +162,29 @@ def version_status(reports: DataFrame, freezes: DataFrame, rejections: DataFrame
         "version", F.coalesce("frozen_hash", "hash").alias("dataset_hash"), F.col("frozen_hash").isNotNull().alias("frozen"), "selected_count", F.col("hash").alias("accepted_pool_hash"),
         "candidate_count", "accepted_count", F.coalesce("top_rejections", F.lit("")).alias("top_rejections"),
     )
+
+
+def profile(df: DataFrame, axes: dict[str, Column], distinct: dict[str, Column]) -> DataFrame:
+    """``axis``, ``bucket`` (as text), ``n``, ``share`` and a number of different values for each of ``distinct``, of every value of every axis, and of
+    all rows (axis ``all``, bucket null): grouping sets, so that the table is read once however many axes there are.
+
+    Null values are a bucket. An empty table gives an empty one.
+    """
+    rows = df.select(*[c.cast("string").alias(f"a{k}") for k, c in enumerate(axes.values())], *[c.alias(f"d{k}") for k, c in enumerate(distinct.values())])
+    names = [f"a{k}" for k in range(len(axes))]
+    grouped = rows.groupingSets([[F.col(n)] for n in names] + [[]], *map(F.col, names))
+    counted = grouped.agg(
+        F.coalesce(*[F.when(F.grouping(n) == 0, F.lit(axis)) for n, axis in zip(names, axes, strict=True)], F.lit("all")).alias("axis"), F.coalesce(*names).alias("bucket"),
+        F.count("*").alias("n"), *[F.count_distinct(f"d{k}").alias(name) for k, name in enumerate(distinct)],
+    )
+    counted = checkpointed(counted.select("axis", "bucket", "n", *distinct))  # a row a bucket: the total is looked up without reading the table again
+    total = counted.where("axis = 'all'").select(F.col("n").alias("_total"))
+    return counted.join(F.broadcast(total)).withColumn("share", F.try_divide(F.col("n").cast("double"), F.col("_total").cast("double"))).drop("_total")
+
+
+def provenance(df: DataFrame, fields: list[str], *order: Column) -> DataFrame:
+    """``field``, ``first`` (of the first row by ``order``, as text) and ``different`` (values of it, null not counted): where a dataset comes from,
+    and whether that holds for all of it."""
+    first = F.min_by(F.struct(*[F.col(f).cast("string").alias(f) for f in fields]), F.struct(*order)).alias("first")
+    row = df.agg(first, *[F.count_distinct(f).alias(f"n_{f}") for f in fields])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"first.{f}").alias("first"), F.col(f"n_{f}").alias("different")) for f in fields])).alias("x")).select("x.*")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import criteria, judging
 from millrace.functions.text import code_without_comments, code_words, content_hash, grade, length
-from millrace.operators import audit, decontaminate, evaluate, gates, metrics, ranking, records, resume, review, select
+from millrace.operators import audit, decontaminate, evaluate, gates, metrics, permutation, ranking, records, resume, review, select
 from millrace.plans import views
 from millrace.plans.views import table
 from millrace.session import shared_folder
@@ -187,6 +187,29 @@ def dataset_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.dataset_audit(_decided(spark, sf_dir), views.evaluation(spark, sf_dir), ["lang", "source", "pressure"], "id", "text", "item_id")
 
 
+@query
+def audit_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records by each of ten axes, with the different texts and models of each value, in one reading."""
+    rows = views.records(spark, sf_dir)
+    state = records.learner_state(F.col("pressure") == "solved", F.when(F.col("pressure") == "frustrated", "almost_correct").otherwise(F.col("pressure")))
+    by_name = {n: F.col(n) for n in ("model", "family", "strategy", "pressure", "error_kind")} | {"passed": F.coalesce("passed", F.lit(False))}
+    size = F.floor(F.log10(F.length("text") + 1)).cast("long")
+    made = {"state": state, "digits": size, "judged": F.col("adherence").isNotNull(), "reasons": F.size("reasons")}
+    return audit.profile(rows, by_name | made, {"texts": content_hash(F.col("text")), "models": F.col("model")})
+
+
+@query
+def audit_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the records come from: values of the first, and how many there are."""
+    return audit.provenance(views.records(spark, sf_dir), ["model", "family", "strategy", "error_kind"], F.col("id"))
+
+
+@query
+def seeded_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in a seeded order of their ids, which no second sort makes."""
+    return permutation.in_seeded_order(table(spark, sf_dir, "documents").select("doc_id"), [F.col("doc_id")], 20260817)
+
+
 @query
 def gate_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status of a gate that rejected what nobody had judged, put right."""

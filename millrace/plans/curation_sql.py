@@ -144,6 +144,21 @@ def sql() -> dict[str, str]:
                   len(list_filter(l, lambda x: x = lang)) < greatest(1, ceil(n * 0.5::DOUBLE)) AND len(list_filter(p, lambda x: x = pressure)) < greatest(1, ceil(n * 0.28::DOUBLE)) AND len(list_filter(s, lambda x: x = source)) < greatest(1, ceil(n * 0.1::DOUBLE)) AS ok
                 FROM walk JOIN r ON r.nth = walk.nth + 1)
             ) SELECT doc_id, lang, pressure, source, kept FROM walk JOIN r USING (nth)""",
+        "audit_axes": f"""WITH {RECORDS}, r AS (SELECT model, family, strategy, pressure, passed::VARCHAR AS passed, error_kind, CASE WHEN pressure = 'solved' THEN 'solved' WHEN pressure = 'frustrated' THEN 'almost_correct' ELSE 'unresolved' END AS state,
+              floor(log10(length(text) + 1))::BIGINT::VARCHAR AS digits, (adherence IS NOT NULL)::VARCHAR AS judged, len(reasons)::VARCHAR AS reasons, sha256({_norm("text")}) AS h FROM records),
+            g AS (SELECT {AXIS_OF} AS axis, coalesce({", ".join(AXES)}) AS bucket, count(*) AS n, count(DISTINCT h) AS texts, count(DISTINCT model) AS models FROM r GROUP BY GROUPING SETS ({", ".join(f"({a})" for a in AXES)}, ()))
+            SELECT *, n / (SELECT n FROM g WHERE axis = 'all') AS share FROM g""",
+        "audit_provenance": f"""WITH {RECORDS}, f AS (SELECT * FROM records QUALIFY row_number() OVER (ORDER BY id) = 1) SELECT unnest(['model', 'family', 'strategy', 'error_kind']) AS field,
+            unnest([f.model, f.family, f.strategy, f.error_kind]) AS first, unnest((SELECT [count(DISTINCT model), count(DISTINCT family), count(DISTINCT strategy), count(DISTINCT error_kind)] FROM records)) AS different FROM f""",
+        "seeded_order": f"""WITH RECURSIVE s AS (SELECT n, h, greatest(1, ceil(n / h)::BIGINT) AS w FROM (SELECT n, floor(sqrt(n - 1))::BIGINT + 1 AS h FROM (SELECT count(*) AS n FROM documents))),
+            walk(doc_id, place, steps) AS (
+              SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1, 0 FROM documents
+              UNION ALL SELECT doc_id, l4 * w + r4, steps + 1 FROM (
+                SELECT *, (l3 + {_moved(6, "r3")}) % h AS l4, (r3 + {_moved(7, "l4")}) % w AS r4 FROM (
+                SELECT *, (l2 + {_moved(4, "r2")}) % h AS l3, (r2 + {_moved(5, "l3")}) % w AS r3 FROM (
+                SELECT *, (l1 + {_moved(2, "r1")}) % h AS l2, (r1 + {_moved(3, "l2")}) % w AS r2 FROM (
+                SELECT *, (place // w + {_moved(0, "(place % w)")}) % h AS l1, (place % w + {_moved(1, "l1")}) % w AS r1 FROM walk, s WHERE steps = 0 OR place >= n))))
+            ) SELECT doc_id, place FROM walk, s WHERE steps > 0 AND place < n""",
         "gate_status": f"""WITH {DECIDED} SELECT count(*) AS candidates, count(*) FILTER (status = 'accepted') AS accepted, count(*) FILTER (status = 'rejected') AS rejected, count(*) FILTER (status = 'unjudged') AS unjudged,
             count(*) FILTER (status <> 'unjudged') AS judged, bool_and(status <> 'unjudged') AS complete, round(coalesce(count(*) FILTER (status = 'accepted') / nullif(count(*) FILTER (status <> 'unjudged'), 0), 0), 4) AS acceptance_rate, true AS conserved FROM decided""",
         "training_checks": f"""WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, {BLANK} FROM conversations),
@@ -200,6 +215,14 @@ def sql() -> dict[str, str]:
     }
 
 
+AXES = ("model", "family", "strategy", "pressure", "passed", "error_kind", "state", "digits", "judged", "reasons")
+AXIS_OF = "CASE " + " ".join(f"WHEN grouping({a}) = 0 THEN '{a}'" for a in AXES) + " ELSE 'all' END"
+
+
+def _moved(turn: int, digit: str) -> str:
+    return f"('0x' || substr(sha256('20260817|{turn}|' || {digit}), 1, 12))::BIGINT"
+
+
 def _ordered(codes: str) -> str:
     """Distinct codes in the order in which they come first."""
     inner = codes.removeprefix("list_distinct(").removesuffix(")")
