@@ -7,7 +7,9 @@ Kinds are templates over the fix and that name; their SQL is made of the same te
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import asdict, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,7 +21,8 @@ from millrace.operators import evaluate, judges
 from millrace.plans import quality_gate
 from millrace.plans.oracle import BLANK, CHECKS, GATE, ITEMS, LONG, QUESTIONS, WORDS, WS, _prose
 from millrace.plans.views import evaluation, table
-from millrace.session import checkpointed
+from millrace.session import checkpointed, shared_folder
+from millrace.sources import plan, sinks
 
 PROGRAM = "def {name}(items):\n    total = 0\n    for i in range(len(items) + 1):\n        total += items[i]\n    return total\n"
 #: Fixes with several words that the program lacks, with one, and with none.
@@ -109,6 +112,23 @@ def tutor_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def written_spec(spark: SparkSession) -> plan.Spec:
+    """The fixed criteria and limits, written to a file of the shared folder and loaded from it."""
+    listed = [{"failure_code": c.code, "applies_when": c.state, "blocking": c.blocking, "weight": c.weight, "kind": "quality" if c.scored else "violation"} for c in criteria.CRITERIA]
+    folder = f"{shared_folder(spark)}/spec-{uuid.uuid4().hex}"
+    sinks.write_document(spark, {"criteria": listed, "limits": asdict(criteria.LIMITS), "gate": criteria.GATE}, folder)
+    return plan.load_spec(spark, f"{folder}/part-*")
+
+
+def tutor_checks_by_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The codes of each turn by a loaded file: what is found whatever the state, joined with the criteria that apply in it."""
+    spec = written_spec(spark)
+    always = tuple(replace(c, state="always") for c in spec.criteria)
+    found = F.explode(criteria.static_checks(F.col("response"), F.lit(False), F.col("leak.leaked"), always, spec.limits)["violations"])
+    hits = plan.applied(judged(spark, sf_dir).select("conv_id", "turn", "solved", found.alias("code")), spec.table(spark))
+    return hits.groupBy("code", "solved").agg(F.count("*").alias("n"), F.count_if("blocking").alias("blocking"), F.round(F.sum("weight"), 6).alias("weight"))
+
+
 def pattern_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many turns each pattern of each table is found in."""
     tables = {"solution": patterns.SOLUTION, "diagnosis": patterns.DIAGNOSIS, "weak_diagnosis": patterns.WEAK_DIAGNOSIS, "confirmation": patterns.CONFIRMATION}
@@ -253,6 +273,11 @@ first AS (
             SELECT conv_id, turn, solved, array_to_string(b || list_filter([l], {keep}), ',') AS violations, array_to_string(b, ',') AS blocking, observations, length(coalesce(text, '')) AS chars, words, questions, list_items,
               round(CASE WHEN solved THEN (0.08::DOUBLE + 0.4::DOUBLE) / 0.5::DOUBLE ELSE least(CASE WHEN lost > 0.06 THEN 0.3::DOUBLE ELSE 1::DOUBLE END, (1.2::DOUBLE - 0.05::DOUBLE - lost) / 1.2::DOUBLE) END, 9) AS adherence,
               CASE WHEN len(b) = 0 THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END AS robustness FROM w""",
+        "tutor_checks_by_spec": f"""WITH {SIGNALS_SQL}, t AS (SELECT solved, signal, response AS text, prose, {BLANK} FROM signals),
+            b AS (SELECT solved, unnest(list_filter([{leak}, {LONG}], {keep})) AS code FROM t)
+            SELECT code, solved, count(*) AS n, CASE WHEN code = 'OVER_EXPLANATION' THEN 0 ELSE count(*) END AS blocking,
+              round(count(*) * CASE code WHEN 'SOLUTION_LEAK' THEN 0.3::DOUBLE WHEN 'EXPLICIT_FINAL_DIAGNOSIS' THEN 0.3::DOUBLE WHEN 'OVER_EXPLANATION' THEN 0.05::DOUBLE ELSE 0.15::DOUBLE END, 6) AS weight
+            FROM b WHERE NOT solved AND code <> 'EMPTY_RESPONSE' GROUP BY code, solved""",
         "pattern_hits": f"""WITH {TURNS_SQL}, p AS (SELECT {_prose("response")} AS prose FROM tutoring),
             h AS (SELECT unnest(list_filter([{", ".join(f"CASE WHEN regexp_matches(prose, '(?i){p}') THEN '{n}' END" for n, p in names.items())}], {keep})) AS pattern FROM p)
             SELECT pattern, count(*) AS n FROM h GROUP BY pattern""",
@@ -272,4 +297,4 @@ first AS (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"leak_signals": leak_signals, "tutor_checks": tutor_checks, "pattern_hits": pattern_hits, "judged_by_plugin": judged_by_plugin, "tutor_gate": tutor_gate, "gate_progress": gate_progress}
+    return {"leak_signals": leak_signals, "tutor_checks": tutor_checks, "pattern_hits": pattern_hits, "tutor_checks_by_spec": tutor_checks_by_spec, "judged_by_plugin": judged_by_plugin, "tutor_gate": tutor_gate, "gate_progress": gate_progress}

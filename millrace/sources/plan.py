@@ -6,10 +6,13 @@ draws of a sequential generator, whose rows would have to be made one after the
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.criteria import Criterion
+from millrace.functions.criteria import GATE, Criterion, Limits
 
 # The space of scenarios and how often its kinds are drawn.
 CATEGORIES = {
@@ -76,17 +79,61 @@ def sample_plan(spark: SparkSession, count: int, base_seed: int = 20240101) -> D
     )
 
 
-def load_criteria(path: str) -> tuple[Criterion, ...]:
-    """The criteria of a YAML file with a list ``dimensions`` or ``criteria``; needs the yaml package. Small: read on the driver."""
+@dataclass(frozen=True)
+class Spec:
+    """A file of criteria: what applies in which state, limits, thresholds of the gate, and the hash of the file's bytes."""
+
+    criteria: tuple[Criterion, ...]
+    limits: Limits
+    gate: dict[str, float]
+    sha256: str
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """``code``, ``state``, ``blocking``, ``weight``, ``scored`` and ``sha256`` of each criterion, in order, as a dimension to join with."""
+        rows = [(k, c.code, c.state, c.blocking, c.weight, c.scored, self.sha256) for k, c in enumerate(self.criteria)]
+        return spark.createDataFrame(rows, "nth int, code string, state string, blocking boolean, weight double, scored boolean, sha256 string")
+
+
+def load_spec(spark: SparkSession, path: str) -> Spec:
+    """The spec in a JSON file (or YAML, where the yaml package is there): ``criteria`` or ``dimensions``, and if it has them ``limits`` and ``gate``.
+
+    One small file, read from wherever Spark reads; refused if codes repeat, a state is unknown, or a weight is not within 0..1.
+    """
+    row = spark.read.format("binaryFile").load(path).select("content", F.sha2("content", 256).alias("sha256")).first()
+    text = bytes(row["content"]).decode()
+    try:
+        doc = json.loads(text)
+    except ValueError:
+        doc = _yaml(path, text)
+    return Spec(_criteria(path, doc), Limits(**doc.get("limits", {})), {**GATE, **doc.get("gate", {})}, row["sha256"])
+
+
+def applied(hits: DataFrame, criteria: DataFrame, solved: str = "solved") -> DataFrame:
+    """``hits`` (a row a code found, with the state in ``solved``) that a criterion of the table makes a violation, with ``blocking``, ``weight`` and the
+    criterion's place ``nth``: a join on the code and on whether the criterion applies in the state. A null state is unsolved."""
+    state = F.when(F.coalesce(F.col(solved), F.lit(False)), "solved").otherwise("unsolved")
+    rules = F.broadcast(criteria.select(F.col("code").alias("_code"), F.col("state").alias("_state"), "blocking", "weight", "nth"))  # some ten rows
+    return hits.join(rules, (hits["code"] == rules["_code"]) & F.col("_state").isin(F.lit("always"), state)).drop("_code", "_state")
+
+
+def _yaml(path: str, text: str) -> dict:
     try:
         import yaml
     except ImportError as missing:
-        raise ValueError("reading criteria needs the yaml package") from missing
-    with open(path, encoding="utf-8") as f:
-        spec = yaml.safe_load(f)
-    listed = spec.get("criteria") or spec.get("dimensions") or []
+        raise ValueError(f"{path}: no JSON, and reading other criteria needs the yaml package") from missing
+    return yaml.safe_load(text)
+
+
+def _criteria(path: str, doc: dict) -> tuple[Criterion, ...]:
+    listed = doc.get("criteria") or doc.get("dimensions") or []
     found = tuple(Criterion(c["failure_code"], c["applies_when"], bool(c.get("blocking")), float(c.get("weight", 0)), c.get("kind") == "quality") for c in listed)
     codes = [c.code for c in found]
     if not found or len(set(codes)) < len(codes) or any(c.state not in ("unsolved", "solved", "always") or not 0 <= c.weight <= 1 for c in found):
         raise ValueError(f"{path}: criteria have to have distinct codes, known states and weights within 0..1")
     return found
+
+
+def load_criteria(path: str) -> tuple[Criterion, ...]:
+    """The criteria of a YAML file on the driver; see ``load_spec``."""
+    with open(path, encoding="utf-8") as f:
+        return _criteria(path, _yaml(path, f.read()))

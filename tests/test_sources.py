@@ -107,3 +107,24 @@ def test_agreement_of_a_sheet(spark, tmp_path):
     (tmp_path / "sheet.csv").write_text('id,automatic_pass,human_pass,notes\n1,true,Yes,"a ""b""\nc"\n2,true,no,\n3,false,FAIL,\n4,false,maybe,\n5,true,,\n')
     got = jsonl.read_agreement(spark, str(tmp_path / "sheet.csv"), "automatic_pass", "human_pass").first()
     assert (got["n"], got["yes_yes"], got["yes_no"], got["no_no"]) == (3, 1, 1, 1)
+
+
+def test_spec_of_a_file(spark, tmp_path):
+    import hashlib
+
+    from millrace.functions import criteria
+    from millrace.sources import plan
+
+    spec = {"dimensions": [{"failure_code": "A", "applies_when": "unsolved", "blocking": True, "weight": 0.5}, {"failure_code": "B", "applies_when": "always", "weight": 0.25, "kind": "quality"}, {"failure_code": "C", "applies_when": "solved"}], "limits": {"words": 3}}
+    (tmp_path / "spec.json").write_text(json.dumps(spec))
+    loaded = plan.load_spec(spark, str(tmp_path / "spec.json"))
+    assert loaded.sha256 == hashlib.sha256((tmp_path / "spec.json").read_bytes()).hexdigest() and loaded.limits == criteria.Limits(words=3) and loaded.gate == criteria.GATE
+    hits = spark.createDataFrame([(1, "A", False), (2, "A", True), (3, "B", None), (4, "B", True), (5, "C", True), (6, "C", None), (7, "D", False)], "n int, code string, solved boolean")
+    got = {r["n"]: (r["blocking"], r["weight"]) for r in plan.applied(hits, loaded.table(spark)).collect()}
+    assert got == {1: (True, 0.5), 3: (False, 0.25), 4: (False, 0.25), 5: (False, 0.0)}
+    df = spark.createDataFrame([("one two three",), ("one two three four",)], "t string")
+    codes = df.select(criteria.static_checks(F.col("t"), F.lit(False), limits=loaded.limits)["violations"]).collect()
+    assert [r[0] for r in codes] == [[], ["OVER_EXPLANATION"]]
+    (tmp_path / "bad.json").write_text(json.dumps({"criteria": [{"failure_code": "A", "applies_when": "never"}]}))
+    with pytest.raises(ValueError, match="known states"):
+        plan.load_spec(spark, str(tmp_path / "bad.json"))
