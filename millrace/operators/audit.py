@@ -145,9 +145,11 @@ def scenario_invariants(scenarios: DataFrame, id_col: str, split: Column, *parts
     return one.withColumn("sound", (F.col("repeated_ids") == 0) & (F.col("shared_texts") == 0) & (F.col("ceiling_rows") >= MIN_CEILING))
 
 
-def config_problems(prior: DataFrame, now: DataFrame, keys: tuple[str, ...] = ("base_seed", "generation_prompt_sha256", "dataset_version")) -> DataFrame:
-    """``key``, ``prior`` and ``now`` of settings (tables of key and value) that both runs have and that differ."""
-    one = lambda df, name: df.where(F.col("key").isin(*keys)).select("key", F.col("value").alias(name))
+def config_problems(prior: DataFrame, now: DataFrame, keys: DataFrame | tuple[str, ...] = ("base_seed", "generation_prompt_sha256", "dataset_version")) -> DataFrame:
+    """``key``, ``prior`` and ``now`` of settings (tables of key and value) that both runs have and that differ; ``keys``, names or a table of
+    them (column key), says which settings matter."""
+    chosen = (lambda df: df.where(F.col("key").isin(*keys))) if isinstance(keys, tuple) else (lambda df: df.join(keys.select("key"), "key", "left_semi"))
+    one = lambda df, name: chosen(df).select("key", F.col("value").alias(name))
     return one(prior, "prior").join(one(now, "now"), "key").where(~F.col("prior").eqNullSafe(F.col("now")))
 
 

@@ -44,6 +44,18 @@ def minimum_size(points: DataFrame, size: str = "n", thresholds: dict[str, float
     return points.agg(F.min(F.when(met, F.col(size))).alias("minimum_size"))
 
 
+def minimum_size_reason(points: DataFrame, size: str = "n", thresholds: dict[str, float] = EFFICIENCY) -> DataFrame:
+    """``minimum_size`` with ``reason``: that size met all thresholds, or what the largest one is short of; there may be no sizes at all."""
+    short = F.array_compact(F.array(*[F.when(~F.coalesce(F.col(m) >= least, F.lit(False)), F.lit(m)) for m, least in thresholds.items()]))
+    least = F.min(F.when(F.size(short) == 0, F.col(size)))
+    row = points.agg(least.alias("minimum_size"), F.max_by(F.concat_ws(",", short), F.struct(F.col(size), F.concat_ws(",", short))).alias("short"), F.max(size).alias("largest"))
+    reason = (
+        F.when(F.col("largest").isNull(), "no sizes were measured").when(F.col("minimum_size").isNotNull(), F.format_string("%d rows meet all thresholds", F.col("minimum_size").cast("long")))
+        .otherwise(F.format_string("even %d rows are short of: %s", F.col("largest").cast("long"), F.col("short")))
+    )
+    return row.select("minimum_size", reason.alias("reason"))
+
+
 def training_shares(rates: DataFrame, key: str = "pressure", rate: str = "failure_rate", floor: float = FLOOR, normal_floor: float = NORMAL_FLOOR, cap: float = CAP) -> DataFrame:
     """``key`` and ``share``: floors, the rest in proportion to the rates, shares above the cap dealt to the others by their room.
 

@@ -63,8 +63,9 @@ def with_cached(df: DataFrame, cache: DataFrame, key: str, value: str, *order: C
 
 
 def in_order(df: DataFrame, owed: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """``df`` with the ordinal ``order`` of its key in ``owed``, by which merged rows come back in the order they were asked for."""
-    return df.join(owed.select(*keys, order), keys)
+    """``df`` with the ordinal ``order`` of its key in ``owed``, by which merged rows come back in the order they were asked for;
+    rows whose key is not owed have none (they sort last)."""
+    return df.join(owed.select(*keys, order), keys, "left")
 
 
 def resume_stats(log: DataFrame, keys: list[str], kind: Column) -> DataFrame:

@@ -37,9 +37,21 @@ def select_balanced(df: DataFrame, stratum: str, category: str, quotas: DataFram
     return turns.join(quotas, stratum).where("_turn <= quota").drop("_turn", "quota")
 
 
-def nested(df: DataFrame, order: list[Column], sizes: list[int]) -> DataFrame:
-    """``df`` with its rank and the least of ``sizes`` whose prefix holds the row (null beyond all)."""
+def shortfalls(df: DataFrame, stratum: str, quotas: DataFrame) -> DataFrame:
+    """The strata that have fewer rows than their quota: ``quota``, ``there`` and ``short``. What they lack is not made up from elsewhere."""
+    there = df.groupBy(stratum).agg(F.count("*").alias("there"))
+    rows = quotas.join(there, stratum, "left").withColumn("there", F.coalesce("there", F.lit(0).cast("long")))
+    return rows.withColumn("short", F.col("quota") - F.col("there")).where("short > 0").select(stratum, "quota", "there", "short")
+
+
+def nested(df: DataFrame, order: list[Column], sizes: list[int], strict: bool = False) -> DataFrame:
+    """``df`` with its rank and the least of ``sizes`` whose prefix holds the row (null beyond all). ``strict``: a size above the number of rows is
+    refused; sizes are positive and differ in any case."""
+    if min(sizes) < 1 or len(set(sizes)) < len(sizes):
+        raise ValueError("sizes of subsets are positive and differ")
     ranked = with_rank(df, [], order)
+    if strict and (n := ranked.count()) < max(sizes):  # of a table that is written already
+        raise ValueError(f"a subset of {max(sizes)} rows of {n}")
     return ranked.withColumn("subset", F.coalesce(*[F.when(F.col("rank") <= n, n) for n in sorted(sizes)]))
 
 

@@ -14,7 +14,8 @@ from millrace.operators import audit, decontaminate, evaluate, gates, metrics, p
 from millrace.plans import views
 from millrace.plans.views import table
 from millrace.session import shared_folder
-from millrace.sources import jsonl, plan, seeded
+from millrace.sources import jsonl, plan, seeded, versions
+from millrace.streaming import journal
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -210,6 +211,36 @@ def seeded_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation.in_seeded_order(table(spark, sf_dir, "documents").select("doc_id"), [F.col("doc_id")], 20260817)
 
 
+@query
+def frozen_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judged records of each of four languages frozen as a version, one of them twice, and one not as some are unjudged."""
+    rows = _decided(spark, sf_dir).select("id", "text", "lang", F.when(F.col("adherence").isNull(), "unjudged").otherwise(F.col("status")).alias("status"))
+    folder = f"{shared_folder(spark)}/versions-{uuid.uuid4().hex}"
+    logs = {lang: versions.VersionLog(spark, f"{folder}/{lang}") for lang in ("de", "en", "es", "fr")}
+    for lang, log in logs.items():
+        own = rows.where(F.col("lang") == lang)
+        judged = own if lang == "fr" else own.where("status <> 'unjudged'")
+        try:
+            versions.freeze(log, judged, content_hash(F.col("text")), "id")
+            if lang == "de":
+                versions.freeze(log, judged.where("id % 2 = 0"), content_hash(F.col("text")), "id", refreeze=True)
+        except versions.Refused:
+            continue
+    return versions.manifest(logs).fillna({"number": 0, "accepted_count": 0, "dataset_hash": ""})
+
+
+@query
+def journaled_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels dropped twice as verdicts; of the toxic ones the first drop has no verdict."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), F.col("quality").cast("long").alias("at"), "toxic")
+    folder = f"{shared_folder(spark)}/journal-{uuid.uuid4().hex}"
+    for drop in ("first", "second"):
+        verdict = F.when((F.col("toxic") == 1) & F.lit(drop == "first"), "judge_unavailable").otherwise(drop)
+        labels.select("key", F.coalesce("at", F.lit(0)).alias("at"), verdict.alias("verdict")).write.mode("append").json(f"{folder}/drop")
+        journal.journal(spark, f"{folder}/drop", f"{folder}/kept", f"{folder}/state", "key long, at long, verdict string", "key", "at", F.col("verdict") == "judge_unavailable")
+    return spark.read.schema("key long, at long, verdict string").parquet(f"{folder}/kept").select("key", "verdict")
+
+
 @query
 def gate_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status of a gate that rejected what nobody had judged, put right."""
@@ -265,7 +296,7 @@ def config_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = table(spark, sf_dir, "nation").select(F.col("n_name").alias("key"), F.col("n_regionkey").alias("region"), "n_nationkey")
     now = nations.where("n_nationkey <> 3").withColumn("region", F.when(F.col("n_nationkey") % 5 == 0, F.col("region") + 1).otherwise(F.col("region")))
     as_text = lambda df: df.select("key", F.col("region").cast("string").alias("value"))
-    return audit.config_problems(as_text(nations), as_text(now), tuple(r["key"] for r in nations.select("key").collect()))  # a vocabulary of 25
+    return audit.config_problems(as_text(nations), as_text(now), nations.select("key"))
 
 
 @query
@@ -371,6 +402,20 @@ def usage_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.merged_usage(runs[0].unionByName(runs[1]), "model")
 
 
+@query
+def quota_shortfalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages with fewer documents than a quota of nearly a third of all each."""
+    docs = table(spark, sf_dir, "documents").select("lang")
+    langs = docs.distinct().join(F.broadcast(docs.agg(F.floor(F.count("*") * 0.3).alias("quota"))))
+    return select.shortfalls(docs, "lang", langs)
+
+
+@query
+def minimum_size_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why no size of a cell, or which, meets the thresholds."""
+    return gates.minimum_size_reason(metrics.cell_metrics(views.records(spark, sf_dir)), "scenario_count").fillna(-1)
+
+
 @query
 def size_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes of a sweep over the documents, and candidates to ask for so that as many are accepted again."""

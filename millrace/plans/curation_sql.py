@@ -5,7 +5,7 @@ from __future__ import annotations
 from millrace.functions.errors import INFRASTRUCTURE
 from millrace.functions.judging import DIAGNOSES, STOP
 from millrace.operators.audit import MARKERS
-from millrace.plans.oracle import BLANK, CHECKS, DOCS, LOG, LONG, RECORDS, WS, _kept, _norm, _overlap, _prose
+from millrace.plans.oracle import BLANK, CHECKS, DOCS, LOG, LONG, RECORDS, WS, _cells, _kept, _norm, _overlap, _prose
 from millrace.sources.plan import CATEGORIES, PRESSURE_WEIGHTS, TURN_WEIGHTS
 
 FULL = "lambda x: x IS NOT NULL"
@@ -159,6 +159,11 @@ def sql() -> dict[str, str]:
                 SELECT *, (l1 + {_moved(2, "r1")}) % h AS l2, (r1 + {_moved(3, "l2")}) % w AS r2 FROM (
                 SELECT *, (place // w + {_moved(0, "(place % w)")}) % h AS l1, (place % w + {_moved(1, "l1")}) % w AS r1 FROM walk, s WHERE steps = 0 OR place >= n))))
             ) SELECT doc_id, place FROM walk, s WHERE steps > 0 AND place < n""",
+        "frozen_manifest": f"""WITH {RECORDS}, r AS (SELECT id, strategy AS version, passed, adherence, sha256({_norm("text")}) AS d FROM records WHERE adherence IS NOT NULL),
+            a AS (SELECT version, count(*) AS n, {HASH} AS h FROM r WHERE passed AND (version <> 'de' OR id % 2 = 0) GROUP BY version),
+            v AS (SELECT unnest(['de', 'en', 'es', 'fr']) AS version), w AS (SELECT version, version <> 'fr' OR NOT EXISTS (FROM records WHERE strategy = 'fr' AND adherence IS NULL) AS whole FROM v)
+            SELECT version, whole AND n IS NOT NULL AS frozen, (CASE WHEN NOT frozen THEN 0 WHEN version = 'de' THEN 2 ELSE 1 END)::BIGINT AS number, CASE WHEN frozen THEN n ELSE 0 END AS accepted_count, CASE WHEN frozen THEN h ELSE '' END AS dataset_hash FROM w LEFT JOIN a USING (version)""",
+        "journaled_verdicts": "SELECT doc_id AS key, CASE WHEN toxic = 1 THEN 'second' ELSE 'first' END AS verdict FROM labels",
         "gate_status": f"""WITH {DECIDED} SELECT count(*) AS candidates, count(*) FILTER (status = 'accepted') AS accepted, count(*) FILTER (status = 'rejected') AS rejected, count(*) FILTER (status = 'unjudged') AS unjudged,
             count(*) FILTER (status <> 'unjudged') AS judged, bool_and(status <> 'unjudged') AS complete, round(coalesce(count(*) FILTER (status = 'accepted') / nullif(count(*) FILTER (status <> 'unjudged'), 0), 0), 4) AS acceptance_rate, true AS conserved FROM decided""",
         "training_checks": f"""WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, {BLANK} FROM conversations),
@@ -206,6 +211,11 @@ def sql() -> dict[str, str]:
             SELECT user_id, event_id, ordinal FROM m JOIN c USING (user_id)""",
         "usage_merged": f"""WITH {LOG}, c AS (SELECT user_id AS model, event_type = 'error' AS f, CASE WHEN event_type IN ('click', 'view', 'purchase') THEN k END AS i, CASE WHEN event_type = 'purchase' THEN floor(value)::BIGINT END AS o FROM log)
             SELECT model, count(*) AS requests, count(*) FILTER (f) AS failed_requests, coalesce(sum(i), 0)::BIGINT AS input_tokens, coalesce(sum(o), 0)::BIGINT AS output_tokens, bool_or(NOT f AND i IS NULL AND o IS NULL) AS incomplete FROM c GROUP BY model""",
+        "quota_shortfalls": "WITH q AS (SELECT floor(count(*) * 0.3)::BIGINT AS quota FROM documents) SELECT lang, quota, count(*) AS there, quota - count(*) AS short FROM documents, q GROUP BY lang, quota HAVING count(*) < quota",
+        "minimum_size_reason": f"""WITH {RECORDS}, c AS ({_cells("model, strategy")}), s AS (SELECT scenario_count AS n, array_to_string(list_filter([CASE WHEN coalesce(pass_rate >= 0.9, false) THEN NULL ELSE 'pass_rate' END,
+              CASE WHEN coalesce(adherence_mean >= 0.9, false) THEN NULL ELSE 'adherence_mean' END, CASE WHEN coalesce(robustness_mean >= 0.85, false) THEN NULL ELSE 'robustness_mean' END], {FULL}), ',') AS short FROM c),
+            m AS (SELECT min(n) FILTER (short = '') AS minimum_size, arg_max(short, (n, short)) AS short, max(n) AS largest FROM s)
+            SELECT coalesce(minimum_size, -1) AS minimum_size, CASE WHEN largest IS NULL THEN 'no sizes were measured' WHEN minimum_size IS NOT NULL THEN minimum_size || ' rows meet all thresholds' ELSE 'even ' || largest || ' rows are short of: ' || short END AS reason FROM m""",
         "size_decisions": """WITH c AS (SELECT count(*) AS n, count(quality) AS judged, count(*) FILTER (quality = 1) AS good FROM documents LEFT JOIN labels USING (doc_id))
             SELECT n, (CASE WHEN n <= good THEN 0 ELSE greatest(50, ceil(ceil(ceil((n - good) / (good / judged)) * 1.1::DOUBLE) / 50) * 50) END)::BIGINT AS top_up,
               CASE WHEN n >= 1000 THEN '125,250,500,1000' ELSE array_to_string(list_sort(list_distinct(list_transform(list_filter([1, 2, 4, 8], lambda d: n / d >= 8), lambda d: n // d))), ',') END AS sweep FROM c""",
@@ -215,6 +225,7 @@ def sql() -> dict[str, str]:
     }
 
 
+HASH = f"sha256({" || '-' || ".join(f"sum(('0x' || substr(d, {15 * k + 1}, 15))::BIGINT)" for k in range(4))})"
 AXES = ("model", "family", "strategy", "pressure", "passed", "error_kind", "state", "digits", "judged", "reasons")
 AXIS_OF = "CASE " + " ".join(f"WHEN grouping({a}) = 0 THEN '{a}'" for a in AXES) + " ELSE 'all' END"
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 STATUSES = ("accepted", "rejected", "unjudged")
@@ -21,13 +21,13 @@ def write_version(df: DataFrame, path: str, status: str = "status") -> None:
 
 
 def write_version_report(df: DataFrame, path: str, details: dict | None = None, status: str = "status") -> dict:
-    """A dataset version as JSON lines, a folder for each status even if it is empty, and a report of the counts, the
+    """A dataset version (rows that are evaluated once for each status) as JSON lines, a folder for each status even if it is empty, and a report of the counts, the
     acceptance rate of the judged rows and further ``details`` beside them; the report is returned."""
-    held = df.persist()
-    found = {r[0]: r[1] for r in held.groupBy(status).agg(F.count("*")).collect()}  # one row a status
-    for name in STATUSES:
-        write_jsonl(held.where(F.col(status) == name).drop(status), f"{path}/{name}")
-    held.unpersist()
+    found = {}
+    for name in STATUSES:  # each part is counted while it is written
+        seen = Observation()
+        write_jsonl(df.where(F.col(status) == name).drop(status).observe(seen, F.count("*").alias("n")), f"{path}/{name}")
+        found[name] = seen.get["n"]
     counts = {f"{name}_count": found.get(name, 0) for name in STATUSES}
     judged = counts["accepted_count"] + counts["rejected_count"]
     rate = round(counts["accepted_count"] / judged, 4) if judged else 0.0

@@ -156,3 +156,24 @@ def test_gate_conserves_rows(spark):
     assert report["candidates"] == report["accepted"] + report["rejected"] + report["unjudged"] == 12
     with pytest.raises(ValueError):
         quality_gate.freeze(out, F.sha2("t", 256))
+
+
+def test_shortfalls_reasons_and_sizes(spark):
+    df = spark.createDataFrame([("a",), ("a",), ("b",)], "g string")
+    quotas = spark.createDataFrame([("a", 1), ("b", 3), ("c", 2)], "g string, quota int")
+    assert sorted(map(tuple, select.shortfalls(df, "g", quotas).collect())) == [("b", 3, 1, 2), ("c", 2, 0, 2)]
+    points = spark.createDataFrame([(100, 0.95, 0.8, 0.9), (200, 0.95, 0.92, 0.9)], "n int, pass_rate double, adherence_mean double, robustness_mean double")
+    reason = lambda d: tuple(gates.minimum_size_reason(d).first())
+    assert reason(points) == (200, "200 rows meet all thresholds")
+    assert reason(points.where("n = 100")) == (None, "even 100 rows are short of: adherence_mean")
+    assert reason(points.limit(0)) == (None, "no sizes were measured")
+    with pytest.raises(ValueError, match="a subset of 5 rows of 3"):
+        select.nested(df, [F.col("g")], [1, 5], strict=True)
+    with pytest.raises(ValueError, match="positive"):
+        select.nested(df, [F.col("g")], [0, 5])
+
+
+def test_merged_rows_that_nobody_asked_for(spark):
+    merged = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    owed = spark.createDataFrame([(2, 7)], "k int, ordinal int")
+    assert sorted(map(tuple, resume.in_order(merged, owed, ["k"], "ordinal").collect())) == [(1, "a", None), (2, "b", 7)]
