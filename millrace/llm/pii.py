@@ -1,8 +1,8 @@
 """Replacement of personal data by keyed surrogates, in DataFrame operations only.
 
 One pattern finds e-mail addresses, IP addresses of both versions, phone numbers (international, or of ten digits as written
-in North America), social security numbers (3-2-4 digits), account numbers of 13 to 19 digits, secrets and names after a
-form of address; where a text has such names, their parts are found in the rest of that text as well. Entities fall into units
+in North America with brackets, points or hyphens), social security numbers (3-2-4 digits), account numbers of 13 to 19 digits
+or with their country, secrets and names after a form of address; where a text has such names, their parts are found in the rest of that text as well. Entities fall into units
 (a name's parts, an address's local part and domain, else the whole), and each unit of the corpus gets one surrogate of the
 same class, script, gender, letter case and format, drawn from a keyed hash: a unit is replaced by the same surrogate
 wherever it stands. The surrogates of all units are checked: one that two units share, or that is a unit itself, is drawn
@@ -23,15 +23,17 @@ EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]{1,63}\.)+\p
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IP = rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])"
 _HEX = "[0-9A-Fa-f]{1,4}"
-IP6 = rf"(?<![0-9A-Za-z:])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![0-9A-Za-z:])"
+#: In full, with zeros left out in the middle, or (if it has a digit) at an end.
+IP6 = rf"(?<![0-9A-Za-z:])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}}|(?=[A-Fa-f:]*[0-9])(?:::(?:{_HEX}:){{0,6}}{_HEX}|(?:{_HEX}:){{1,7}}:))(?![0-9A-Za-z:])"
 PHONE = r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])"
 NATIONAL = r"(?<![0-9\p{L}(+-])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9\p{L}-])"
 SSN = r"(?<![0-9\p{L}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\p{L}-])"
 #: Digits in a row or in groups of three or more but for the last; single digits with spaces between are a list of numbers.
 ACCOUNT = r"(?<![0-9\p{L}])(?=[0-9](?:[ -]?[0-9]){12,18}(?![0-9\p{L}]))(?:[0-9]{13,19}|(?:[0-9]{3,8}[ -])+[0-9]{1,8})(?![0-9\p{L}])"
-SECRET = r"(?<![\p{L}\p{N}_-])(?:AKIA[0-9A-Z]{16}|(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{24,})(?![\p{L}\p{N}_-])"
+#: Keys of cloud accounts, bank accounts with their country (a check number and at least eight digits more), and runs with a digit.
+SECRET = r"(?<![\p{L}\p{N}_-])(?:AKIA[0-9A-Z]{16}|[A-Z]{2}[0-9]{2}(?=(?:[A-Z]*[0-9]){8})[A-Z0-9]{11,30}|(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{24,})(?![\p{L}\p{N}_-])"
 _TITLE = f"(?:{MALE}|{FEMALE}|{OTHER})"
-_NAME = r"(?:\p{Lu}(?:\.|[\p{L}\p{M}]++(?:['’-]\p{L}{2,}+)*)|\p{Lo}[\p{L}\p{M}]*+)"
+_NAME = r"(?:\p{Lu}(?:\.|(?:['’](?=\p{Lu}))?[\p{L}\p{M}]++(?:['’-]\p{L}{2,}+)*)|\p{Lo}[\p{L}\p{M}]*+)"
 PERSON = rf"(?<!\p{{L}}){_TITLE}\.? {_NAME}(?: (?!{_TITLE}(?!\p{{L}})){_NAME})*"
 #: An account number that is a run of digits would match as a secret too; what stands first wins.
 PATTERN = "|".join((EMAIL, IP, IP6, PHONE, NATIONAL, SSN, ACCOUNT, SECRET, PERSON))
@@ -146,7 +148,7 @@ def _draw(key: str) -> Column:
         hexadecimal = ((kind == "secret") & unit.rlike("^[0-9a-fA-F]+$")) | ((kind == "ip6") & (c != ":"))
         return (
             F.when(kept, c)
-            .when(hexadecimal, F.when(F.upper(unit) == unit, F.upper(h)).otherwise(h))
+            .when(hexadecimal, F.when((F.upper(unit) == unit) & (F.lower(unit) != unit), F.upper(h)).otherwise(h))
             .when(c.rlike("[0-9]"), digit)
             .when(c.rlike(r"\p{L}"), letters(c, i, h))
             .otherwise(c)
@@ -182,9 +184,12 @@ def _draw(key: str) -> Column:
             s,
         ),
     )
+    # there are few short addresses: later draws are in full
+    groups = F.concat_ws(":", *[F.substr(digest, F.lit(4 * k + 1), F.lit(4)) for k in range(8)])
     return (
         F.when(kind == "ip", address)
-        .when(kind == "domain", F.concat(F.substr(F.translate(digest, "0123456789", "ghijklmnop"), F.lit(1), F.lit(12)), F.lit(".example.net")))
+        .when((kind == "ip6") & (draw >= 4), groups)
+        .when(kind == "domain", let(F.concat(F.substr(F.translate(digest, "0123456789", "ghijklmnop"), F.lit(1), F.lit(12)), F.lit(".example.net")), lambda d: F.when(F.upper(unit) == unit, F.upper(d)).otherwise(d)))
         .when(kind == "account", F.when(_luhn(F.regexp_replace(unit, "[ -]", "")), checked).otherwise(spelled(unit)))
         .when(kind == "given", let(spelled(longer), gendered))
         .otherwise(spelled(longer))
@@ -197,11 +202,16 @@ def _cased(letter: Column, like: Column) -> Column:
 
 def surrogates(units: DataFrame, key: str) -> DataFrame:
     """``kind``, ``gender``, ``unit`` and ``surrogate`` of each unit of a table with kind, gender and unit; no two units of a kind
-    share one, and none is a unit of its kind. Units that differ in letter case only count as one for this check.
+    share one, and none is a unit of its kind. Units that differ in letter case only count as one for this check. A unit without a
+    gender has the surrogate of the same unit with one, if there is one (of the first gender, if there are two).
 
     A kind of which there are more units than surrogates of its format, such as phone numbers of one country, is an error.
     """
-    drawn = units.where("kind <> ''").select("kind", "gender", "unit").distinct()
+    asked = checkpointed(units.where("kind <> ''").select("kind", "gender", "unit").distinct())
+    known = asked.where("gender <> ''").groupBy("kind", F.lower("unit").alias("folded")).agg(F.min("gender").alias("settled"))
+    asked = asked.withColumn("folded", F.lower("unit")).join(known, ["kind", "folded"], "left")
+    asked = checkpointed(asked.select("kind", "unit", F.col("gender").alias("own"), F.coalesce(F.nullif("gender", F.lit("")), "settled", F.lit("")).alias("gender")))
+    drawn = asked.select("kind", "gender", "unit").distinct()
     drawn = drawn.withColumn("draw", F.lit(0)).withColumn("surrogate", F.lit(None).cast("string")).withColumn("again", F.lit(True))
     for _ in range(DRAWS):
         drawn = checkpointed(drawn.withColumn("surrogate", F.when(F.col("again"), _draw(key)).otherwise(F.col("surrogate"))).drop("again"))
@@ -215,7 +225,8 @@ def surrogates(units: DataFrame, key: str) -> DataFrame:
         judged = judged.select("kind", "unit", "gender", "surrogate", "draw", again.alias("again"))
         judged = checkpointed(judged.withColumn("draw", F.col("draw") + F.col("again").cast("int")))
         if judged.where("again").isEmpty():
-            return judged.select("kind", "gender", "unit", "surrogate")
+            found = asked.join(judged.select("kind", "gender", "unit", "surrogate"), ["kind", "gender", "unit"])
+            return found.select("kind", F.col("own").alias("gender"), "unit", "surrogate")
         drawn = judged
     raise ValueError(f"units are left that share a surrogate after {DRAWS} draws")
 
