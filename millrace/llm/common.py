@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.text import let
-from millrace.session import checkpointed, shared_folder
+from millrace.session import BROADCAST_ROWS, checkpointed, shared_folder
 
 __all__ = ["SPACE", "checkpointed", "let", "shared_folder", "squeezed", "table", "text_key", "without_rows", "words"]
 
@@ -39,5 +39,7 @@ def text_key(text: Column) -> Column:
 def without_rows(df: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``df`` whose id and text are not among those of ``gone`` (columns _id and _key, of ``text_key``), with
     their columns unchanged."""
-    gone = gone.select(F.col("_id").alias("_gone_id"), F.col("_key").alias("_gone_key")).distinct()
+    gone = checkpointed(gone.select(F.col("_id").alias("_gone_id"), F.col("_key").alias("_gone_key")).distinct())
+    if gone.count() <= BROADCAST_ROWS:  # then texts stay where they are
+        gone = F.broadcast(gone)
     return df.join(gone, df[id_col].eqNullSafe(gone["_gone_id"]) & (text_key(df[text_col]) == gone["_gone_key"]), "left_anti")
