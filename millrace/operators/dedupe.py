@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import content_hash, shingles, tokens
+from millrace.operators.similarity import candidates, classes, shared_counts, small
 from millrace.session import BROADCAST_TERMS, checkpointed
 
 #: Similarity from which two texts are near-duplicates.
@@ -19,35 +20,37 @@ def first_of_equal(df: DataFrame, id_col: str, *parts: Column) -> DataFrame:
     return hashed.join(first, "content_hash").withColumn("kept", F.col(id_col) == F.col("first_id"))
 
 
-def shingle_sets(df: DataFrame, id_col: str, text: Column, size: int = 4) -> DataFrame:
-    """``id`` and ``shingles`` (hashes of its word runs) of each row that has any."""
-    sets = df.select(F.col(id_col).alias("id"), F.transform(shingles(tokens(text), size), lambda s: F.xxhash64(s)).alias("shingles"))
-    return sets.where(F.size("shingles") > 0)
+def shingle_sets(df: DataFrame, id_col: str, text: Column, size: int = 4, every: bool = False, **more: Column) -> DataFrame:
+    """``id`` and ``shingles`` (hashes of its word runs) of each row that has any (``every``: of all rows), and ``more`` columns."""
+    hashes = F.transform(shingles(tokens(text), size), lambda s: F.xxhash64(s)).alias("shingles")
+    sets = df.select(F.col(id_col).alias("id"), hashes, *[c.alias(name) for name, c in more.items()])
+    return sets if every else sets.where(F.size("shingles") > 0)
 
 
 def similar_pairs(sets: DataFrame, threshold: float = NEAR) -> DataFrame:
     """Pairs ``i`` < ``j`` of sets with a Jaccard similarity of ``threshold`` or more, and ``similarity``.
 
-    Exact: a set's rarest shingles, one more than may be missing, have one in common with those of any similar set.
-    Common shingles are rare among them, so no shingle makes all pairs of its holders; the sizes prune the rest.
+    Exact: a set's rarest shingles, one more than may be missing, have one in common with those of any similar set. Equal sets are compared
+    as one, and every pair of theirs comes back.
     """
-    sets = checkpointed(sets.withColumn("n", F.size("shingles")))
-    each = sets.select("id", "n", F.explode("shingles").alias("s"))
-    holders = checkpointed(each.groupBy("s").agg(F.count("*").alias("holders")).where("holders > 1"))
-    if holders.count() <= BROADCAST_TERMS:
-        holders = F.broadcast(holders)
-    held = each.join(holders, "s")  # shingles of one text only come first in the order, and need no row
-    of_text = Window.partitionBy("id")  # the shared shingles of one text
-    placed = held.withColumn("place", F.row_number().over(of_text.orderBy("holders", "s"))).withColumn("shared", F.count("*").over(of_text))
-    allowed = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    prefix = placed.where(F.col("n") - F.col("shared") + F.col("place") <= allowed).select("id", "n", "s")
-    left, right = prefix.select(F.col("id").alias("i"), F.col("n").alias("ni"), "s"), prefix.select(F.col("id").alias("j"), F.col("n").alias("nj"), "s")
-    fits = F.least("ni", "nj") >= threshold * F.greatest("ni", "nj") - 1e-9
-    candidates = left.join(right, "s").where((F.col("i") < F.col("j")) & fits).select("i", "j").distinct()
-    a, b = sets.select(F.col("id").alias("i"), F.col("shingles").alias("a")), sets.select(F.col("id").alias("j"), F.col("shingles").alias("b"))
-    shared = F.size(F.array_intersect("a", "b"))
-    scored = candidates.join(a, "i").join(b, "j").withColumn("similarity", shared / (F.size("a") + F.size("b") - shared))
-    return scored.where(F.col("similarity") >= threshold).select("i", "j", "similarity")
+    sets = checkpointed(classes(sets))
+    firsts = checkpointed(sets.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
+    compared = sets.join(small(firsts.select("id"), BROADCAST_TERMS), "id", "left_semi").select("id", "shingles")
+    pairs = checkpointed(_scored(compared, threshold))
+    several = small(firsts.where("copies > 1").select("key", F.col("id").alias("first")), BROADCAST_TERMS)
+    members = checkpointed(sets.select("id", "key").join(several, "key").select("first", "id"))
+    as_first = lambda end: members.select(F.col("first").alias(end), F.col("id").alias(f"own_{end}"))
+    of = lambda end: F.coalesce(F.col(f"own_{end}"), F.col(end))
+    every = pairs.join(as_first("i"), "i", "left").join(as_first("j"), "j", "left").select(F.least(of("i"), of("j")).alias("i"), F.greatest(of("i"), of("j")).alias("j"), "similarity")
+    equal = members.select("first", F.col("id").alias("i")).join(members.select("first", F.col("id").alias("j")), "first").where("i < j")
+    return every.unionByName(equal.select("i", "j", F.lit(1.0).alias("similarity")))
+
+
+def _scored(sets: DataFrame, threshold: float) -> DataFrame:
+    """``similar_pairs`` of sets that are all different."""
+    pairs = shared_counts(candidates(sets, None, threshold), sets, sets)
+    scored = pairs.withColumn("similarity", F.col("shared") / (F.col("n") + F.col("m") - F.col("shared")))
+    return scored.where(F.col("similarity") >= threshold).select(F.col("a").alias("i"), F.col("b").alias("j"), "similarity")
 
 
 def keep_first(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -72,15 +75,14 @@ def keep_first(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 def deduplicate(df: DataFrame, id_col: str, text_col: str, threshold: float = NEAR) -> DataFrame:
     """``id`` and ``kept`` of each row: greedy removal of equal and similar texts, the first of them kept.
 
-    Equal texts, and texts with equal sets of shingles, are decided with the first of them, so that only first ones are
-    compared: the others have the same neighbours, or the first itself, before them, and are dropped.
+    Texts with equal sets of shingles, as equal texts have, are decided with the first of them, so that only first ones are compared: the
+    others have the same neighbours, or the first itself, before them, and are dropped. Without shingles equal texts are.
     """
-    rows = checkpointed(first_of_equal(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", F.col("text")))
-    firsts = rows.where("kept")
-    sets = checkpointed(shingle_sets(firsts, "id", F.col("text")).withColumn("same", F.md5(F.array_join(F.array_sort("shingles"), ","))))
-    first = sets.groupBy("same").agg(F.min("id").alias("first"))
-    repeats = sets.join(first, "same").where(F.col("id") != F.col("first")).select(F.col("id").alias("_repeat"))
-    sets = sets.drop("same").join(repeats, F.col("id") == F.col("_repeat"), "left_anti")
-    nodes = firsts.select("id").join(repeats, F.col("id") == F.col("_repeat"), "left_anti")
-    verdicts = keep_first(nodes, similar_pairs(sets, threshold))
-    return rows.select("id", F.col("kept").alias("first")).join(verdicts, "id", "left").select("id", F.coalesce(F.col("first") & F.col("kept"), F.lit(False)).alias("kept"))
+    text, hash_ = F.col(text_col), content_hash(F.col(text_col))
+    sets = shingle_sets(df, id_col, text, every=True, hash=F.struct(F.substring(hash_, 1, 32).alias("x"), F.substring(hash_, 33, 32).alias("y")))
+    rows = classes(sets).withColumn("key", F.when(F.size("shingles") > 0, F.struct(F.col("key.x").cast("string").alias("x"), F.col("key.y").cast("string").alias("y"))).otherwise(F.col("hash")))
+    rows = checkpointed(rows.select("id", "key", "shingles"))
+    firsts = checkpointed(rows.groupBy("key").agg(F.min("id").alias("id")).select("id"))
+    sets = rows.where(F.size("shingles") > 0).join(small(firsts, BROADCAST_TERMS), "id", "left_semi").select("id", "shingles")
+    verdicts = keep_first(firsts, _scored(sets, threshold))
+    return rows.select("id").join(verdicts, "id", "left").select("id", F.coalesce("kept", F.lit(False)).alias("kept"))
