@@ -37,6 +37,8 @@ LONGEST = 256
 SLICE, REMEMBERED = 1 << 22, 400_000
 #: Bytes beyond which a pre-token is merged with a heap.
 LONG = 200
+#: Bytes of a pre-token, and pre-tokens, up to which those of about one length are merged in step.
+SHORT, TOGETHER = 64, 2048
 BITS = 17
 MASK, NONE = (1 << BITS) - 1, 1 << 62
 # The characters of the Unicode property White_Space (fixed values).
@@ -67,6 +69,8 @@ class Vocabulary:
         # the ids of a pair -> its rank and the id of the two together, in one number that sorts by rank
         ids = spec["model"]["vocab"]
         self.pairs = {ids[a] << BITS | ids[b]: k << BITS | ids[a + b] for k, (a, b) in enumerate(pairs)}
+        self.keys = np.array(sorted(self.pairs), np.int64)
+        self.values = np.array([self.pairs[k] for k in self.keys.tolist()], np.int64)
         self.bytes = [self.ids[bytes([b])] for b in range(256)]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.texts = {i: b for b, i in self.ids.items()} | {i: t.encode() for t, i in self.added.items()}
@@ -113,6 +117,59 @@ class Vocabulary:
                     heapq.heappush(heap, (v, left))
         return [p for p in parts if p is not None]
 
+    def _found(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The entries of many pairs."""
+        if not len(self.keys):
+            return np.full(len(a), NONE)
+        pairs = a << BITS | b
+        at = np.minimum(np.searchsorted(self.keys, pairs), len(self.keys) - 1)
+        return np.where(self.keys[at] == pairs, self.values[at], NONE)
+
+    def merge_all(self, tokens: list[bytes]) -> list[bytes]:
+        """``merge`` of many pre-tokens, as little-endian unsigned 32-bit integers; short ones take each step together."""
+        out = [b""] * len(tokens)
+        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        for k in np.flatnonzero(sizes > SHORT).tolist():
+            out[k] = np.array(self.merge(tokens[k]), "<u4").tobytes()
+        order = np.argsort(sizes, kind="stable")[: np.count_nonzero(sizes <= SHORT)]
+        for a in range(0, len(order), TOGETHER):
+            self._merge_step_by_step(tokens, order[a : a + TOGETHER], sizes, out)
+        return out
+
+    def _merge_step_by_step(self, tokens: list[bytes], own: np.ndarray, sizes: np.ndarray, out: list[bytes]) -> None:
+        n = sizes[own]
+        column = np.arange(max(1, n.max()))
+        inside = column < n[:, None]
+        parts, found = np.zeros(inside.shape, np.int64), np.full(inside.shape, NONE)
+        parts[inside] = np.array(self.bytes, np.int64)[np.frombuffer(b"".join(tokens[k] for k in own.tolist()), np.uint8)]
+        pair = inside[:, 1:]
+        found[:, :-1][pair] = self._found(parts[:, :-1][pair], parts[:, 1:][pair])
+        while len(own):
+            at = found.argmin(axis=1)  # the lowest rank, leftmost first
+            best = found[np.arange(len(own)), at]
+            ended = best == NONE
+            if ended.any():
+                data = parts[ended][column < n[ended][:, None]].astype("<u4").tobytes()
+                ends = (4 * np.cumsum(n[ended])).tolist()
+                for k, x, y in zip(own[ended].tolist(), [0, *ends], ends, strict=False):
+                    out[k] = data[x:y]
+                own, n, at, best, parts, found = (x[~ended] for x in (own, n, at, best, parts, found))
+            row, last = np.arange(len(own)), len(column) - 1
+            parts = np.take_along_axis(parts, np.minimum(column + (column > at[:, None]), last), 1)
+            found = np.take_along_axis(found, np.minimum(column + (column >= at[:, None]), last), 1)
+            parts[row, at] = best & MASK
+            n = n - 1
+            left, right = row[at > 0], row[at < n - 1]
+            found[left, at[left] - 1] = self._found(parts[left, at[left] - 1], parts[left, at[left]])
+            found[right, at[right]] = self._found(parts[right, at[right]], parts[right, at[right] + 1])
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """``encode_word`` of many words, as little-endian unsigned 32-bit integers."""
+        split = [[w] if w.isalpha() or (w[:1] == " " and w[1:].isalpha()) else _TOKEN.findall(w) for w in words]
+        tokens = list({t for part in split for t in part})
+        merged = dict(zip(tokens, self.merge_all([t.encode() for t in tokens]), strict=True))
+        return [b"".join(map(merged.__getitem__, part)) for part in split]
+
     def encode_word(self, word: str) -> list[int]:
         """The ids of one word, merged exactly."""
         if word.isalpha() or (word[:1] == " " and word[1:].isalpha()):  # letters only: one pre-token
@@ -142,8 +199,8 @@ class _Memory(dict):
         places = lexicon.places([w.encode() for w in missing])
         known = np.flatnonzero(places >= 0)
         self.update(zip((missing[k] for k in known), lexicon.outputs(places[known]), strict=True))
-        for word in (missing[k] for k in np.flatnonzero(places < 0)):
-            self[word] = np.array(vocab.encode_word(word), "<u4").tobytes()
+        new = [missing[k] for k in np.flatnonzero(places < 0)]
+        self.update(zip(new, vocab.encode_words(new), strict=True))
 
 
 @lru_cache(maxsize=1)

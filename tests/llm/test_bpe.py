@@ -1,6 +1,7 @@
 """Encoding and decoding against the tokenizer library, and the lexicon against a dictionary."""
 
 import hashlib
+import random
 
 import numpy as np
 import public_tokenizers
@@ -70,3 +71,12 @@ def test_long_tokens_merge_alike(text):
     vocab = bpe.vocabulary(PATH)
     token = text.encode()
     assert not token or vocab._merge_long(token) == vocab.merge(token)
+
+
+def test_words_that_the_lexicon_lacks_are_merged_in_step():
+    vocab = bpe.vocabulary(PATH)
+    rng = random.Random(5)
+    words = ["", "a", " ", "aaaa", "x" * 64, "x" * 65, "y" * 300, "don't", " it's1234,", "é" * 40, "퟿日本 "]
+    words += ["".join(rng.choice(["th", "er", "on", "a", "Z", "7", ".", "ß", " "]) for _ in range(rng.randint(1, 30))) for _ in range(5000)]
+    assert vocab.encode_words(words) == [np.array(vocab.encode_word(w), "<u4").tobytes() for w in words]
+    assert vocab.encode_words([]) == []
