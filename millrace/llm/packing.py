@@ -32,32 +32,56 @@ from millrace.llm.bpe import slices
 from millrace.llm.common import checkpointed
 
 CAPACITY = 2048
-#: Words and their ids that a worker remembers.
-REMEMBERED = 1_200_000
+#: Characters of texts that are handled at once, and rows at most; words of a generation that a worker remembers; unseen words that are encoded at once.
+SLICE, ROWS, REMEMBERED, JOINED = 1 << 19, 512, 350_000, 4000
 
 
-class _Words(dict):
-    """The ids of words (little-endian unsigned 32-bit), encoded by the tokenizer library a batch at a time."""
+class _Words:
+    """The ids of words (little-endian unsigned 32-bit), encoded by the tokenizer library many at a time.
+
+    Two generations are remembered: when ``newer`` is full it becomes ``older``, out of which words come back as they are met, so that frequent
+    ones stay and no more than two generations are held.
+    """
 
     def __init__(self, path: str) -> None:
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.newer: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        # an added token parts texts: what stands between two of them is encoded by itself, and no word without "<|" has its id
+        added = self.tokenizer.get_added_tokens_decoder().items()
+        self.mark, self.token = next(((i, t.content.encode()) for i, t in added if "<|" in t.content and not (t.normalized or t.single_word)), (None, b""))
 
     def learn(self, words: set[bytes]) -> None:
-        missing = [w for w in words if w not in self]
-        if len(self) + len(missing) > REMEMBERED:
-            self.clear()
+        """Afterwards ``newer`` has all of ``words``."""
+        missing = [word for word in words if word not in self.newer]
+        if len(self.newer) + len(missing) > REMEMBERED:
+            self.older, self.newer = self.newer, {}
             missing = list(words)
-        for at in range(0, len(missing), 10_000):
-            part = missing[at : at + 10_000]
-            for word, code in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self[word] = np.array(code.ids, "<u4").tobytes()
-
-
-@lru_cache(maxsize=2)
+        together, alone = [], []
+        for word in missing:
+            known = self.older.get(word)
+            if known is not None:
+                self.newer[word] = known
+            else:
+                (alone if self.mark is None or b"<|" in word else together).append(word)
+        for at in range(0, len(together), JOINED):
+            part = together[at : at + JOINED]
+            ids = np.array(self._encoded([(b" %b " % self.token).join(part)])[0], "<u4")
+            ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
+            code, starts = ids.tobytes(), [0, *(end + 1 for end in ends[:-1])]
+            self.newer.update((word, code[4 * start : 4 * end]) for word, start, end in zip(part, starts, ends, strict=True))
+        for at in range(0, len(alone), JOINED):
+            part = alone[at : at + JOINED]
+            self.newer.update((word, np.array(ids, "<u4").tobytes()) for word, ids in zip(part, self._encoded(part), strict=True))
+
+    def _encoded(self, texts: list[bytes]) -> list[list[int]]:
+        return [code.ids for code in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+
+@lru_cache(maxsize=1)
 def _words(path: str) -> _Words:
     return _Words(path)
 
@@ -67,11 +91,12 @@ def encode_by_words(texts: list[str], path: str) -> Iterator[bytes]:
     word (by ASCII white space) is encoded once. It lower-cases texts, too; A-Z are lower-cased before, but for texts in
     which that could make an added token."""
     table = _words(path)
-    for start, end in slices(texts):
+    for start, end in slices(texts, SLICE):
         parts = [(t.encode() if "<|" in t else t.encode().lower()).split() for t in texts[start:end]]
         table.learn(set().union(*parts))
+        of = table.newer.__getitem__
         for words in parts:
-            yield b"".join(map(table.__getitem__, words))
+            yield b"".join(map(of, words))
 
 
 def tokenised_pieces(df: DataFrame, tokenizer_path: str, id_col: str, text_col: str, end_id: int, capacity: int) -> DataFrame:
@@ -83,20 +108,19 @@ def tokenised_pieces(df: DataFrame, tokenizer_path: str, id_col: str, text_col:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), Counter()
         for batch in batches:
-            ids, texts = batch["id"].to_pylist(), [t or "" for t in batch["text"].to_pylist()]
-            for a, b in slices(texts):
-                out = []
-                for doc, code in zip(ids[a:b], encode_by_words(texts[a:b], tokenizer_path), strict=True):
+            for at in range(0, batch.num_rows, ROWS):  # texts of a batch are not all held a second time
+                some, out = batch.slice(at, ROWS), []
+                texts = [t or "" for t in some["text"].to_pylist()]
+                for doc, code in zip(some["id"].to_pylist(), encode_by_words(texts, tokenizer_path), strict=True):
                     code += end
                     n = len(code) // 4
                     for piece, start in enumerate(range(0, n, capacity)):
                         length = min(capacity, n - start)
                         out.append((doc, piece, start, length, zlib.crc32(code[4 * start : 4 * (start + length)]), part, seen[length]))
                         seen[length] += 1
-                if out:
-                    kinds = [batch.schema.field("id").type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-                    names = ["id", "piece", "start", "length", "crc", "part", "nth"]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                kinds = [batch.schema.field("id").type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+                names = ["id", "piece", "start", "length", "crc", "part", "nth"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     return rows.mapInArrow(cut, f"id {kind.simpleString()}, piece int, start long, length long, crc long, part int, nth long")
 

@@ -2,6 +2,7 @@
 
 import bisect
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -79,6 +80,29 @@ def test_any_text_as_the_library(texts):
         assert np.frombuffer(ids, "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+def test_words_that_a_worker_holds_are_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 5000)
+    packing._words.cache_clear()
+    texts = [" ".join(["The", "lot", *(f"q{k}x{j}" for j in range(400))]) for k in range(500)]
+    tracemalloc.start()
+    lengths = [len(ids) // 4 for ids in packing.encode_by_words(texts, PATH)]
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    packing._words.cache_clear()
+    assert peak < 35e6
+    assert lengths[::99] == [len(LIBRARY.encode(t, add_special_tokens=False).ids) for t in texts[::99]]
+
+
+def test_words_come_back_out_of_the_older_generation(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 3)
+    monkeypatch.setattr(packing, "SLICE", 1)
+    packing._words.cache_clear()
+    texts = ["a b", "c a", "d a <|endoftext|>", "E,f A", "a <|EndOfText|> <|startoftext|>x", "", "b c d e's", "a b"] * 3
+    for text, ids in zip(texts, packing.encode_by_words(texts, PATH), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+    packing._words.cache_clear()
+
+
 def check(rows, got, capacity):
     want = Counter()
     for i, text, _ in rows:
