@@ -74,36 +74,59 @@ def static_checks(response: Column, solved: Column, leaked: Column | None = None
     of a file. Null and blank responses have the code
     EMPTY_RESPONSE, which blocks, and nothing else. A null state counts as unsolved.
     """
-    return let(prose(response), lambda plain: _checks(response, plain, F.coalesce(solved, F.lit(False)), leaked, criteria, limits))
+    return _checked(response, solved, leaked, criteria, limits, True)
 
 
-def _checks(response: Column, plain: Column, solved: Column, leaked: Column | None, criteria: tuple[Criterion, ...], limits: Limits) -> Column:
-    found = lambda table: F.size(patterns.hits_in(plain, table)) > 0
-    questions, items, words, chars = questions_in(plain), items_in(plain), words_in(plain), length(response)
+def static_codes(response: Column, solved: Column, leaked: Column | None = None, criteria: tuple[Criterion, ...] = CRITERIA, limits: Limits = LIMITS) -> Column:
+    """``violations`` and ``blocking`` of ``static_checks``, without the cost of what only observations and metrics need."""
+    return _checked(response, solved, leaked, criteria, limits, False)
+
+
+def _checked(response: Column, solved: Column, leaked: Column | None, criteria: tuple[Criterion, ...], limits: Limits, measured: bool) -> Column:
+    signs = let(prose(response), lambda plain: _signs(response, plain, leaked, limits, measured))
+    return let(signs, lambda s: _checks(s, F.coalesce(solved, F.lit(False)), criteria, measured))
+
+
+def _signs(response: Column, plain: Column, leaked: Column | None, limits: Limits, measured: bool) -> Column:
+    """What the checks look at, each looked for once: a struct inside a lambda is evaluated field by field, however often they recur in it."""
+    diagnosis = F.when(patterns.any_in(plain, patterns.DIAGNOSIS), 2)
     leaked = F.coalesce(leaked, F.lit(False)) if leaked is not None else F.lit(False)
+    signs = {"empty": is_blank(response), "told": leaked | patterns.any_in(plain, patterns.SOLUTION), "confirmed": patterns.any_in(plain, patterns.CONFIRMATION)}
+    questions, items, words, chars = questions_in(plain), items_in(plain), words_in(plain), length(response)
+    if measured:  # counts are needed anyway
+        signs |= {"diagnosis": diagnosis.when(patterns.any_in(plain, patterns.WEAK_DIAGNOSIS), 1).otherwise(0)}
+        counted = {"chars": chars, "words": words.cast("long"), "questions": questions.cast("long"), "list_items": items.cast("long"), "code_blocks": F.size(code_blocks(response)).cast("long")}
+        count = F.struct(*[c.alias(name) for name, c in counted.items()])
+        both = lambda m: F.struct(m.alias("metrics"), ((m["questions"] > limits.questions) | (m["list_items"] > limits.list_items)).alias("many"), ((m["words"] > limits.words) | (m["chars"] > limits.chars)).alias("long"))
+        return F.struct(*[c.alias(name) for name, c in signs.items()], let(count, both).alias("size"))
+    signs |= {"diagnosis": diagnosis.otherwise(0)}
+    size = F.struct(((questions > limits.questions) | (items > limits.list_items)).alias("many"), ((chars > limits.chars) | (words > limits.words)).alias("long"))
+    return F.struct(*[c.alias(name) for name, c in signs.items()], size.alias("size"))
+
+
+def _checks(s: Column, solved: Column, criteria: tuple[Criterion, ...], measured: bool) -> Column:
     broken = {
-        "SOLUTION_LEAK": leaked | found(patterns.SOLUTION),
-        "EXPLICIT_FINAL_DIAGNOSIS": found(patterns.DIAGNOSIS),
-        "MULTIPLE_HINTS": (questions > limits.questions) | (items > limits.list_items),
-        "PREMATURE_CONFIRMATION": found(patterns.CONFIRMATION),
-        "OVER_EXPLANATION": (words > limits.words) | (chars > limits.chars),
+        "SOLUTION_LEAK": s["told"],
+        "EXPLICIT_FINAL_DIAGNOSIS": s["diagnosis"] == 2,
+        "MULTIPLE_HINTS": s["size"]["many"],
+        "PREMATURE_CONFIRMATION": s["confirmed"],
+        "OVER_EXPLANATION": s["size"]["long"],
     }
-    empty = is_blank(response)
+    empty = s["empty"]
     code = lambda c: F.when(~empty & applies(c, solved) & broken[c.code], F.lit(c.code))
     first = F.when(empty, F.lit("EMPTY_RESPONSE"))
     checked = [c for c in criteria if c.code in broken]
-    suspected = [
-        F.when(~empty & ~solved & ~broken["EXPLICIT_FINAL_DIAGNOSIS"] & found(patterns.WEAK_DIAGNOSIS), F.lit("EXPLICIT_FINAL_DIAGNOSIS")),
-        F.when(~empty & solved & ~broken["PREMATURE_CONFIRMATION"] & (questions >= 1), F.lit("WITHHELD_AFTER_SOLVED")),
-    ]
-    return F.struct(
+    codes = [
         F.array_compact(F.array(first, *[code(c) for c in checked])).alias("violations"),
         F.array_compact(F.array(first, *[code(c) for c in checked if c.blocking])).alias("blocking"),
-        F.array_compact(F.array(*suspected)).alias("observations"),
-        F.struct(
-            chars.alias("chars"), words.cast("long").alias("words"), questions.cast("long").alias("questions"), items.cast("long").alias("list_items"), F.size(code_blocks(response)).cast("long").alias("code_blocks")
-        ).alias("metrics"),
-    )
+    ]
+    if not measured:
+        return F.struct(*codes)
+    suspected = [
+        F.when(~empty & ~solved & (s["diagnosis"] == 1), F.lit("EXPLICIT_FINAL_DIAGNOSIS")),
+        F.when(~empty & solved & ~broken["PREMATURE_CONFIRMATION"] & (s["size"]["metrics"]["questions"] >= 1), F.lit("WITHHELD_AFTER_SOLVED")),
+    ]
+    return F.struct(*codes, F.array_compact(F.array(*suspected)).alias("observations"), s["size"]["metrics"].alias("metrics"))
 
 
 def integrity_codes(code: Column, language: Column, parses: Column, response: Column, solved: Column, fix: Column, bug: Column, message: Column, history: Column) -> Column:

@@ -6,6 +6,9 @@ engines agree on them.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,3 +51,8 @@ def hits(text: Column, patterns: dict[str, str]) -> Column:
 def hits_in(plain: Column, patterns: dict[str, str]) -> Column:
     """The same for prose."""
     return F.array_compact(F.array(*[F.when(plain.rlike(f"(?di){p}"), F.lit(name)) for name, p in patterns.items()]))
+
+
+def any_in(plain: Column, patterns: dict[str, str]) -> Column:
+    """Whether any of the patterns occurs in a prose; none is looked for after one that does."""
+    return reduce(or_, [plain.rlike(f"(?di){p}") for p in patterns.values()])

@@ -124,7 +124,7 @@ def tutor_checks_by_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The codes of each turn by a loaded file: what is found whatever the state, joined with the criteria that apply in it."""
     spec = written_spec(spark)
     always = tuple(replace(c, state="always") for c in spec.criteria)
-    found = F.explode(criteria.static_checks(F.col("response"), F.lit(False), F.col("leak.leaked"), always, spec.limits)["violations"])
+    found = F.explode(criteria.static_codes(F.col("response"), F.lit(False), F.col("leak.leaked"), always, spec.limits)["violations"])
     hits = plan.applied(judged(spark, sf_dir).select("conv_id", "turn", "solved", found.alias("code")), spec.table(spark))
     return hits.groupBy("code", "solved").agg(F.count("*").alias("n"), F.count_if("blocking").alias("blocking"), F.round(F.sum("weight"), 6).alias("weight"))
 

@@ -79,6 +79,23 @@ def test_static_checks_by_state(spark):
     assert column(df, solved["observations"]) == [["WITHHELD_AFTER_SOLVED"], [], [], []]
 
 
+def test_each_sign_is_looked_for_once(spark):
+    df = spark.createDataFrame([], "t string, solved boolean, leaked boolean")
+    for checks in (criteria.static_checks, criteria.static_codes):
+        plan = df.select(checks(F.col("t"), F.col("solved"), F.col("leaked")).alias("c"))._jdf.queryExecution().analyzed().expressions().head().sql()
+        assert [plan.count(sign) for sign in ("setting aside", "one named", "classic off", "nailed it")] == [1, 0, 1, 1]
+
+
+def test_codes_alone_as_with_measures(spark):
+    said = ["Here is the corrected code.", "The bug is in it.", "The bug is", "Notice that", "Well done!", "Why? How?", "- a\n- b", "w " * 171, "x" * 1201, "Perfect. Why? You need to change it " + "w " * 200, " \n", "", None, "What now?"]
+    cases = [(t, solved, leaked) for t in said for solved in (True, False, None) for leaked in (True, False, None)]
+    df = spark.createDataFrame(cases, "t string, solved boolean, leaked boolean")
+    args = (F.col("t"), F.col("solved"), F.col("leaked"))
+    assert df.where(criteria.static_codes(*args) != F.struct(*[criteria.static_checks(*args)[n].alias(n) for n in ("violations", "blocking")])).count() == 0
+    seen = {(r["t"], r["solved"]): r["o"] for r in df.where("NOT leaked").select("t", "solved", criteria.static_checks(*args)["observations"].alias("o")).collect()}
+    assert seen["The bug is", False] == seen["Notice that", False] == ["EXPLICIT_FINAL_DIAGNOSIS"] and seen["The bug is in it.", False] == [] and seen["What now?", True] == ["WITHHELD_AFTER_SOLVED"]
+
+
 def test_integrity(spark):
     schema = "code string, language string, response string, solved boolean, fix string, bug string, message string, history array<struct<role string,content string>>"
     good = ("for i in range(len(x) - 1): print(i)", "python", "What does range stop at?", False, "range(len(x))", "stops early", "help", [])
