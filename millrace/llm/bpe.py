@@ -33,8 +33,8 @@ from millrace.llm.lexicon import Lexicon, compile_lexicon
 LEXICON_WORDS, SUMMARY = 1 << 16, 1 << 17
 #: Bytes of a word beyond which it is never in the lexicon.
 LONGEST = 256
-#: Bytes of texts that are handled at once, and unseen words that a worker remembers.
-SLICE, REMEMBERED = 1 << 22, 400_000
+#: Characters of texts that are handled at once, and rows at most; unseen words that a worker remembers.
+SLICE, ROWS, REMEMBERED = 1 << 19, 512, 400_000
 #: Bytes beyond which a pre-token is merged with a heap.
 LONG = 200
 #: Bytes of a pre-token, and pre-tokens, up to which those of about one length are merged in step.
@@ -232,6 +232,13 @@ def slices(texts: list, limit: int = SLICE) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``ROWS``, so that a worker does not hold all texts of a batch a second time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def encode_texts(texts: list[str], vocab_path: str, lexicon: Lexicon) -> Iterator[bytes]:
     """The ids of each text, as little-endian unsigned 32-bit integers."""
     vocab, memory = vocabulary(vocab_path), _memory(vocab_path)
@@ -258,7 +265,7 @@ def frequent_words(df: DataFrame, text_col: str, vocab_path: str, count: int = L
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(vocab_path)
         counts: Counter[str] = Counter()
-        for batch in batches:
+        for batch in bounded(batches):
             for text in batch.column(0).to_pylist():
                 counts.update(pieces(text or "", vocab))
                 if len(counts) > 2 * summary:
@@ -298,6 +305,16 @@ def ship_lexicon(df: DataFrame, words: list[str], vocab_path: str) -> str:
     return name
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], vocab_path: str, lexicon_name: str) -> Iterator[pa.RecordBatch]:
+    """``id`` and ``ids`` of batches of ``id`` and ``text``."""
+    lexicon = _lexicon(lexicon_name)
+    for batch in bounded(batches):
+        texts = [t or "" for t in batch["text"].to_pylist()]
+        for start, end in slices(texts):
+            ids = list(encode_texts(texts[start:end], vocab_path, lexicon))
+            yield pa.RecordBatch.from_arrays([batch["id"].slice(start, end - start), pa.array(ids, pa.binary())], names=["id", "ids"])
+
+
 def encode(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", lexicon_words: int = LEXICON_WORDS) -> DataFrame:
     """``id`` and ``ids`` (binary, little-endian unsigned 32-bit) of each row's text.
 
@@ -308,16 +325,7 @@ def encode(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     name = ship_lexicon(df, frequent_words(df, text_col, vocab_path, lexicon_words), vocab_path)
     kind = rows.schema["id"].dataType.simpleString()
-
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = _lexicon(name)
-        for batch in batches:
-            texts = [t or "" for t in batch["text"].to_pylist()]
-            for start, end in slices(texts):
-                ids = list(encode_texts(texts[start:end], vocab_path, lexicon))
-                yield pa.RecordBatch.from_arrays([batch["id"].slice(start, end - start), pa.array(ids, pa.binary())], names=["id", "ids"])
-
-    return rows.mapInArrow(encoded, f"id {kind}, ids binary")
+    return rows.mapInArrow(lambda batches: _encoded(batches, vocab_path, name), f"id {kind}, ids binary")
 
 
 def decode(df: DataFrame, vocab_path: str) -> DataFrame:
@@ -333,12 +341,17 @@ def decode(df: DataFrame, vocab_path: str) -> DataFrame:
 
 
 def round_trip_digests(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id, ``n_tokens`` and the hashes ``ids_sha256`` and ``decoded_sha256`` of each row."""
-    rows = encode(df, vocab_path, id_col, text_col)
+    """The id, ``n_tokens`` and the hashes ``ids_sha256`` and ``decoded_sha256`` of each row.
+
+    The ids are those of ``encode``, hashed in the worker that makes them: a second step in Python would have a worker of its
+    own, with the vocabulary, in each task.
+    """
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    name = ship_lexicon(df, frequent_words(df, text_col, vocab_path), vocab_path)
     kind = rows.schema["id"].dataType.simpleString()
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _encoded(batches, vocab_path, name):
             ids = [x.as_py() for x in batch["ids"]]
             yield pa.RecordBatch.from_arrays(
                 [

@@ -5,8 +5,10 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from millrace.llm import bpe
@@ -80,3 +82,19 @@ def test_words_that_the_lexicon_lacks_are_merged_in_step():
     words += ["".join(rng.choice(["th", "er", "on", "a", "Z", "7", ".", "ß", " "]) for _ in range(rng.randint(1, 30))) for _ in range(5000)]
     assert vocab.encode_words(words) == [np.array(vocab.encode_word(w), "<u4").tobytes() for w in words]
     assert vocab.encode_words([]) == []
+
+
+def test_a_task_has_one_worker_that_holds_few_texts_at_once(spark, monkeypatch):
+    df = spark.range(3).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
+    plan = bpe.round_trip_digests(df, PATH)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # each step in Python has a worker with a vocabulary of its own
+
+    held = []
+    real = bpe.encode_texts
+    monkeypatch.setattr(bpe, "encode_texts", lambda texts, *rest: held.append(len(texts)) or real(texts, *rest))
+    monkeypatch.setattr(bpe, "_lexicon", lambda name: small)
+    small = type("None_", (), {"places": lambda self, words: np.full(len(words), -1), "outputs": lambda self, places: []})()
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array([f"text {k}" for k in range(2000)])], names=["id", "text"])
+    got = [x for b in bpe._encoded(iter([batch]), PATH, "none") for x in zip(b["id"].to_pylist(), b["ids"].to_pylist(), strict=True)]
+    assert got == [(k, expected(f"text {k}")[0]) for k in range(2000)]
+    assert max(held) <= 512
