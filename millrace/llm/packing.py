@@ -16,11 +16,14 @@ at are at most ``capacity`` counts.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +31,28 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.bpe import slices
+from millrace.llm.bpe import _byte_characters, slices
 from millrace.llm.common import checkpointed
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 CAPACITY = 2048
 #: Characters of texts that are handled at once, and rows at most; words of a generation that a worker remembers; unseen words that are encoded at once.
 SLICE, ROWS, REMEMBERED, JOINED = 1 << 19, 512, 350_000, 4000
+# What the public word vocabulary's file says of its normalizer, its pattern and the end of a word (fixed values).
+NORMALIZERS, PATTERN, END = ["NFC", "Replace", "Lowercase"], r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "</w>"
+# The same pattern for lower-case words of characters that this normalizer leaves as they are: printable ones up to U+024F.
+_LETTERS, _NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_PLAIN = re.compile("[!-~\xa1-\xac\xae-\u024f]+")
+_TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
+#: The printable stand-ins of bytes in the vocabulary.
+_STAND_INS = {b: ord(c) for c, b in _byte_characters().items()}
 
 
 class _Words:
-    """The ids of words (little-endian unsigned 32-bit), encoded by the tokenizer library many at a time.
+    """The ids of words (little-endian unsigned 32-bit), encoded by the tokenizer library many at a time. Plain words are cut into pre-tokens
+    here, so that the library has to merge them only; its normalizer and pattern take longer than that.
 
     Two generations are remembered: when ``newer`` is full it becomes ``older``, out of which words come back as they are met, so that frequent
     ones stay and no more than two generations are held.
@@ -53,6 +68,32 @@ class _Words:
         # an added token parts texts: what stands between two of them is encoded by itself, and no word without "<|" has its id
         added = self.tokenizer.get_added_tokens_decoder().items()
         self.mark, self.token = next(((i, t.content.encode()) for i, t in added if "<|" in t.content and not (t.normalized or t.single_word)), (None, b""))
+        with open(path, encoding="utf-8") as f:
+            self.merges = self._merges(json.load(f))
+
+    def _merges(self, spec: dict) -> Tokenizer | None:
+        """The model alone on pre-tokens between spaces, if the file is of the kind whose words can be cut here."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        normalizers, steps = ((spec[k] or {}).get(v, []) for k, v in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
+        kinds, pattern = [x["type"] for x in normalizers], [x["pattern"].get("Regex") for x in steps if x["type"] == "Split"]
+        if (kinds, pattern, spec["model"].get("end_of_word_suffix")) != (NORMALIZERS, [PATTERN], END) or any("<|" not in t["content"] for t in spec["added_tokens"]):
+            return None
+        vocab = spec["model"]["vocab"]
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(END)]] = True  # each pre-token has one, its last
+        merges = Tokenizer(self.tokenizer.model)
+        merges.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        return merges
+
+    def _merged(self, tokens: list[str]) -> Iterator[bytes]:
+        """The ids of each pre-token."""
+        for at in range(0, len(tokens), JOINED):
+            part = [t if t.isascii() else t.encode().decode("latin-1").translate(_STAND_INS) for t in tokens[at : at + JOINED]]
+            ids = np.array(self.merges.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            code, ends = ids.tobytes(), (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            for start, end, _ in zip([0, *ends[:-1]], ends, part, strict=True):
+                yield code[start:end]
 
     def learn(self, words: set[bytes]) -> None:
         """Afterwards ``newer`` has all of ``words``."""
@@ -60,13 +101,18 @@ class _Words:
         if len(self.newer) + len(missing) > REMEMBERED:
             self.older, self.newer = self.newer, {}
             missing = list(words)
-        together, alone = [], []
+        together, alone, plain = [], [], {}
         for word in missing:
             known = self.older.get(word)
             if known is not None:
                 self.newer[word] = known
+            elif self.merges and b"<|" not in word and _PLAIN.fullmatch(text := word.decode().lower()):
+                plain[word] = _TOKEN.findall(text)
             else:
                 (alone if self.mark is None or b"<|" in word else together).append(word)
+        tokens = list(set().union(*plain.values()))
+        of = dict(zip(tokens, self._merged(tokens), strict=True)).__getitem__
+        self.newer.update((word, b"".join(map(of, cut))) for word, cut in plain.items())
         for at in range(0, len(together), JOINED):
             part = together[at : at + JOINED]
             ids = np.array(self._encoded([(b" %b " % self.token).join(part)])[0], "<u4")

@@ -132,3 +132,19 @@ def test_documents_and_odd_rows(spark, sf_dir):
     used = check(rows, got, 2048)
     assert used <= best_fit_decreasing([r["length"] for r in got], 2048)
     assert packing.pack(df.limit(0), PATH).count() == 0
+
+
+def test_plain_words_are_cut_here_and_only_merged_by_the_library(monkeypatch):
+    table = packing._Words(PATH)
+    full, asked = packing._Words._encoded, []
+    monkeypatch.setattr(packing._Words, "_encoded", lambda self, texts: asked.extend(texts) or full(self, texts))
+    rng = random.Random(3)
+    parts = ["th", "Er", "'s", "'LL", "'", "1", "²½", "é", "ß", "ÀÖ", "ǆ", "ɏ", "&&", "_", "|", "ª", "µ", "×", "</w>", "<", "ĳ"]
+    words = list({"".join(rng.choices(parts, k=rng.randint(1, 9))).replace("<|", "") for _ in range(5000)} - {""})
+    table.learn({w.encode() for w in words})
+    assert not asked  # neither the library's normalizer nor its pattern
+    # every character by itself and between letters; some are no plain ones, and some become so when lower-cased
+    words += [w for c in map(chr, [*range(33, 0xD800), *range(0xE000, 0x10000, 7), 0x1F600]) if not c.isspace() for w in (c, f"a{c}B")]
+    table.learn({w.encode() for w in words})
+    for w, code in zip(words, table.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+        assert np.frombuffer(table.newer[w.encode()], "<u4").tolist() == code.ids, w
