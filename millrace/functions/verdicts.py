@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from millrace.functions.text import unit_interval
+from millrace.functions.text import let, unit_interval
 
 # The closed vocabulary of failures.
 FAILURE_CODES = (
@@ -18,16 +18,19 @@ def json_object(answer: Column) -> Column:
     """The first of a fenced object, the whole answer and its outermost braces that is a JSON object; null if none is."""
     fenced = F.nullif(F.regexp_extract(answer, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1), F.lit(""))
     braces = F.nullif(F.regexp_extract(answer, r"(?s)(\{.*\})", 1), F.lit(""))
-    valid = lambda c: F.when(F.trim(c).startswith("{") & F.get_json_object(c, "$").isNotNull(), F.trim(c))
+    valid = lambda text: let(text, lambda c: F.when(F.trim(c).startswith("{") & F.get_json_object(c, "$").isNotNull(), F.trim(c)))
     return F.coalesce(valid(fenced), valid(answer), valid(braces))
 
 
 def verdict(answer: Column) -> Column:
     """A struct of the scores (clamped to 0..1; 0 where missing or no number), ``passed`` and the known ``failure_reasons``.
 
-    Null if the answer holds no object. Spellings of codes are upper-cased with underscores; unknown ones go.
+    Null if the answer holds no object, which is looked for once. Spellings of codes are upper-cased with underscores; unknown ones go.
     """
-    doc = json_object(answer)
+    return let(json_object(answer), _verdict)
+
+
+def _verdict(doc: Column) -> Column:
     field = lambda name: F.get_json_object(doc, f"$.{name}")
     score = lambda name: F.coalesce(unit_interval(field(name)), F.lit(0.0)).alias(name)
     listed = F.from_json(field("failure_reasons"), "array<string>")

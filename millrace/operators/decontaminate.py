@@ -15,7 +15,7 @@ NEAR = 0.60
 
 def exact_overlap(corpus: DataFrame, evaluation: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """Rows of ``corpus`` whose normalised text is in ``evaluation``."""
-    hashes = evaluation.select(content_hash(F.col(text_col)).alias("_hash")).distinct()
+    hashes = checkpointed(evaluation.select(content_hash(F.col(text_col)).alias("_hash")).distinct())  # counted, then joined
     return corpus.withColumn("_hash", content_hash(F.col(text_col))).join(small(hashes), "_hash", "left_semi").drop("_hash")
 
 

@@ -82,9 +82,12 @@ NAME = "[a-z]{4,}"
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conv_id, turn, ``kind``, ``code``, ``fix``, ``response``, ``solved`` of each assistant turn."""
     before = Window.partitionBy("conv_id").orderBy("turn")
-    rows = table(spark, sf_dir, "conversations").withColumn("said", F.lag("text").over(before)).where("role = 'assistant'")
+    word = F.regexp_extract(F.lower(F.coalesce("text", F.lit(""))), NAME, 0)
+    # only that word moves; what is made of it takes long and is dealt to as many tasks as there are partitions, however few its bytes are
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", word.alias("word")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "conv_id")
+    rows = rows.withColumn("said", F.coalesce(F.lag("word").over(before), F.lit(""))).where("role = 'assistant'")
     kind = F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(len(KINDS))).cast("int")
-    name = F.concat(F.lit("f_"), F.regexp_extract(F.lower(F.coalesce("said", F.lit(""))), NAME, 0))
+    name = F.concat(F.lit("f_"), F.col("said"))
     pick = lambda values: F.get(F.array(*map(F.lit, values)), F.col("kind"))
     filled = lambda text: F.replace(F.replace(text, F.lit("{fix}"), F.col("fix")), F.lit("{name}"), F.col("name"))
     rows = rows.select("conv_id", "turn", kind.alias("kind"), name.alias("name"), (F.col("conv_id") % 4 == 3).alias("solved"))
