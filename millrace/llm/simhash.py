@@ -103,6 +103,9 @@ def links(distinct: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
 
     They are all pairs at a distance of at most three bits, but for pairs within a bucket of more than ``max_bucket``
     fingerprints, which are connected by links of the definition instead of being listed.
+
+    Spark sizes a table as if an explode made one row of each, so that joins of keys are told to sort and merge: 68 rows a
+    fingerprint would be broadcast where the fingerprints themselves are small enough.
     """
     fp = F.col("fp")
     # as many partitions as shuffles have, not fewer for the few bytes of fingerprints: each makes 68 keys
@@ -124,7 +127,7 @@ def links(distinct: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
         index = index.join(full, ["k", "v"], "left_anti")
     diff = F.col("fp").bitwiseXOR(F.col("other"))
     near = (
-        index.join(probe, ["k", "v"])
+        index.hint("merge").join(probe.hint("merge"), ["k", "v"])
         .where("fp < other")
         .where(_chain(diff, F.col("k"), 3) <= 2)
         .where(F.bit_count(diff) <= DISTANCE)
@@ -141,7 +144,7 @@ def _ball_links(hot: DataFrame) -> DataFrame:
     )
     centres = points.groupBy("point").agg(F.min(F.when(F.col("close"), F.col("fp"))).alias("centre"), F.count("*").alias("n"))
     centres = centres.where("n > 1 AND centre IS NOT NULL").drop("n")
-    return points.join(centres, "point").where("fp <> centre").select(F.col("centre").alias("a"), F.col("fp").alias("b")).distinct()
+    return points.hint("merge").join(centres.hint("merge"), "point").where("fp <> centre").select(F.col("centre").alias("a"), F.col("fp").alias("b")).distinct()
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bucket: int = MAX_BUCKET) -> DataFrame:

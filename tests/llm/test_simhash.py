@@ -69,6 +69,16 @@ def test_links_with_and_without_crowded_buckets(spark):
     assert {(r["a"], r["b"]) for r in simhash.links(table).collect()} == every
 
 
+def test_no_exploded_keys_are_broadcast(spark):
+    """Fingerprints may be few enough to be broadcast where their 68 keys, or 2081 points, are not."""
+    rng = random.Random(6)
+    table = spark.createDataFrame([(rng.getrandbits(63),) for _ in range(2000)], "fp long").distinct()
+    for found in (simhash.links(table), simhash._ball_links(table)):
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan.split("Initial Plan")[0]
+
+
 def test_odd_rows(spark):
     rows = [(1, None, 7), (2, "", 7), (3, " \t", 7), (None, "a b", 7), (5, "A  B", 7), (5, "A  B", 7), (6, "x " * 70000, 7)]
     df = spark.createDataFrame(rows, "doc_id long, text string, fp int")
