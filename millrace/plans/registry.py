@@ -59,7 +59,7 @@ def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def near_dup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy removal of equal and similar documents."""
-    return dedupe.deduplicate(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+    return dedupe.deduplicate(table(spark, sf_dir, "documents"), "doc_id", "text", reread=True).withColumnRenamed("id", "doc_id")
 
 
 @query

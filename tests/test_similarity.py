@@ -1,10 +1,12 @@
 """Prefix joins against plain loops, and how many pairs they make."""
 
+import os
 import random
 
 from pyspark.sql import functions as F
 
 from millrace.operators import decontaminate, dedupe, similarity
+from millrace.session import shared_folder
 
 
 def plain_sets(rows):
@@ -83,3 +85,29 @@ def test_common_passages_and_copies_make_no_pairs(spark):
     known = spark.createDataFrame([(-1 - i, t) for i, t in copies], "item long, text string")
     met = decontaminate.near_overlap(spark.createDataFrame(copies, "id long, text string"), known, "id", "item").collect()
     assert {(r["id"], r["eval_id"], r["similarity"]) for r in met} == {(i, -200, 1.0) for i in range(200)}
+
+
+def written(spark):
+    """Bytes that the stages so far have written for shuffles, and those of checkpoints."""
+    java, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+    java.listenerBus().waitUntilEmpty()
+    stages = java.statusStore().stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    stages = {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(k) for k in range(stages.size()))}
+    folder = shared_folder(spark).removeprefix("file:")
+    return stages, {f"{at}/{f}": os.path.getsize(f"{at}/{f}") for at, _, files in os.walk(folder) for f in files}
+
+
+def test_sets_are_not_written(spark, tmp_path):
+    """Only prefixes move, of most texts; a group of near copies meets once, not once for each of them."""
+    rng = random.Random(7)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    base = fresh(300)
+    texts = [" ".join(fresh(300)) for _ in range(800)] + [varied(rng, base, rng.randint(1, 3)) for _ in range(80)]
+    spark.createDataFrame(list(enumerate(texts)), "id long, text string").write.parquet(f"{tmp_path}/texts")
+    df = spark.read.parquet(f"{tmp_path}/texts")
+    before = written(spark)
+    got = dedupe.deduplicate(df, "id", "text", reread=True)
+    kept = [r["id"] for r in got.collect() if r["kept"]]
+    assert len(got.columns) == 2 and set(range(801)) <= set(kept) and len(kept) < 880
+    shuffled, checkpoints = (sum(n for k, n in now.items() if k not in was) for was, now in zip(before, written(spark), strict=True))
+    assert shuffled < 1.2 * sum(map(len, texts)) and checkpoints < 0.6 * sum(map(len, texts)), (shuffled, checkpoints, sum(map(len, texts)))
