@@ -11,8 +11,10 @@ from millrace.functions import criteria, verdicts
 from millrace.functions.leaks import with_leak_signals
 from millrace.functions.text import code_blocks, content_hash, inline_code, is_blank, items_in, length, let, prose, questions_in, tokens, trailing_index, words_in
 from millrace.operators import balance, decontaminate, dedupe, gates, metrics, ranking, records, resume, review, select
+from millrace.operators.similarity import small
 from millrace.plans import curation, curation_sql, oracle, quality_gate, tutoring, views
 from millrace.plans.views import table
+from millrace.session import BROADCAST_TERMS, checkpointed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,8 +54,9 @@ def text_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents with a Jaccard similarity of 0.72 or more; of equal texts the first stands for all."""
-    firsts = exact_dedup(spark, sf_dir).where("kept").select("doc_id").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    return dedupe.similar_pairs(dedupe.shingle_sets(firsts, "doc_id", F.col("text")))
+    copies = checkpointed(exact_dedup(spark, sf_dir).where("NOT kept").select("doc_id"))  # few: then texts stay where they are
+    firsts = table(spark, sf_dir, "documents").select("doc_id", "text").join(small(copies, BROADCAST_TERMS), "doc_id", "left_anti")
+    return dedupe.similar_pairs(dedupe.shingle_sets(firsts, "doc_id", F.col("text")), sample=dedupe.sample_sets(firsts, "doc_id", F.col("text")))
 
 
 @query
