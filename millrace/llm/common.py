@@ -2,17 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import lru_cache
+from typing import TypeVar
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.text import let
 from millrace.session import BROADCAST_ROWS, checkpointed, shared_folder
 
-__all__ = ["SPACE", "checkpointed", "let", "shared_folder", "squeezed", "table", "text_key", "without_rows", "words"]
+__all__ = ["SPACE", "checkpointed", "forget", "let", "remembered", "shared_folder", "squeezed", "table", "text_key", "without_rows", "words"]
 
 #: White space of all word and normalisation rules, as a Java pattern.
 SPACE = r"[\x20\x09-\x0D]"
 
+Made = TypeVar("Made")
+_REMEMBERED: list[Callable] = []
+
+
+def remembered(make: Callable[[str], Made]) -> Callable[[str], Made]:
+    """``make``, whose last result a Python worker keeps from task to task, until an operator that needs none of them calls ``forget``."""
+    _REMEMBERED.append(lru_cache(maxsize=1)(make))
+    return _REMEMBERED[-1]
+
+
+def forget() -> None:
+    """Let go of what tasks of other operators have left in this worker: it lives on, and its memory counts for the tasks that follow."""
+    for made in _REMEMBERED:
+        made.cache_clear()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""

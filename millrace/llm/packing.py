@@ -22,7 +22,6 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import TYPE_CHECKING
 
 import numpy as np
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import _byte_characters, slices
-from millrace.llm.common import checkpointed
+from millrace.llm.common import checkpointed, remembered
 
 if TYPE_CHECKING:
     from tokenizers import Tokenizer
@@ -127,7 +126,7 @@ class _Words:
         return [code.ids for code in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
 
-@lru_cache(maxsize=1)
+@remembered
 def _words(path: str) -> _Words:
     return _Words(path)
 
