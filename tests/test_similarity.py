@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from millrace.operators import decontaminate, dedupe, similarity
+from millrace.plans import registry
 from millrace.session import shared_folder
 
 
@@ -111,3 +112,26 @@ def test_sets_are_not_written(spark, tmp_path):
     assert len(got.columns) == 2 and set(range(801)) <= set(kept) and len(kept) < 880
     shuffled, checkpoints = (sum(n for k, n in now.items() if k not in was) for was, now in zip(before, written(spark), strict=True))
     assert shuffled < 1.2 * sum(map(len, texts)) and checkpoints < 0.6 * sum(map(len, texts)), (shuffled, checkpoints, sum(map(len, texts)))
+
+
+def test_near_dup_pairs_writes_no_sets_and_moves_no_texts(spark, tmp_path):
+    """Copies are dropped where they stand, and only prefixes move."""
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(300)) for _ in range(800)]
+    texts += [varied(rng, texts[k].split(), k % 3) for k in range(30)]
+    spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    before = written(spark)
+    got = {(r["i"], r["j"]) for r in registry.near_dup_pairs(spark, str(tmp_path)).collect()}
+    assert got == {(k, 800 + k) for k in range(30) if k % 3}
+    shuffled, checkpoints = (sum(n for k, n in now.items() if k not in was) for was, now in zip(before, written(spark), strict=True))
+    assert shuffled < 1.2 * sum(map(len, texts)) and checkpoints < 0.6 * sum(map(len, texts)), (shuffled, checkpoints, sum(map(len, texts)))
+
+
+def test_many_copies(spark, monkeypatch):
+    """Neither the first texts nor their copies can be looked up: sets are joined instead."""
+    monkeypatch.setattr(dedupe, "BROADCAST_TERMS", 2)
+    rows = [(k, f"a b c d e f g h i j k l m n o p q r s t u v w {k % 5}") for k in range(40)] + [(None, "x"), (50, "x y"), (51, None), (52, "")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    for reread in (False, True):
+        got = dedupe.deduplicate(df, "id", "text", reread=reread).collect()
+        assert {r["id"] for r in got if r["kept"]} == {0, 50, 51} and len(got) == 44
